@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoweave.llm import quality
+from geoweave.llm import langid, licenses, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,5 +16,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_filter(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules,)}
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License templates as token automata, and the places of the base phrases."""
+    return licenses.license_scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte convolutional network over fixed-length windows of whole texts."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_language_id)}
 ORACLE: dict[str, str] = {}
