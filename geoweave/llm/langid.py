@@ -170,7 +170,7 @@ class Classifier:
 def predict(documents: DataFrame, net: Network | None, carry: list[str]) -> DataFrame:
     """The ``carry`` columns of every row with lang_pred and score; only the text is looked at."""
     types = dict(documents.dtypes)
-    names = [*carry, "lang_pred", "lang_score"]
+    names = [*carry, "__lang", "__score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(net) if net else None
@@ -185,17 +185,17 @@ def predict(documents: DataFrame, net: Network | None, carry: list[str]) -> Data
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(langs), pa.array(np.concatenate(scores))], names)
 
     source = documents.select(F.col("text").alias("__text"), *[F.col(f"`{c}`") for c in carry])
-    return source.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in carry), "lang_pred string, lang_score double"]))
+    return source.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in carry), "__lang string, __score double"]))
 
 
 def identify(documents: DataFrame, docs: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
     net = train(training_sample(documents, docs))
-    return predict(documents, net, ["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return predict(documents, net, ["doc_id"]).select("doc_id", held_out().alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
-def keep_identified(documents: DataFrame, least_score: float = 0.5, docs: int = SAMPLE_DOCS) -> DataFrame:
+def keep_identified(documents: DataFrame, least_score: float = 0.4, docs: int = SAMPLE_DOCS) -> DataFrame:
     """The documents whose language was identified with at least ``least_score``; all columns stay as they are."""
     net = train(training_sample(documents, docs))
     columns = documents.columns
-    return predict(documents, net, columns).filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= least_score)).select(*[F.col(f"`{c}`") for c in columns])
+    return predict(documents, net, columns).filter((F.col("__lang") != "und") & (F.col("__score") >= least_score)).select(*[F.col(f"`{c}`") for c in columns])
