@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoweave.llm import langid, licenses, quality
+from geoweave.llm import langid, licenses, quality, secrets, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,5 +26,15 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_language_id)}
-ORACLE: dict[str, str] = {}
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incremental blob ledger, begun anew: every distinct text is scanned once."""
+    return secrets.secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sort-merge range join of reversed-host keys with nested rules."""
+    return urlrules.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_language_id, op6_secret_scan, op7_url_filter)}
+ORACLE: dict[str, str] = {"op6_secret_scan": secrets.oracle(), "op7_url_filter": urlrules.oracle()}
