@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoweave.llm import langid, licenses, quality, secrets, urlrules
+from geoweave.llm import langid, licenses, neardup, quality, secrets, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,5 +36,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_language_id, op6_secret_scan, op7_url_filter)}
+def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd sketches over MinHash samples, confirmed on full sets of 2-word shingles."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_language_id, op6_secret_scan, op7_url_filter, op10_minhash_neardup)}
 ORACLE: dict[str, str] = {"op6_secret_scan": secrets.oracle(), "op7_url_filter": urlrules.oracle()}
