@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoweave.llm import text as tx
+from geoweave.llm.sample import hash_sample
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -55,10 +56,11 @@ def held_out(doc_id: str = "doc_id"):
 
 def training_sample(documents: DataFrame, docs: int = SAMPLE_DOCS, windows: int = SAMPLE_WINDOWS) -> list[tuple[bytes, str]]:
     """At most ``docs`` times ``windows`` pieces of labelled texts outside the held-out fold, chosen by a hash of the id."""
-    rows = documents.select("doc_id", "text", "lang").filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").filter(~held_out())
+    usable = documents.filter("doc_id IS NOT NULL AND lang IS NOT NULL").filter(~held_out())
+    rows = usable.select("doc_id", "text", "lang").filter("text IS NOT NULL")
     pieces = [F.expr(f"substring(text, 1 + cast(pmod(xxhash64(doc_id, {k}), greatest(length(text) - {WINDOW}, 1)) as int), {WINDOW})").alias(f"p{k}") for k in range(windows)]
     # narrow rows reach the sort: pieces and the language, never whole texts
-    taken = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", "lang", *pieces).orderBy("h", "doc_id", "lang", "p0").limit(docs).collect()
+    taken = hash_sample(rows.select("doc_id", "lang", *pieces), "doc_id", docs, usable.select("doc_id", "lang")).collect()
     return [(r[f"p{k}"].encode()[:WINDOW], r["lang"]) for r in taken for k in range(windows) if any(c.isalpha() for c in r[f"p{k}"])]
 
 

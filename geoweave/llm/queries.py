@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoweave.llm import langid, licenses, neardup, quality, secrets, urlrules
+from geoweave.llm import decontam, langid, licenses, neardup, quality, secrets, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CGK embeddings and bit-sampling LSH, confirmed by exact edit distance: one row per leak."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incremental blob ledger, begun anew: every distinct text is scanned once."""
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
@@ -41,5 +46,5 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_language_id, op6_secret_scan, op7_url_filter, op10_minhash_neardup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_language_id, op4_benchmark_decontamination, op6_secret_scan, op7_url_filter, op10_minhash_neardup)}
 ORACLE: dict[str, str] = {"op6_secret_scan": secrets.oracle(), "op7_url_filter": urlrules.oracle()}
