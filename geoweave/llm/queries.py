@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoweave.llm import decontam, langid, licenses, neardup, quality, secrets, urlrules
+from geoweave.llm import decontam, langid, licenses, mixing, neardup, quality, secrets, sharding, toolcalls, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and results of all conversations, hash-joined, ordered, validated, as canonical JSON."""
+    return toolcalls.link(*toolcalls.from_turns(table(spark, sf_dir, "conversations")))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incremental blob ledger, begun anew: every distinct text is scanned once."""
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
@@ -41,10 +46,20 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of equal counts along a Hilbert curve over size, source and language."""
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tempered source weights, realised as budgeted block permutations."""
+    return mixing.mixed_ids(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Odd sketches over MinHash samples, confirmed on full sets of 2-word shingles."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_language_id, op4_benchmark_decontamination, op6_secret_scan, op7_url_filter, op10_minhash_neardup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_language_id, op4_benchmark_decontamination, op5_tool_call_linking, op6_secret_scan, op7_url_filter, op8_hilbert_sharding, op9_temperature_mixing, op10_minhash_neardup)}
 ORACLE: dict[str, str] = {"op6_secret_scan": secrets.oracle(), "op7_url_filter": urlrules.oracle()}
