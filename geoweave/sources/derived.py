@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoweave.streaming.progress import STEPS
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,9 +40,6 @@ RECTANGLES = """SELECT CAST(c_custkey - c_custkey % 50 AS BIGINT) AS map_id, CAS
  CAST((c_custkey % 10) * 100 AS DOUBLE) AS x0, CAST(((c_custkey % 50) // 10) * 100 AS DOUBLE) AS y0,
  CAST((c_custkey % 10) * 100 + 40 + c_custkey % 60 AS DOUBLE) AS x1, CAST(((c_custkey % 50) // 10) * 100 + 30 + c_custkey % 70 AS DOUBLE) AS y1 FROM customer"""
 
-STEPS = "('init', 'Start', 5), ('ocr1', 'Pass 1', 20), ('ocr2', 'Pass 2', 15), ('ocr3', 'Pass 3', 15), ('high', 'High scale', 20), ('dedup', 'Cleaning', 5), ('vector', 'Vectors', 8), ('classify', 'Classification', 8), ('render', 'Rendering', 4)"
-
-
 def _view(spark: SparkSession, sf_dir: str, sql: str, source: str) -> DataFrame:
     sql = sql.replace(" // ", " div ").replace(f"FROM {source}", "FROM {source}")
     return spark.sql(sql, source=table(spark, sf_dir, source))
@@ -81,6 +80,7 @@ def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Progress events: a user's events are a job's steps, in the order of their ids."""
-    names = F.array(*[F.lit(s) for s in ("init", "ocr1", "ocr2", "ocr3", "high", "dedup", "vector", "classify", "render")])
+    names = F.array(*[F.lit(k) for k, _, _ in STEPS])
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.element_at(names, (F.col("event_id") % 9 + 1).cast("int")).alias("step"), (F.col("event_id") % 9).cast("int").alias("idx"))
+    idx = (F.col("event_id") % 9).cast("int")
+    return e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.get(names, idx).alias("step"), idx.alias("idx"), (F.col("event_id") % 3 == 0).alias("complete"))
