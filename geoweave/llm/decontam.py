@@ -9,8 +9,9 @@ becomes Hamming distance, and a few sampled steps agree with good probability.
    shortest item. All windows of every item are walked and indexed under
    ``WALKS`` walks with ``SAMPLES`` samples of ``STEPS`` steps each.
 2. All windows of a class's size of every text are walked likewise, except those
-   that hold fewer of the items' words than a window within the edit limit must:
-   those cannot be near any item of the class.
+   that hold fewer of the items' words and word pairs than a window within the
+   edit limit must (an edit takes away one word and two pairs at most): those
+   cannot be near any item of the class.
 3. Windows that agree with an item's window in any sample are candidates; the
    least word edit distance of the item against the text around it is computed
    exactly, and the item is found if that is at most ``PERCENT`` of its words.
@@ -44,7 +45,7 @@ SHORTEST, LONGEST = 8, 256
 WALKS, SAMPLES, STEPS = 6, 6, 4
 #: Items collected to build the index of one pass, and the characters of each that one passage of the driver's memory is sized for.
 BLOCK_ITEMS = 5_000
-TABLE_BITS = 22
+TABLE_BITS, PAIR_BITS = 22, 20
 
 
 def class_size(n: int) -> int:
@@ -93,6 +94,10 @@ class Plan:
                 yield key
 
 
+def pair_hash(hashes: np.ndarray) -> np.ndarray:
+    return tx.mix(hashes[:-1] * np.uint64(0x9DDFEA08EB382D69) + hashes[1:])
+
+
 def walk_bits(hashes: np.ndarray) -> list[np.ndarray]:
     return [tx.mix(hashes ^ np.uint64(0x1234567 * (2 * k + 1))) for k in range(WALKS)]
 
@@ -137,9 +142,12 @@ class Index:
             order = np.argsort(keys, kind="stable")
             table = np.zeros(1 << TABLE_BITS, bool)
             table[(keys >> shift).astype(np.int64)] = True
+            pairs = np.zeros(1 << PAIR_BITS, bool)
+            for k in members:
+                pairs[(pair_hash(self.words[k]) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)] = True
             longest = max(len(self.words[k]) for k in members)
             repeat = WALKS * SAMPLES
-            self.classes.append((size, plan, allowed(longest, percent), keys[order], np.tile(item, repeat)[order], np.tile(offset, repeat)[order], table))
+            self.classes.append((size, plan, pairs, allowed(longest, percent), keys[order], np.tile(item, repeat)[order], np.tile(offset, repeat)[order], table))
 
     def find(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(row, item, edits, first word) of a slice, one for each row and item."""
@@ -155,13 +163,17 @@ class Index:
         hashes = np.append(w.hash, np.uint64(0))
         known = np.zeros(len(w.hash) + 1, np.int32)
         np.cumsum(self.vocabulary[(w.hash >> shift).astype(np.int64)], out=known[1:])
+        paired = np.zeros(len(w.hash) + 1, np.int32)  # pairs that begin before a word
+        pair = (pair_hash(w.hash) >> np.uint64(64 - PAIR_BITS)).astype(np.int32)
         end = w.first[1:].astype(np.int32)[w.doc]
         every = np.arange(len(w.hash), dtype=np.int32)
         bits = None
-        for size, plan, edits, keys, items, places, table in self.classes:
+        for size, plan, pairs, edits, keys, items, places, table in self.classes:
+            np.cumsum(pairs[pair], out=paired[1:-1])
+            paired[-1] = paired[-2]
             at = every
             stop = np.minimum(at + np.int32(size), end)
-            at = np.flatnonzero((known[stop] - known[:-1] >= size - edits) & (stop - at >= size - edits)).astype(np.int32)
+            at = np.flatnonzero((paired[stop - 1] - paired[:-1] >= size - 1 - 2 * edits) & (known[stop] - known[:-1] >= size - edits) & (stop - at >= size - edits)).astype(np.int32)
             if not len(at):
                 continue
             bits = walk_bits(hashes) if bits is None else bits
