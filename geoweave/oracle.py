@@ -196,3 +196,26 @@ SELECT job_id, seq, CAST(least(round_even(done + CASE WHEN complete THEN 0.0e0 E
     "job_ttl_expired": "SELECT user_id AS job_id FROM events GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-30 20:00:00' - INTERVAL 30 MINUTE",
     "reading_estimates": "WITH e AS (SELECT o_orderkey, least(1800.0e0, greatest(40.0e0, o_orderkey * 1000.0e0 / 1000 * 0.25e0)) AS s FROM orders) SELECT o_orderkey, round(s, 6) AS seconds, CASE WHEN s < 60 THEN '~' || CAST(round_even(s, 0) AS BIGINT) || ' s' ELSE '~' || CAST(round_even(s / 60, 0) AS BIGINT) || ' min' END AS shown FROM e",
 }
+
+ORACLE |= {
+    "frame_lines": f"""WITH {SEG}, p AS (SELECT map_id, CAST(min(x1) AS DOUBLE) AS a, CAST(min(y1) AS DOUBLE) AS b, CAST(max(x2) AS DOUBLE) AS c, CAST(max(y2) AS DOUBLE) AS d FROM seg GROUP BY map_id)
+SELECT map_id, 'frame' AS layer, a AS x1, b AS y1, c AS x2, b AS y2 FROM p UNION ALL SELECT map_id, 'frame', c, b, c, d FROM p UNION ALL SELECT map_id, 'frame', c, d, a, d FROM p UNION ALL SELECT map_id, 'frame', a, d, a, b FROM p""",
+    "endpoint_pairs": f"WITH {SEG} SELECT a.map_id, a.seg_id AS a, b.seg_id AS b, CAST((a.x2 - b.x2) ** 2 + (a.y2 - b.y2) ** 2 AS DOUBLE) AS d2 FROM green a JOIN green b ON a.map_id = b.map_id AND a.seg_id < b.seg_id AND (a.x2 - b.x2) ** 2 + (a.y2 - b.y2) ** 2 <= 144",
+    "greedy_match": f"""WITH RECURSIVE {SEG}, p AS (SELECT a.map_id, a.seg_id AS a, b.seg_id AS b, CAST((a.x2 - b.x2) ** 2 + (a.y2 - b.y2) ** 2 AS DOUBLE) AS d2 FROM green a JOIN green b ON a.map_id = b.map_id AND a.seg_id < b.seg_id AND (a.x2 - b.x2) ** 2 + (a.y2 - b.y2) ** 2 <= 144),
+n AS (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY d2, a, b) AS i FROM p),
+w AS (SELECT map_id, i, a, b, d2, true AS ok, [a, b] AS used FROM n WHERE i = 1 UNION ALL SELECT w.map_id, n.i, n.a, n.b, n.d2, NOT list_has_any(w.used, [n.a, n.b]), CASE WHEN list_has_any(w.used, [n.a, n.b]) THEN w.used ELSE list_concat(w.used, [n.a, n.b]) END FROM w JOIN n ON n.map_id = w.map_id AND n.i = w.i + 1)
+SELECT map_id, a, b, d2 FROM w WHERE ok""",
+    "face_length_near_route": f"""WITH {RECT}, e AS (SELECT map_id, face_id, y0, y1, x1 - x0 AS w FROM rect)
+SELECT map_id, face_id, round(CASE WHEN abs(y0 - 202) <= 5 THEN w ELSE 0 END + CASE WHEN abs(y1 - 202) <= 5 THEN w ELSE 0 END + 2 * greatest(0, least(y1, 207) - greatest(y0, 197)), 6) AS near FROM e
+WHERE abs(y0 - 202) <= 5 OR abs(y1 - 202) <= 5 OR least(y1, 207) >= greatest(y0, 197)""",
+    "face_length_inside": f"""WITH {RECT}, c AS (SELECT map_id, face_id, greatest(0, least(x1 - 0.5, 450) - greatest(x0 + 0.5, -10)) AS l FROM rect WHERE y0 + 0.5 < 215 AND y1 - 0.5 > 215)
+SELECT map_id, face_id, round(l, 6) AS inside FROM c WHERE l > 0""",
+    "nearest_label": f"""WITH {SEG}, {LBL}, d AS (SELECT l.map_id, l.x, l.y, r.x1, r.y1, CAST(r.x2 - r.x1 AS DOUBLE) AS dx, CAST(r.y2 - r.y1 AS DOUBLE) AS dy FROM lbl l JOIN route r ON l.map_id = r.map_id),
+t AS (SELECT *, greatest(0, least(1, ((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy))) AS t FROM d), q AS (SELECT map_id, min(sqrt((x - x1 - t * dx) ** 2 + (y - y1 - t * dy) ** 2)) AS dist FROM t GROUP BY map_id)
+SELECT map_id, round(dist, 6) AS dist FROM q WHERE dist < 200""",
+    "route_end_lines": f"""WITH {SEG}, p AS (SELECT map_id, x1 AS x, y1 AS y FROM route UNION ALL SELECT map_id, x2, y2 FROM route), e AS (SELECT map_id, min((x, y)) AS q FROM p GROUP BY map_id UNION ALL SELECT map_id, max((x, y)) FROM p GROUP BY map_id),
+m AS (SELECT map_id, CAST(x1 + x2 AS DOUBLE) / 2 AS x, CAST(y1 + y2 AS DOUBLE) / 2 AS y FROM route),
+f AS (SELECT e.map_id, CAST(q[1] AS DOUBLE) AS ex, CAST(q[2] AS DOUBLE) AS ey, m.x, m.y FROM e JOIN m ON e.map_id = m.map_id AND (q[1] - m.x) ** 2 + (q[2] - m.y) ** 2 <= 22500),
+a AS (SELECT map_id, ex, ey, atan2(2 * covar_samp(x, y), var_samp(x) - var_samp(y)) / 2 AS t FROM f GROUP BY ALL HAVING count(*) >= 4)
+SELECT map_id, round(ex + 250 * sin(t), 3) AS x1, round(ey - 250 * cos(t), 3) AS y1, round(ex - 250 * sin(t), 3) AS x2, round(ey + 250 * cos(t), 3) AS y2 FROM a""",
+}

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from geoweave.functions import geometry as g
 from geoweave.functions import labels as fl
-from geoweave.operators import clusters, crossing, directions, evaluation, rays, topology
+from geoweave.operators import closures, clusters, crossing, directions, evaluation, faces, rays, topology
 from geoweave.operators import drawings as dr
 from geoweave.operators import labels as lb
+from geoweave.plans import strategies
 from geoweave.sources import derived, ingest
 from geoweave.streaming import progress as pr
 
@@ -316,3 +317,91 @@ def reading_estimates(spark, d):
     o = derived.table(spark, d, "orders")
     sec = pr.reading_estimate(F.col("o_orderkey") * 1000.0)
     return o.select("o_orderkey", F.round(sec, 6).alias("seconds"), pr.duration_text(sec).alias("shown"))
+
+
+def _pages(spark, d):
+    s = derived.segments(spark, d)
+    return s.groupBy("map_id").agg(F.min("x1").cast("double").alias("x0"), F.min("y1").cast("double").alias("y0"), F.max("x2").cast("double").alias("x1"), F.max("y2").cast("double").alias("y1"))
+
+
+@query
+def frame_lines(spark, d):
+    return closures.frame_lines(_pages(spark, d)).select("map_id", "layer", "x1", "y1", "x2", "y2")
+
+
+@query
+def endpoint_pairs(spark, d):
+    """Ends of green segments within 12 of each other, whatever their degree."""
+    s = derived.segments(spark, d).filter("layer = 'green'")
+    e = s.select("map_id", F.col("seg_id").alias("ord"), F.col("x2").cast("double").alias("x"), F.col("y2").cast("double").alias("y"), (F.col("x2") - F.col("x1")).cast("double").alias("dx"), (F.col("y2") - F.col("y1")).cast("double").alias("dy"))
+    return closures.end_pairs(e, 12.0).select("map_id", "a", "b", "d2")
+
+
+@query
+def greedy_match(spark, d):
+    return clusters.greedy_match(endpoint_pairs(spark, d)).select("map_id", "a", "b", "d2")
+
+
+@query
+def route_end_lines(spark, d):
+    c = closures.route_end_lines(derived.segments(spark, d).filter("layer = 'route'"), radius=150.0)
+    return c.select("map_id", *[F.round(x, 3).alias(x) for x in ("x1", "y1", "x2", "y2")])
+
+
+@query
+def gap_closures(spark, d):
+    e = topology.noded_edges(derived.segments(spark, d).filter("layer = 'green'"))
+    return closures.close_gaps(e, 5.0).select("map_id", *[F.round(x, 3).alias(x) for x in ("x1", "y1", "x2", "y2")])
+
+
+@query
+def junction_extensions(spark, d):
+    e = topology.noded_edges(derived.segments(spark, d).filter("layer = 'green'"))
+    return closures.extend_junctions(e).select("map_id", *[F.round(x, 3).alias(x) for x in ("x1", "y1", "x2", "y2")])
+
+
+@query
+def end_extensions(spark, d):
+    s = derived.segments(spark, d).filter("layer = 'green'")
+    return closures.extend_ends(topology.noded_edges(s), s).select("map_id", *[F.round(x, 3).alias(x) for x in ("x1", "y1", "x2", "y2")])
+
+
+@query
+def subdivision_faces(spark, d):
+    f, _ = topology.faces(derived.segments(spark, d).filter("layer = 'green'"))
+    return f.select("map_id", F.round("area", 3).alias("area"), F.round("perimeter", 3).alias("perimeter"), "n_edges")
+
+
+@query
+def face_length_near_route(spark, d):
+    """How much of each customer rectangle's boundary lies within 5 of a horizontal route through its map."""
+    lines = ring_edges(spark, d).select("map_id", "face_id", "x1", "y1", "x2", "y2")
+    route = derived.rectangles(spark, d).select("map_id").distinct().select("map_id", F.lit(1).cast("long").alias("seg_id"), F.lit(-10.0).alias("x1"), F.lit(202.0).alias("y1"), F.lit(2000.0).alias("x2"), F.lit(202.0).alias("y2"))
+    return faces.length_near_route(lines, route).select("map_id", "face_id", F.round("near", 6).alias("near"))
+
+
+@query
+def face_length_inside(spark, d):
+    """How much of a horizontal route runs inside each customer rectangle, half a point from its boundary."""
+    r = derived.rectangles(spark, d)
+    boxes = r.select("map_id", "face_id", F.col("x0").alias("x_min"), F.col("y0").alias("y_min"), F.col("x1").alias("x_max"), F.col("y1").alias("y_max"))
+    lines = ring_edges(spark, d).select("map_id", "face_id", "x1", "y1", "x2", "y2")
+    route = r.select("map_id").distinct().select("map_id", F.lit(1).cast("long").alias("seg_id"), F.lit(-10.0).alias("x1"), F.lit(215.0).alias("y1"), F.lit(450.0).alias("x2"), F.lit(215.0).alias("y2"))
+    return faces.length_inside(boxes, lines, route).select("map_id", "face_id", F.round("inside", 6).alias("inside"))
+
+
+@query
+def nearest_label(spark, d):
+    s = derived.segments(spark, d)
+    n = strategies.nearest_labels(derived.labels(spark, d), s.filter("layer = 'route'"), 200.0)
+    return n.select("map_id", F.round("dist", 6).alias("dist"))
+
+
+@query
+def vector_verdicts(spark, d):
+    return strategies.by_faces(derived.segments(spark, d), lb.load(derived.labels(spark, d)))
+
+
+@query
+def hybrid_crossed(spark, d):
+    return strategies.hybrid(derived.segments(spark, d), lb.load(derived.labels(spark, d)), _pages(spark, d))
