@@ -1,6 +1,7 @@
 """Queries against their SQL in DuckDB, on the smallest tables."""
 
 import os
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -24,7 +25,7 @@ def tables():
 def plain(v):
     if v is None or v != v:
         return "null"
-    return f"{float(v):.9g}" if isinstance(v, (int, float)) else str(v)
+    return f"{float(v):.9g}" if isinstance(v, (int, float, Decimal)) else str(v)
 
 
 @pytest.mark.parametrize("name", sorted(oracle.ORACLE))
