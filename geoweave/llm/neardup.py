@@ -4,15 +4,20 @@
    of the set, MinHash values in bands, and an odd sketch: every (hash function,
    value) pair of the MinHash sample flips one bit of a bitmap, so two bitmaps'
    XOR counts how much two samples differ, most precisely where they are alike.
+   A second bitmap is flipped by every shingle: its XOR never counts more than the
+   sets differ by, so it drops pairs without loss, and short texts' pairs sharply.
 2. Equal sets are one class: only its smallest doc_id takes part in what follows,
    however many copies there are.
 3. In every band bucket all members are compared with one hub, not with each
    other. Sketches drop what is clearly unlike; the rest is confirmed on the full
-   sets. This joins large groups of near copies with one pair for each member.
-4. Pairs of a bucket that are not yet in one component are compared next, again
-   sketches first, full sets after. Pairs within a component cannot change the
-   result, so none is lost by leaving them out.
-5. Components are found by large-star and small-star rounds over the links.
+   sets. This joins large groups of near copies with few pairs for each member.
+4. Members of a bucket that are not yet in one component are compared with hubs
+   of small random parts of the bucket; each takes its most alike hub only. Again
+   the number of pairs follows the number of members.
+5. All pairs of a bucket that are still in different components come last,
+   sketches first, full sets after, so no link between components is lost; pairs
+   within a component cannot change the result.
+6. Components are found by large-star and small-star rounds over the links.
 
 A pair at the threshold of 0.8 misses all bands with probability
 (1 - 0.8^ROWS)^BANDS, 2e-6 here; the sketch threshold lies five standard
@@ -45,6 +50,8 @@ SKETCH_WORDS = 16  # of 64 bits
 PERCENT = 80
 #: XOR bits that pairs of at least 80 percent stay under: 2 * 33 differing entries fold to 62 +- 9.6 bits.
 SKETCH_BITS = 110
+#: Rounds of comparison with hubs of random parts of a bucket, and members of a part.
+PART_SALTS, PART_ROWS = (1, 2), 8
 
 _rng = np.random.RandomState(20240301)
 FACTORS = (_rng.randint(0, 2**31, BANDS * ROWS).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -90,6 +97,12 @@ def signatures(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     rows = np.arange(len(begin))
     for k in range(BANDS * ROWS):
         sketch[rows, (bit[k] >> np.uint64(6)).astype(np.int64)] ^= np.uint64(1) << (bit[k] & np.uint64(63))
+    whole = np.zeros_like(sketch)
+    bit = tx.mix(h ^ np.uint64(0xC3C3)) >> np.uint64(64 - 10)
+    flip = np.uint64(1) << (bit & np.uint64(63))
+    for k in range(SKETCH_WORDS):
+        whole[:, k] = np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, flip, np.uint64(0)), begin)
+    sketch = np.concatenate([sketch, whole], axis=1)
     keys = np.zeros((BANDS, len(begin)), np.uint64)
     for r in range(ROWS):
         keys = tx.mix(keys * np.uint64(0x9DDFEA08EB382D69) + entry[r::ROWS])
@@ -117,7 +130,7 @@ def sign(documents: DataFrame, size: int) -> DataFrame:
                     starts = np.append(first[:-1][some], first[-1])
                     values = signatures(h, starts)
                 else:
-                    values = (np.zeros((0, 2), np.uint64), np.zeros((0, SKETCH_WORDS), np.uint64), np.zeros((0, BANDS), np.uint64))
+                    values = (np.zeros((0, 2), np.uint64), np.zeros((0, 2 * SKETCH_WORDS), np.uint64), np.zeros((0, BANDS), np.uint64))
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i), pa.array(count.astype(np.int64)), *(rows_of(v, some, j - i) for v in values)], names)
 
     return documents.select("text", "doc_id").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest array<long>, sketch array<long>, bands array<long>")
@@ -136,13 +149,12 @@ def set_table(documents: DataFrame, size: int) -> DataFrame:
     return documents.select("text", "doc_id").mapInArrow(run, f"doc_id {kind}, items binary")
 
 
-def confirm(pairs: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     kind = dict(pairs.dtypes)["a"]
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialize(set_table(documents.select("doc_id", "text").join(needed, "doc_id", "left_semi"), size), "shingles")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
+    # one plan at every size: pairs meet their sets by a shuffle
+    left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")).hint("merge")
+    right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")).hint("merge")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +167,8 @@ def confirm(pairs: DataFrame, documents: DataFrame, size: int, percent: int) ->
                 good[k] = 100 * same >= percent * (len(x) + len(y) - same)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], ["a", "b"])
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return materialize(both.mapInArrow(run, f"a {kind}, b {kind}"), "confirmed")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -185,8 +198,25 @@ def same_id_links(known: DataFrame, heads: DataFrame) -> DataFrame:
     return classes.select(F.col("row_id").alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
 
 
-def unlike_bits():
-    return sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(1, SKETCH_WORDS)), F.bit_count(F.col("x")[0].bitwiseXOR(F.col("y")[0])))
+def open_members(shared: DataFrame, whole: DataFrame, sketches: DataFrame, salt: int) -> DataFrame:
+    """Members of the buckets that hold several components, with component, sketch and a random part of the bucket."""
+    placed = shared.join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
+    part = F.pmod(F.xxhash64("doc_id", "bucket", F.lit(salt)), F.ceil(F.col("n") / PART_ROWS))
+    return materialize(placed.join(mixed, "bucket", "left_semi").join(sketches, "doc_id").select("bucket", part.alias("part"), "doc_id", "component", "s"), "open")
+
+
+def unlike_bits(first: int = 0):
+    """XOR bits of the bitmaps x.sketch and y.sketch that begin at word ``first``."""
+    bits = [F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(first, first + SKETCH_WORDS)]
+    return sum(bits[1:], bits[0])
+
+
+def may_link(percent: int):
+    """Whether texts x and y can be alike enough: by their sizes, by all shingles, by the MinHash sample."""
+    n, m = F.col("x.n_shingles"), F.col("y.n_shingles")
+    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    return sizes & (unlike_bits(SKETCH_WORDS) * (100 + percent) <= (n + m) * (100 - percent)) & (unlike_bits() <= SKETCH_BITS)
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -199,25 +229,33 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = PERCENT)
     heads = materialize(heads.select("digest", "n_shingles", "doc_id", "s.sketch", "s.bands"), "heads")
 
     members = heads.select("doc_id", F.explode("bands").alias("bucket"))
-    hubs = members.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("other")).filter("hub <> other").select("bucket", "hub")
-    shared = materialize(members.join(hubs, "bucket"), "buckets")  # only buckets with several members
-    sketches = heads.select("doc_id", "sketch")
+    hubs = members.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub", "n")
+    shared = materialize(members.join(hubs.hint("merge"), "bucket"), "buckets")  # only buckets with several members
+    needed = shared.select("doc_id").distinct().hint("shuffle_hash")
+    sets = materialize(set_table(documents.join(needed, "doc_id", "left_semi"), size), "shingles")
+    sketches = heads.select("doc_id", F.struct("n_shingles", "sketch").alias("s"))
+
     star = shared.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    alike = star.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y")), "b").filter(unlike_bits() <= SKETCH_BITS).select("a", "b").distinct()
+    alike = star.join(sketches.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(sketches.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b").filter(may_link(percent)).select("a", "b").distinct()
     tried = materialize(alike, "pairs")
-    first = materialize(confirm(tried, documents, size, percent).union(same_id_links(known, heads)), "confirmed")
-    part = components(first)
-
-    # what is left: pairs of one bucket in different components
-    placed = shared.select("bucket", "doc_id", "hub").join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    open_ = materialize(placed.join(mixed, "bucket", "left_semi").join(sketches, "doc_id"), "open")
-    one = open_.select("bucket", F.col("hub").alias("h"), F.col("doc_id").alias("a"), F.col("component").alias("c"), F.col("sketch").alias("x"))
-    two = open_.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("d"), F.col("sketch").alias("y"))
-    rest = one.join(two, "bucket").filter((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & (F.col("a") != F.col("h")) & (unlike_bits() <= SKETCH_BITS))
+    links = confirm(tried, sets, percent).union(same_id_links(known, heads))
+    whole = components(links)
+
+    for salt in PART_SALTS:
+        open_ = open_members(shared, whole, sketches, salt)
+        parts = open_.groupBy("bucket", "part").agg(F.min(F.struct("doc_id", "component", "s")).alias("h"))
+        near = open_.join(parts, ["bucket", "part"]).filter("component <> h.component").select("doc_id", F.col("h.doc_id").alias("to"), F.col("s").alias("x"), F.col("h.s").alias("y")).filter(may_link(percent)).withColumn("bits", unlike_bits())
+        best = near.groupBy("doc_id").agg(F.min(F.struct("bits", "to")).alias("m")).select(F.least("doc_id", "m.to").alias("a"), F.greatest("doc_id", "m.to").alias("b")).distinct()
+        best = materialize(best.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried, links = tried.union(best), links.union(confirm(best, sets, percent))
+        whole = components(links)
+
+    open_ = open_members(shared, whole, sketches, 0)
+    one = open_.select("bucket", F.col("doc_id").alias("a"), F.col("component").alias("c"), F.col("s").alias("x"))
+    two = open_.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("d"), F.col("s").alias("y"))
+    rest = one.join(two, "bucket").filter((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & may_link(percent))
     rest = materialize(rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    second = confirm(rest, documents, size, percent)
-    whole = components(first.union(second))
+    whole = components(links.union(confirm(rest, sets, percent)))
 
     by_class = heads.select("digest", "n_shingles", "doc_id").join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("digest", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
     rows = signed.select("doc_id", "n_shingles", "digest").join(by_class, ["digest", "n_shingles"], "left")
