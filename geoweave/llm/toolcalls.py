@@ -1,10 +1,10 @@
 """Chat formatting: tool calls linked with their results, ordered, validated, as canonical JSON.
 
 Calls and results are hash-joined by (conversation, call id). A call may name
-calls that it depends on; levels are given from the calls without dependencies
-upward, one join for each level, so that order by (level, call id) is a
-topological order of each conversation without gathering a conversation in one
-task. Arguments are checked against the tool's schema, and every call becomes one
+calls that it depends on; its level is one more than its deepest dependency's, so
+that order by (level, call id) is a topological order of each conversation. Levels
+come from pointer doubling: no conversation is gathered in one task, and long
+chains take few joins. Arguments are checked against the tool's schema, and every call becomes one
 line of canonical JSON: sorted keys, no spaces, characters unescaped.
 
 Status, the first that holds: `no_id` (no conversation or call id), `cycle` (it
@@ -62,28 +62,47 @@ def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def depths(parents: DataFrame, most: int) -> DataFrame:
+    """(conv_id, call_id, level): steps from each call to a call without a parent; null on and behind cycles.
+
+    parents has one row for each call, with `up` (a call id or null). Pointers are
+    doubled, so chains of ``most`` calls take log2 of that many joins.
+    """
+    state = materialize(parents.select(*KEY, "up", F.when(F.col("up").isNull(), 0).otherwise(1).alias("level")), "depths")
+    for _ in range(most.bit_length() + 1):
+        if state.filter("up IS NOT NULL").limit(1).count() == 0:
+            break
+        ahead = state.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
+        state = materialize(state.join(ahead, ["conv_id", "up"], "left").select(*KEY, F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), "depths")
+    return state.select(*KEY, F.when(F.col("up").isNull(), F.col("level")).alias("level"))
+
+
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of the calls that no cycle holds back; calls has ids and `depends` (array of call ids)."""
+    """(conv_id, call_id, level) of the calls that no cycle holds back; calls has ids and `depends` (array of call ids).
+
+    A call's level is one more than that of its deepest dependency. Every call
+    follows one dependency at first; depths along these are found by pointer
+    doubling, calls with a deeper dependency change over to it, and so on until
+    none does. One dependency each needs one such round, however long the chain.
+    """
     nodes = calls.select(*KEY)
     edges = calls.select(*KEY, F.explode(F.array_distinct("depends")).alias("on"))
-    edges = edges.join(nodes.withColumnRenamed("call_id", "on"), ["conv_id", "on"], "left_semi").select(*KEY, "on")
-    edges = materialize(edges, "depends")
-    placed = materialize(nodes.join(edges, KEY, "left_anti").withColumn("level", F.lit(0)), "level")
-    latest, waiting, parts = placed, edges, [placed]
+    edges = materialize(edges.join(nodes.withColumnRenamed("call_id", "on"), ["conv_id", "on"], "left_semi").select(*KEY, "on"), "depends")
+    most = nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 1
+    parents = nodes.join(edges.groupBy(*KEY).agg(F.min("on").alias("up")), KEY, "left")
+    several = edges.groupBy(*KEY).count().filter("count > 1").limit(1).count() > 0
     while True:
-        # one more level: calls that waited for calls of the latest level and for no call that is still open
-        touched = waiting.join(latest.withColumnRenamed("call_id", "on"), ["conv_id", "on"], "left_semi").select(*KEY).distinct()
-        left = waiting.join(latest.withColumnRenamed("call_id", "on").select("conv_id", "on"), ["conv_id", "on"], "left_anti").select(*KEY, "on")
-        left = materialize(left, "depends")
-        latest = materialize(touched.join(left, KEY, "left_anti").withColumn("level", F.lit(len(parts))), "level")
-        if latest.limit(1).count() == 0:
+        found = depths(parents, most)
+        if not several:
+            break
+        # no level is the deepest of all: what depends on a cycle follows it
+        deep = found.select("conv_id", F.col("call_id").alias("on"), F.coalesce("level", F.lit(1 << 30)).alias("below"))
+        best = edges.join(deep, ["conv_id", "on"]).groupBy(*KEY).agg(F.max_by(F.struct("on", "below"), F.struct(F.col("below"), F.col("on"))).alias("b"))
+        moved = materialize(found.join(best, KEY, "left").select(*KEY, F.col("b.on").alias("up"), (F.col("b.below") + 1 > F.coalesce("level", F.lit(1 << 30)) + F.when(F.col("level").isNull(), 1).otherwise(0)).alias("deeper")), "parents")
+        if moved.filter("deeper").limit(1).count() == 0:
             break
-        parts.append(latest)
-        waiting = left
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        parents = moved.select(*KEY, "up")
+    return found.filter("level IS NOT NULL")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, str]] = SCHEMAS) -> DataFrame:
