@@ -219,3 +219,22 @@ f AS (SELECT e.map_id, CAST(q[1] AS DOUBLE) AS ex, CAST(q[2] AS DOUBLE) AS ey, m
 a AS (SELECT map_id, ex, ey, atan2(2 * covar_samp(x, y), var_samp(x) - var_samp(y)) / 2 AS t FROM f GROUP BY ALL HAVING count(*) >= 4)
 SELECT map_id, round(ex + 250 * sin(t), 3) AS x1, round(ey - 250 * cos(t), 3) AS y1, round(ex - 250 * sin(t), 3) AS x2, round(ey + 250 * cos(t), 3) AS y2 FROM a""",
 }
+
+
+def _pixels(table: str) -> str:
+    """CTE px(map_id, px, py) of the pixels of the segments in ``table``."""
+    return f"""st AS (SELECT map_id, CAST(x1 AS BIGINT) AS a, CAST(y1 AS BIGINT) AS b, CAST(x2 AS BIGINT) AS c, CAST(y2 AS BIGINT) AS d FROM {table}),
+ex AS (SELECT *, greatest(abs(c - a), abs(d - b)) AS n, unnest(range(0, greatest(abs(c - a), abs(d - b)) + 1)) AS k FROM st),
+px AS (SELECT map_id, a + CAST(CASE WHEN n > 0 THEN round_even((c - a) * k / n, 0) ELSE 0 END AS BIGINT) AS px, b + CAST(CASE WHEN n > 0 THEN round_even((d - b) * k / n, 0) ELSE 0 END AS BIGINT) AS py FROM ex)"""
+
+
+ORACLE |= {
+    "boundary_pixels": f"WITH {SEG}, {_pixels('route')} SELECT map_id, count(*) AS n, CAST(sum(px) AS BIGINT) AS sx, CAST(sum(py) AS BIGINT) AS sy FROM px GROUP BY map_id",
+    "background_runs": f"""WITH {RECT}, {RING}, {_pixels('ring')}, ln AS (SELECT map_id, unnest(range(0, 500)) AS py FROM (SELECT DISTINCT map_id FROM rect)),
+mk AS (SELECT DISTINCT map_id, py, px FROM px WHERE px BETWEEN 0 AND 999 AND py BETWEEN 0 AND 499 UNION ALL SELECT map_id, py, -1 FROM ln UNION ALL SELECT map_id, py, 1000 FROM ln),
+nx AS (SELECT *, lead(px) OVER (PARTITION BY map_id, py ORDER BY px) AS nxt FROM mk)
+SELECT map_id, count(*) AS runs, CAST(sum(nxt - px - 1) AS BIGINT) AS pixels FROM nx WHERE nxt > px + 1 GROUP BY map_id""",
+    "region_sizes": f"WITH {RECT} SELECT map_id, CAST((x1 - x0 - 1) * (y1 - y0 - 1) AS BIGINT) AS n FROM rect",
+    "annotation_rows": f"""WITH {SEG}, {LOADED}, {RAYS.replace('FROM lbl', 'FROM ok')}, {CROSSED}, c AS (SELECT g.* FROM green g SEMI JOIN crossed c ON g.map_id = c.map_id AND g.seg_id = c.seg_id), h AS (SELECT DISTINCT l.map_id, l.label_ord FROM rays l JOIN c ON l.map_id = c.map_id AND {meet('l', 'c')}),
+v AS (SELECT DISTINCT map_id, text FROM ok SEMI JOIN h USING (map_id, label_ord)) SELECT map_id, text, x, y, 'crossed' AS tag, 'red' AS color FROM ok SEMI JOIN v USING (map_id, text)""",
+}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from geoweave.functions import geometry as g
 from geoweave.functions import labels as fl
-from geoweave.operators import closures, clusters, crossing, directions, evaluation, faces, rays, topology
+from geoweave.operators import closures, clusters, crossing, directions, evaluation, faces, raster, rays, topology
 from geoweave.operators import drawings as dr
 from geoweave.operators import labels as lb
 from geoweave.plans import strategies
@@ -405,3 +405,47 @@ def vector_verdicts(spark, d):
 @query
 def hybrid_crossed(spark, d):
     return strategies.hybrid(derived.segments(spark, d), lb.load(derived.labels(spark, d)), _pages(spark, d))
+
+
+@query
+def cycle_verdicts(spark, d):
+    return strategies.by_cycles(derived.segments(spark, d), lb.load(derived.labels(spark, d)))
+
+
+def _pixel_pages(spark, d):
+    return derived.segments(spark, d).select("map_id").distinct().select("map_id", F.lit(1000).cast("long").alias("width"), F.lit(600).cast("long").alias("height"))
+
+
+@query
+def region_verdicts(spark, d):
+    return strategies.by_regions(derived.segments(spark, d), lb.load(derived.labels(spark, d)), _pixel_pages(spark, d))
+
+
+@query
+def boundary_pixels(spark, d):
+    p = raster.rasterize(derived.segments(spark, d).filter("layer = 'route'"))
+    return p.groupBy("map_id").agg(F.count("*").alias("n"), F.sum("px").alias("sx"), F.sum("py").alias("sy"))
+
+
+@query
+def background_runs(spark, d):
+    """Runs of background of the rectangles' maps, whose boundaries are the rectangles' sides."""
+    sides = ring_edges(spark, d).withColumn("seg_id", F.col("face_id"))
+    pages = derived.rectangles(spark, d).select("map_id").distinct().select("map_id", F.lit(1000).cast("long").alias("width"), F.lit(500).cast("long").alias("height"))
+    runs = raster.background_runs(raster.rasterize(sides), pages)
+    return runs.groupBy("map_id").agg(F.count("*").alias("runs"), F.sum(F.col("hi") - F.col("lo") + 1).alias("pixels"))
+
+
+@query
+def region_sizes(spark, d):
+    """Closed background regions of the rectangles' maps, thickened so that corners are tight."""
+    sides = ring_edges(spark, d).withColumn("seg_id", F.col("face_id"))
+    pages = derived.rectangles(spark, d).select("map_id").distinct().select("map_id", F.lit(1100).cast("long").alias("width"), F.lit(600).cast("long").alias("height"))
+    r = raster.regions(raster.rasterize(sides), pages)
+    return raster.region_sizes(r, pages).filter("NOT touches_edge").select("map_id", "n")
+
+
+@query
+def annotation_rows(spark, d):
+    l_ = lb.load(derived.labels(spark, d))
+    return strategies.annotations(strategies.by_rays(derived.segments(spark, d), l_), l_)
