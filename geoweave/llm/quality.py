@@ -22,13 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoweave.llm import text as tx
-from geoweave.llm.sample import hash_sample
+from geoweave.scratch import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BUCKETS = 1 << 14
-#: Bound of the trusted sample: so many labelled ids are broadcast (8 bytes each).
-TRUSTED_DOCS = 20_000
 #: This share of trusted documents may fall under the threshold.
 TRUSTED_LOSS = 0.005
 
@@ -128,26 +126,32 @@ def score(docs: DataFrame, ratios: np.ndarray, carry: list[str]) -> DataFrame:
     return docs.select("text", *carry).mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in carry), BASE_SCHEMA, "llr double"]))
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED_DOCS) -> DataFrame:
-    """Ids of at most ``limit`` documents that are labelled good and not toxic, chosen by a hash of the id."""
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    good = good.filter("doc_id IS NOT NULL AND quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
-    return hash_sample(good, "doc_id", limit)
+def marks(labels: DataFrame) -> DataFrame:
+    """(doc_id, trusted) of every labelled document: trusted if all its labels are good and none is toxic."""
+    one = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    return one.select("doc_id", F.expr("coalesce(quality = 1 AND coalesce(toxic, 0) = 0, false)").alias("trusted"))
 
 
-def quality_filter(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_docs: int = TRUSTED_DOCS, trusted_loss: float = TRUSTED_LOSS, threshold: float | None = None) -> DataFrame:
+def marked_texts(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """text and trusted of every row. Rows without an id have no label; a salt keeps them from one task."""
+    salt = F.when(F.col("doc_id").isNull(), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).otherwise(0)
+    both = docs.withColumn("__salt", salt).join(marked.withColumn("__salt", F.lit(0).cast("long")), ["doc_id", "__salt"], "left")
+    return both.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+
+
+def quality_filter(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_loss: float = TRUSTED_LOSS, threshold: float | None = None) -> DataFrame:
     """doc_id, base counts, base_failed, llr and kept of every document.
 
     ``threshold`` is the least score kept. Left out, it is the ``trusted_loss``
-    quantile of the trusted documents' own scores.
+    quantile of the scores of all trusted documents.
     """
-    good = F.broadcast(trusted_ids(labels, trusted_docs).withColumn("trusted", F.lit(True)))
     docs = documents.select("doc_id", "text")
-    marked = docs.join(good, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    ratios = log_ratios(gram_counts(marked, buckets), buckets)
+    marked = marks(labels)
+    ratios = log_ratios(gram_counts(marked_texts(docs, marked), buckets), buckets)
+    scores = materialize(score(docs, ratios, ["doc_id"]), "scores")
     if threshold is None:
-        own = score(docs.join(good.select("doc_id"), "doc_id", "left_semi"), ratios, [])
+        own = scores.join(marked.filter("trusted"), "doc_id", "left_semi")
         threshold = own.filter("n_words >= 10").agg(F.percentile_approx("llr", F.lit(trusted_loss), F.lit(10_000))).first()[0]
         threshold = 0.0 if threshold is None else threshold
     failed = F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words")
-    return score(docs, ratios, ["doc_id"]).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(float(threshold))))
+    return scores.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(float(threshold))))

@@ -96,6 +96,17 @@ def test_quality_without_labels_or_rows(spark):
     assert r["kept"] and r["llr"] == 0
 
 
+def test_all_trusted_documents_count(spark):
+    """No sample: beyond 20 000 trusted documents each one still is in the counts and under the quantile."""
+    n = 20_400
+    rows = spark.range(n).selectExpr("id doc_id", "concat('only', id, ' one two three four five six seven eight nine ten') text")
+    labels = spark.range(n).selectExpr("id doc_id", "1 quality", "0 toxic")
+    marked = quality.marked_texts(rows.unionByName(docs(spark, [(None, "x y"), (None, None)])), quality.marks(labels))
+    assert marked.count() == n + 2 and marked.filter("trusted").count() == n
+    # all rows are trusted, so both multinomials are one
+    assert quality.quality_filter(rows, labels).filter("abs(llr) > 1e-9 OR NOT kept").count() == 0
+
+
 def test_base_phrases(spark):
     rows = list(enumerate(texts(5, 150)))
     got = {r["doc_id"]: r for r in licenses.license_scan(docs(spark, rows)).collect()}
