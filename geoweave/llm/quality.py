@@ -5,9 +5,16 @@ over all documents, the trusted one over documents that are labelled good. A
 document's score is the mean of log(trusted / raw) over its n-grams; documents
 under a threshold that is fixed beforehand are rejected, with no random choice.
 
+A few toxic words hardly move the mean of a long text, so a second ratio is taken
+over single words: for each hashed word, the labelled documents that hold it, toxic
+against trusted. Only words that speak for toxic count; a document's low score is
+the least sum over any ``WINDOW`` words in a row, divided by ``WINDOW``. The floor
+parts toxic from trusted best over all labelled documents, each of them scored
+without its own part in the counts.
+
 Defined results: a null or empty text has no words, fails the base rules and
 scores 0. With no trusted documents every score is 0 and only the base rules
-decide. Repeated rows are scored like any other row. Rows keep their number.
+decide; with no toxic ones there is no floor. Repeated rows are scored like any other row. Rows keep their number.
 """
 
 from __future__ import annotations
@@ -29,6 +36,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BUCKETS = 1 << 14
 #: This share of trusted documents may fall under the threshold.
 TRUSTED_LOSS = 0.005
+#: Hashed words of the toxic ratio, words in a window, and documents of the prior.
+WORD_BITS, WINDOW, PRIOR = 20, 16, 10
 
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 BASE_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -80,21 +89,39 @@ def gram_buckets(w: tx.Words, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([w.doc, w.doc[at]]), (np.concatenate([tx.mix(w.hash), h]) >> shift).astype(np.int64)
 
 
+def word_buckets(w: tx.Words) -> np.ndarray:
+    return (tx.mix(w.hash) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+
+
 def gram_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, raw, trusted) over all rows of docs(text, trusted); each task sends one row per bucket at most."""
+    """(word, bucket, raw, trusted, toxic) over all rows of docs(text, trusted, toxic), read once.
+
+    Where word is false: n-grams of all and of trusted rows. Where it is true:
+    trusted and toxic rows with a word of the bucket. Each task sends one row per
+    bucket at most.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, trusted = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        grams, words = np.zeros((3, buckets), np.int64), np.zeros((3, 1 << WORD_BITS), np.int64)
         for b in batches:
-            good = np.asarray(b.column(1).to_numpy(zero_copy_only=False), bool)
+            good, bad = (np.asarray(b.column(k).to_numpy(zero_copy_only=False), bool) for k in (1, 2))
             for i, j, data, offsets in tx.slices(b.column(0)):
                 doc, bucket = gram_buckets(tx.Words(data, offsets, tx.SPACED, False), buckets)
-                raw += np.bincount(bucket, minlength=buckets)
-                trusted += np.bincount(bucket[good[i:j][doc]], minlength=buckets)
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(trusted[some])], ["bucket", "raw", "trusted"])
-
-    return docs.select("text", "trusted").mapInArrow(count, "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
+                grams[0] += np.bincount(bucket, minlength=buckets)
+                grams[1] += np.bincount(bucket[good[i:j][doc]], minlength=buckets)
+            some = np.flatnonzero(good | bad)
+            for i, j, data, offsets in tx.slices(b.column(0).take(pa.array(some))):
+                w = tx.Words(data, offsets, tx.ALNUM, True)
+                key = np.unique(w.doc << WORD_BITS | word_buckets(w))
+                doc, bucket = key >> WORD_BITS, key & ((1 << WORD_BITS) - 1)
+                for k, flag in ((1, good), (2, bad)):
+                    np.add.at(words[k], bucket[flag[some[i:j]][doc]], 1)
+        for word, table in ((False, grams), (True, words)):
+            held = np.flatnonzero(table.any(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), word)), pa.array(held), *(pa.array(x[held]) for x in table)], ["word", "bucket", "raw", "trusted", "toxic"])
+
+    counts = docs.select("text", "trusted", "toxic").mapInArrow(count, "word boolean, bucket long, raw long, trusted long, toxic long")
+    return counts.groupBy("word", "bucket").agg(*(F.sum(c).alias(c) for c in ("raw", "trusted", "toxic")))
 
 
 def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -106,10 +133,53 @@ def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     return np.log(trusted / trusted.sum()) - np.log(raw / raw.sum()) if trusted.sum() > buckets else np.zeros(buckets)
 
 
-def score(docs: DataFrame, ratios: np.ndarray, carry: list[str]) -> DataFrame:
-    """The ``carry`` columns of every row with its base counts and its mean log ratio."""
+def toxic_ratios(counts: DataFrame) -> np.ndarray | None:
+    """min(0, log(trusted / toxic)) by word bucket, of all documents and of all but one trusted or one toxic that has the word.
+
+    At most 2^``WORD_BITS`` rows reach the driver. None where a class has no words.
+    """
+    totals = counts.agg(F.sum("trusted"), F.sum("toxic")).first()
+    if not totals[0] or not totals[1]:
+        return None
+    got = counts.filter("toxic > 0").select("bucket", "trusted", "toxic").toArrow()
+    bucket, trusted, toxic = (got.column(k).to_numpy() for k in range(3))
+    ratios = np.zeros((3, 1 << WORD_BITS), np.float32)
+    share = totals[0] / (totals[0] + totals[1])
+    for k, (a, b) in enumerate(((trusted, toxic), (np.maximum(trusted - 1, 0), toxic), (trusted, toxic - 1))):
+        ratios[k, bucket] = np.minimum(0, np.log((a + PRIOR * share) / totals[0]) - np.log((b + PRIOR * (1 - share)) / totals[1]))
+    return ratios
+
+
+def lowest_window(w: tx.Words, values: np.ndarray) -> np.ndarray:
+    """The least mean of ``WINDOW`` words in a row of each text; what lacks in a short text counts as 0."""
+    low = np.zeros(w.rows)
+    sums = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+    at = np.arange(len(values))
+    stop = np.minimum(at + WINDOW, w.first[1:][w.doc])
+    np.minimum.at(low, w.doc, (sums[stop] - sums[at]) / WINDOW)
+    return low
+
+
+def floor_of(scores: DataFrame, marked: DataFrame) -> float | None:
+    """The low score that parts toxic from trusted documents best: the greatest difference of the shares below it."""
+    own = scores.join(marked.filter("trusted OR toxic"), "doc_id")
+    step = F.round(1000 * F.when(F.col("toxic"), F.col("low_toxic")).otherwise(F.col("low_trusted"))).cast("int")
+    # ratios are bounded, and with them the number of steps
+    rows = sorted(own.groupBy(step.alias("step")).agg(F.count_if("toxic").alias("toxic"), F.count_if("trusted").alias("trusted")).collect(), key=lambda r: r["step"])
+    toxic, trusted = (np.cumsum([0, *(r[c] for r in rows)]) for c in ("toxic", "trusted"))
+    if not toxic[-1] or not trusted[-1]:
+        return None
+    gain = toxic / toxic[-1] - trusted / trusted[-1]
+    best = int(gain.argmax())
+    return rows[best - 1]["step"] / 1000 + 0.0005 if best else None
+
+
+def score(docs: DataFrame, ratios: np.ndarray, carry: list[str], toxic: np.ndarray | None = None) -> DataFrame:
+    """The ``carry`` columns of every row with its base counts, its mean log ratio and its low scores."""
     types = dict(docs.dtypes)
-    names = [*carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr"]
+    lows = ["low", "low_trusted", "low_toxic"]
+    names = [*carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", *lows]
+    shared = docs.sparkSession.sparkContext.broadcast(toxic)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,24 +189,29 @@ def score(docs: DataFrame, ratios: np.ndarray, carry: list[str]) -> DataFrame:
                 doc, bucket = gram_buckets(w, len(ratios))
                 total = np.bincount(doc, weights=ratios[bucket], minlength=w.rows)
                 base = base_counts(w)
-                parts.append([*base.values(), total / np.maximum(np.bincount(doc, minlength=w.rows), 1)])
+                low = [np.zeros(w.rows)] * len(lows)
+                if shared.value is not None:
+                    words = tx.Words(data, offsets, tx.ALNUM, True)
+                    bucket = word_buckets(words)
+                    low = [lowest_window(words, r[bucket]) for r in shared.value]
+                parts.append([*base.values(), total / np.maximum(np.bincount(doc, minlength=w.rows), 1), *low])
             if parts:
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(np.concatenate(x)) for x in zip(*parts))], names)
 
-    return docs.select("text", *carry).mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in carry), BASE_SCHEMA, "llr double"]))
+    return docs.select("text", *carry).mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in carry), BASE_SCHEMA, "llr double", *(f"{c} double" for c in lows)]))
 
 
 def marks(labels: DataFrame) -> DataFrame:
-    """(doc_id, trusted) of every labelled document: trusted if all its labels are good and none is toxic."""
+    """(doc_id, trusted, toxic) of every labelled document: trusted if all its labels are good and none is toxic."""
     one = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    return one.select("doc_id", F.expr("coalesce(quality = 1 AND coalesce(toxic, 0) = 0, false)").alias("trusted"))
+    return one.select("doc_id", F.expr("coalesce(quality = 1 AND coalesce(toxic, 0) = 0, false)").alias("trusted"), F.expr("coalesce(toxic = 1, false)").alias("toxic"))
 
 
 def marked_texts(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """text and trusted of every row. Rows without an id have no label; a salt keeps them from one task."""
+    """text, trusted and toxic of every row. Rows without an id have no label; a salt keeps them from one task."""
     salt = F.when(F.col("doc_id").isNull(), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).otherwise(0)
-    both = docs.withColumn("__salt", salt).join(marked.withColumn("__salt", F.lit(0).cast("long")), ["doc_id", "__salt"], "left")
-    return both.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    both = docs.withColumn("__salt", salt).join(marked.withColumn("__salt", F.lit(0).cast("long")).hint("merge"), ["doc_id", "__salt"], "left")
+    return both.select("text", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("trusted", "toxic")))
 
 
 def quality_filter(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_loss: float = TRUSTED_LOSS, threshold: float | None = None) -> DataFrame:
@@ -147,11 +222,15 @@ def quality_filter(documents: DataFrame, labels: DataFrame, buckets: int = BUCKE
     """
     docs = documents.select("doc_id", "text")
     marked = marks(labels)
-    ratios = log_ratios(gram_counts(marked_texts(docs, marked), buckets), buckets)
-    scores = materialize(score(docs, ratios, ["doc_id"]), "scores")
+    counts = materialize(gram_counts(marked_texts(docs, marked), buckets), "counts")
+    ratios = log_ratios(counts.filter("NOT word"), buckets)
+    toxic = toxic_ratios(counts.filter("word"))
+    scores = materialize(score(docs, ratios, ["doc_id"], toxic), "scores")
+    floor = None if toxic is None else floor_of(scores, marked)
     if threshold is None:
         own = scores.join(marked.filter("trusted"), "doc_id", "left_semi")
         threshold = own.filter("n_words >= 10").agg(F.percentile_approx("llr", F.lit(trusted_loss), F.lit(10_000))).first()[0]
         threshold = 0.0 if threshold is None else threshold
     failed = F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words")
-    return scores.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(float(threshold))))
+    good = (F.col("llr") >= F.lit(float(threshold))) & (F.lit(True) if floor is None else F.col("low") >= F.lit(floor))
+    return scores.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & good).drop("low", "low_trusted", "low_toxic")

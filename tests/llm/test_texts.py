@@ -96,6 +96,23 @@ def test_quality_without_labels_or_rows(spark):
     assert r["kept"] and r["llr"] == 0
 
 
+def test_toxic_words_in_long_texts(spark):
+    """Three toxic words among 300 and more clean ones; half of the toxic documents have no label."""
+    rng = random.Random(21)
+    vocab, toxic = [f"w{k}" for k in range(300)], [f"bad{k}" for k in range(8)]
+    rows = []
+    for i in range(400):
+        w = rng.choices(vocab, k=rng.randint(300, 900))
+        if i % 4 == 0:
+            k = rng.randrange(len(w))
+            w[k:k] = rng.choices(toxic, k=3)
+        rows.append((i, " ".join(w)))
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400) if i % 8 < 4], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in quality.quality_filter(docs(spark, rows), labels, threshold=-9.0).filter("kept").collect()}
+    assert not any(i in kept for i in range(0, 400, 4))
+    assert sum(i in kept for i in range(400) if i % 4) >= 0.9 * 300
+
+
 def test_all_trusted_documents_count(spark):
     """No sample: beyond 20 000 trusted documents each one still is in the counts and under the quantile."""
     n = 20_400
