@@ -18,7 +18,10 @@ becomes Hamming distance, and a few sampled steps agree with good probability.
 
 Items are taken in blocks of bounded size, each block in one pass over the texts.
 Items of more than ``LONGEST`` words are cut into passages, each of which counts;
-items of fewer than ``SHORTEST`` words are found only where they are a whole text.
+items of fewer than ``SHORTEST`` words are too short for walks. With ``inside`` they
+are found anywhere in a text: cut into one piece more than edits are allowed, one piece
+must stand there word for word, and the same exact check follows. Without it they are
+found only where they are a whole text.
 
 Defined results: null and empty texts and items have no words and no leaks.
 Repeated rows are each reported; an item found more than once in a text is
@@ -98,6 +101,14 @@ def pair_hash(hashes: np.ndarray) -> np.ndarray:
     return tx.mix(hashes[:-1] * np.uint64(0x9DDFEA08EB382D69) + hashes[1:])
 
 
+def joined(words: list[np.ndarray]) -> np.ndarray:
+    """Hashes of words at several places, in order."""
+    key = np.full(len(words[0]), np.uint64(len(words)))
+    for h in words:
+        key = tx.mix(key * np.uint64(0x9DDFEA08EB382D69) + h)
+    return key
+
+
 def walk_bits(hashes: np.ndarray) -> list[np.ndarray]:
     return [tx.mix(hashes ^ np.uint64(0x1234567 * (2 * k + 1))) for k in range(WALKS)]
 
@@ -105,11 +116,11 @@ def walk_bits(hashes: np.ndarray) -> list[np.ndarray]:
 class Index:
     """Signatures of the windows of a block of items."""
 
-    def __init__(self, items: list[tuple[object, str]], percent: int):
-        self.percent = percent
+    def __init__(self, items: list[tuple[object, str]], percent: int, inside: bool = False):
+        self.percent, self.inside = percent, inside
         self.ids: list[object] = []
         self.words: list[np.ndarray] = []
-        self.whole: dict[bytes, list[int]] = {}
+        short: list[int] = []
         vocabulary = []
         classes: dict[int, list[int]] = {}
         for item_id, text in items:
@@ -121,10 +132,11 @@ class Index:
                 self.ids.append(item_id)
                 self.words.append(piece)
                 if len(h) < SHORTEST:
-                    self.whole.setdefault(piece.tobytes(), []).append(k)
+                    short.append(k)
                 else:
                     classes.setdefault(class_size(len(piece)), []).append(k)
                     vocabulary.append(piece)
+        self.short = self.pieces(short)
         self.vocabulary = np.zeros(1 << TABLE_BITS, bool)
         shift = np.uint64(64 - TABLE_BITS)
         for piece in vocabulary:
@@ -149,18 +161,51 @@ class Index:
             repeat = WALKS * SAMPLES
             self.classes.append((size, plan, pairs, allowed(longest, percent), keys[order], np.tile(item, repeat)[order], np.tile(offset, repeat)[order], table))
 
+    def pieces(self, short: list[int]) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(words, sorted hashes, items, places in the item) of the pieces of short items, by number of words."""
+        made: dict[int, list[tuple[int, int, int]]] = {}
+        for k in short:
+            place = 0
+            for piece in np.array_split(self.words[k], allowed(len(self.words[k]), self.percent) + 1 if self.inside else 1):
+                made.setdefault(len(piece), []).append((int(joined(piece[:, None])[0]), k, place))
+                place += len(piece)
+        return [(size, *(np.array(x, t) for x, t in zip(zip(*sorted(rows)), (np.uint64, np.int64, np.int64)))) for size, rows in sorted(made.items())]
+
+    def short_candidates(self, w: tx.Words) -> Iterator[tuple[int, np.ndarray]]:
+        """Short items and where they may begin."""
+        starts: dict[int, list[np.ndarray]] = {}
+        for size, hashes, items, places in self.short:
+            at = np.arange(max(0, len(w.hash) - size + 1))
+            at = at[w.doc[at] == w.doc[at + size - 1]]
+            if not self.inside:
+                at = at[w.counts[w.doc[at]] == size]
+            h = joined([w.hash[at + q] for q in range(size)])
+            lo, hi = np.searchsorted(hashes, h), np.searchsorted(hashes, h, side="right")
+            hit = np.flatnonzero(hi > lo)
+            entry = lo[hit]
+            while len(hit):
+                for k, place in set(zip(items[entry].tolist(), places[entry].tolist())):
+                    starts.setdefault(k, []).append(at[hit[(items[entry] == k) & (places[entry] == place)]] - place)
+                entry = entry + 1
+                more = entry < hi[hit]
+                hit, entry = hit[more], entry[more]
+        for k, found in starts.items():
+            yield k, np.unique(np.concatenate(found))
+
     def find(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(row, item, edits, first word) of a slice, one for each row and item."""
         w = tx.Words(data, offsets, tx.ALNUM, True)
         found: dict[tuple[int, object], tuple[int, int, int]] = {}
         shift = np.uint64(64 - TABLE_BITS)
-        if self.whole:
-            for d in np.flatnonzero((w.counts > 0) & (w.counts < SHORTEST)):
-                for k in self.whole.get(w.hash[w.first[d] : w.first[d + 1]].tobytes(), ()):
-                    found[int(d), self.ids[k]] = (0, 0, k)
         if not len(w.hash):
             return []
         hashes = np.append(w.hash, np.uint64(0))
+        for k, starts in self.short_candidates(w):
+            for d, dist, place in self.check(k, starts, w, hashes):
+                if self.inside or dist == 0:
+                    key = (d, self.ids[k])
+                    if key not in found or (dist, place) < found[key][:2]:
+                        found[key] = (dist, place, k)
         known = np.zeros(len(w.hash) + 1, np.int32)
         np.cumsum(self.vocabulary[(w.hash >> shift).astype(np.int64)], out=known[1:])
         paired = np.zeros(len(w.hash) + 1, np.int32)  # pairs that begin before a word
@@ -224,7 +269,7 @@ class Index:
                 yield int(d[j]), int(dist[j]), max(0, stop - n - int(w.first[d[j]]))
 
 
-def blocks(benchmark: DataFrame, percent: int, block_items: int = BLOCK_ITEMS) -> Iterator[Index]:
+def blocks(benchmark: DataFrame, percent: int, block_items: int = BLOCK_ITEMS, inside: bool = False) -> Iterator[Index]:
     """Indexes of the items, ``block_items`` at a time or so, by a hash of the text."""
     items = benchmark.select("item_id", "text").filter("text IS NOT NULL")
     count = max(1, -(-items.count() // block_items))
@@ -232,16 +277,16 @@ def blocks(benchmark: DataFrame, percent: int, block_items: int = BLOCK_ITEMS) -
         part = items.filter(F.pmod(F.xxhash64("text", "item_id"), F.lit(count)) == k)
         rows = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda x: (str(x[0]), x[1]))
         if rows:
-            yield Index(rows, percent)
+            yield Index(rows, percent, inside)
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_items: int = BLOCK_ITEMS, inside: bool = False) -> DataFrame:
     """(doc_id, item_id, n_item_words, edits, first_word): the items found in each text, and how far from the item."""
     kind, item_kind = dict(documents.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id {kind}, item_id {item_kind}, n_item_words long, edits long, first_word long"
     names = ["doc_id", "item_id", "n_item_words", "edits", "first_word"]
     out = documents.sparkSession.createDataFrame([], schema)
-    for index in blocks(benchmark, percent, block_items):
+    for index in blocks(benchmark, percent, block_items, inside):
         shared = documents.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -257,9 +302,9 @@ def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT, bl
     return out
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def clean(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_items: int = BLOCK_ITEMS, inside: bool = False) -> DataFrame:
     """The rows of ``documents`` in whose text no item is found; all columns stay as they are."""
-    for index in blocks(benchmark, percent, block_items):
+    for index in blocks(benchmark, percent, block_items, inside):
         shared = documents.sparkSession.sparkContext.broadcast(index)
         column = documents.columns.index("text")
 

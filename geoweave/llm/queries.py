@@ -28,7 +28,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CGK embeddings and bit-sampling LSH, confirmed by exact edit distance: one row per leak."""
-    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), inside=True)
 
 
 def op5_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:

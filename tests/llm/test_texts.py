@@ -251,6 +251,28 @@ def test_leaks_equal_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted(i for i, _ in rows if i not in {i for i, _ in want})
 
 
+@pytest.mark.parametrize("percent", [0, 20, 35])
+def test_short_items_inside_texts(spark, percent):
+    """Every item of under 8 words against every part of every text."""
+    rng = random.Random(31)
+    vocab = [f"w{k}" for k in range(12)]
+    items = [(k, " ".join(rng.choices(vocab, k=k % 7 + 1))) for k in range(28)] + [(50, "Zq yx."), (51, None)]
+    rows = [(i, " ".join(rng.choices(vocab + ["zz"] * 30, k=rng.randint(0, 25)))) for i in range(60)] + [(i + 60, " ".join(["zz", *rng.choice(items[:28])[1].split()[i % 2 :], "zz"][i % 3 :])) for i in range(60)]
+    rows += [(200, "zz zz ZQ, yx zz"), (201, "zq"), (202, "yx zq"), (203, None), (200, "zz zz ZQ, yx zz")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontam.leaks(docs(spark, rows), bench, percent, inside=True).collect()}
+    want = {}
+    for i, t in rows:
+        for k, item in items:
+            p = ALNUM.findall((item or "").lower())
+            e = edits(p, ALNUM.findall((t or "").lower()))
+            if p and e <= len(p) * percent // 100:
+                want[i, k] = e
+    assert got == want and (200, 50) in got and (202, 50) not in got
+    kept = decontam.clean(docs(spark, rows), bench, percent, inside=True).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(i for i, _ in rows if i not in {i for i, _ in want})
+
+
 def test_recall_of_the_bit_sampling():
     rng = random.Random(9)
     vocab = [f"v{k}" for k in range(3000)]
