@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from geoweave.scratch import materialize
 
@@ -65,26 +66,27 @@ def hilbert_index(coordinates: np.ndarray, bits: int) -> np.ndarray:
     return place
 
 
-def cells(documents: DataFrame, bits: int = BITS) -> DataFrame:
-    """doc_id, size, text_crc32, source, lang and the cell of every row."""
+def cells(documents: DataFrame, bits: int = BITS, carry: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, source, lang and the cell of every row; with ``carry`` also all its columns as ``__row``."""
     text = F.coalesce("text", F.lit(""))
     hashed = lambda c: F.pmod(F.xxhash64(F.coalesce(c, F.lit("\0"))), F.lit(1 << bits)).cast("int")
-    rows = documents.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
+    rows = documents.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), *([F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("__row")] if carry else []))
     rows = rows.select("*", F.least(F.floor(F.log2("size")).cast("int"), F.lit((1 << bits) - 1)).alias("__a"), hashed("source").alias("__b"), hashed("lang").alias("__c"))
-    kind = dict(documents.dtypes)["doc_id"]
-    names = ["doc_id", "size", "text_crc32", "source", "lang", "cell"]
+    schema = StructType([*rows.schema.fields[:5], StructField("cell", LongType()), *rows.schema.fields[5:-3]])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            place = hilbert_index(np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in (5, 6, 7)], 1), bits)
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(place)], names)
+            place = hilbert_index(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[-3:]], 1), bits)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(place), *b.columns[5:-3]], names)
 
-    return rows.mapInArrow(run, f"doc_id {kind}, size long, text_crc32 long, source string, lang string, cell long")
+    return rows.mapInArrow(run, schema)
 
 
-def shard(documents: DataFrame, shards: int = SHARDS, bits: int = BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, cell, source and lang of every row."""
-    rows = materialize(cells(documents, bits), "cells")
+def shard(documents: DataFrame, shards: int = SHARDS, bits: int = BITS, bucket_rows: int = BUCKET_ROWS, carry: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, cell, source and lang of every row; with ``carry`` also ``__row``."""
+    rows = materialize(cells(documents, bits, carry), "cells")
+    whole = ["__row"] if carry else []
     counted = rows.groupBy("cell").agg(F.count("*").alias("n"))
     # at most 2^(3 * bits) cells, whatever the number of rows
     order = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -93,19 +95,17 @@ def shard(documents: DataFrame, shards: int = SHARDS, bits: int = BITS, bucket_r
     placed = rows.join(starts, "cell").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("buckets")))
     in_cell = Window.partitionBy("cell").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sizes = placed.groupBy("cell", "bucket").agg(F.count("*").alias("n")).select("cell", "bucket", (F.sum("n").over(in_cell) - F.col("n")).alias("bucket_start"))
-    in_bucket = Window.partitionBy("cell", "bucket").orderBy("doc_id", "text_crc32", "source", "lang")
+    in_bucket = Window.partitionBy("cell", "bucket").orderBy("doc_id", "text_crc32", "source", "lang", *map(F.xxhash64, whole))
     ranked = placed.withColumn("place", F.row_number().over(in_bucket) - 1).join(sizes, ["cell", "bucket"])
     rank = F.col("cell_start") + F.col("bucket_start") + F.col("place")
     # shard k holds ranks from ceil(k * total / shards) on
     number = F.expr(f"(__rank * {shards}) div total")
     ranked = ranked.withColumn("__rank", rank).withColumn("shard", number.cast("int"))
     slot = F.expr(f"__rank - (shard * total + {shards - 1}) div {shards}").cast("long")
-    return ranked.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "cell", "source", "lang")
+    return ranked.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "cell", "source", "lang", *whole)
 
 
 def write_shards(documents: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write whole documents in files by shard, each in the order of the curve."""
-    places = shard(documents, shards).select("doc_id", "text_crc32", "shard", "slot").dropDuplicates(["doc_id", "text_crc32"])
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    rows = documents.withColumn("text_crc32", crc).join(places, ["doc_id", "text_crc32"])
-    rows.repartition("shard").sortWithinPartitions("shard", "slot").drop("text_crc32").write.partitionBy("shard").parquet(path)
+    """Write every row in files by shard, each in the order of the curve; several tasks may write one shard."""
+    rows = shard(documents, shards, carry=True).select("__row.*", "shard", "slot")
+    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -211,6 +211,20 @@ def test_written_shards(spark, tmp_path):
     assert sorted((r["doc_id"], r["text"]) for r in back.collect()) == sorted((r[0], r[1]) for r in rows)
 
 
+def test_written_shards_keep_every_row(spark, tmp_path):
+    """Rows without an id and repeated rows are all written, each at a place of its own."""
+    rows = corpus(60)
+    rows += rows[:20] * 3 + [(None, *r[1:]) for r in rows[:15]] + [(None, None, None, None, None)] * 3 + [(*r[:4], 9) for r in rows[:5]]
+    sharding.write_shards(docs(spark, rows, CORPUS), str(tmp_path / "s"), 4)
+    back = spark.read.parquet(str(tmp_path / "s")).collect()
+    assert Counter(tuple(r[c] for c in ("doc_id", "text", "lang", "source", "n_chars")) for r in back) == Counter(rows)
+    by = defaultdict(list)
+    for r in back:
+        by[r["shard"]].append(r["slot"])
+    assert len(by) == 4 and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert all(sorted(slots) == list(range(len(slots))) for slots in by.values())
+
+
 def test_mixing(spark):
     rows = corpus(3000)
     df = docs(spark, [*rows, *rows[:2]], CORPUS)
