@@ -5,28 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweave.scratch import materialize
+from geoweave.operators import skew
+from geoweave.scratch import forget, materialize
+
+
+def _with_least(rows: DataFrame, least: DataFrame, most: int) -> DataFrame:
+    """rows(u, v) with m of least(u, m, n); nodes with more than ``most`` rows are few and get it by a broadcast."""
+    hot = F.broadcast(least.filter(F.col("n") > most).select("u", F.col("m").alias("hot")))
+    marked = rows.join(hot, "u", "left")
+    cold = marked.filter("hot IS NULL").select("u", "v").join(least.filter(F.col("n") <= most).select("u", "m").hint("merge"), "u")
+    return marked.filter("hot IS NOT NULL").select("u", "v", F.col("hot").alias("m")).union(cold.select("u", "v", "m"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that can be reached over links(a, b), for all nodes with a link.
 
     Rounds of large stars and small stars: their number grows with the logarithm
-    of the nodes, and no component is gathered in one task.
+    of the nodes, and no component is gathered in one task, nor are the links of
+    one node.
     """
     edges = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    most = skew.limit_of(2 * edges.count())
     while True:
         # large star: every larger neighbour of u goes to u's least neighbour
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = materialize(_with_least(both.filter("v > u"), least, most).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
         # small star: u and its lesser neighbours go to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count_distinct("v").alias("n"))
-        small = large.join(least.filter("n > 1").select("u", "m"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = materialize(small.union(least.select("u", "m")).distinct(), "links")
-        roots = after.select(F.col("v").alias("u")).distinct()
-        # stars only: no root of a star is a leaf of another, and every leaf has one root
-        done = after.join(roots, "u", "left_semi").limit(1).count() == 0 and after.groupBy("u").count().filter("count > 1").limit(1).count() == 0
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        moved = _with_least(large, least, most).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = materialize(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        forget(edges)
+        forget(large)
         edges = after
-        if done:
+        # stars only: every leaf has one root, and no root is a leaf
+        ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("leaf")), F.struct(F.col("v").alias("node"), F.lit(0).alias("leaf")))))
+        seen = ends.groupBy("node").agg(F.sum("leaf").alias("n"), F.min("leaf").alias("root"))
+        if not seen.agg(F.count_if(F.expr("n > 1 OR (n = 1 AND root = 0)"))).first()[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
