@@ -6,6 +6,7 @@ Everything here works on one Arrow batch inside a task, in slices of about
 
 from __future__ import annotations
 
+import hashlib
 import sys
 
 import numpy as np
@@ -24,12 +25,13 @@ SPACED = ~((_ALL == 0x20) | ((_ALL >= 0x09) & (_ALL <= 0x0D)))
 #: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`, after A-Z are lower-cased
 ALNUM = ((_ALL >= 0x30) & (_ALL <= 0x39)) | ((_ALL >= 0x41) & (_ALL <= 0x5A)) | ((_ALL >= 0x61) & (_ALL <= 0x7A)) | (_ALL >= 0x80)
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_VALUES = np.random.RandomState(20240229).randint(1, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_FOLDED = _VALUES.copy()
-_FOLDED[0x41:0x5B] = _VALUES[0x61:0x7B]
-_powers: dict[str, np.ndarray] = {}
+_SEED, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+#: Keeps the first k bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 256
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -42,16 +44,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers_up_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, SLICE + 1)
-        for key, base in (("up", _BASE), ("down", _UNBASE)):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            _powers[key] = np.cumprod(p)
-    return _powers["up"], _powers["down"]
-
-
 def slices(column: pa.Array, limit: int = SLICE):
     """Yield (first row, end row, bytes, offsets) for runs of rows of about ``limit`` bytes; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -91,18 +83,30 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)  # word number at each text's start
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(self.rows), self.counts)
-        up, _ = _powers_up_to(n + 1)
-        value = (_FOLDED if fold else _VALUES)[data]
-        value *= up[:n]
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(value, out=self.sums[1:])
+        padded = np.zeros(n + 8, np.uint8)
+        padded[:n] = _LOWER[data] if fold else data
+        self.bytes = padded
+        self.eights = np.ndarray((n + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
         self.hash = self.span_hash(self.start, self.end)
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of byte spans that do not depend on where they stand."""
-        _, down = _powers_up_to(len(self.data) + 1)
-        h = (self.sums[end] - self.sums[start]) * down[start]
-        return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        """Hashes of byte spans that do not depend on where they stand.
+
+        Eight bytes at a time are mixed into all 64 bits, with no algebra that
+        repetitive spans could meet; long spans get a BLAKE2 digest.
+        """
+        size = end - start
+        h = mix(size.astype(np.uint64) * _STEP + _SEED)
+        live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+        at = 0
+        while len(live):
+            rest = size[live] - at
+            h[live] = mix((h[live] ^ (self.eights[start[live] + at] & _FIRST[np.minimum(rest, 8)])) * _STEP)
+            live = live[rest > 8]
+            at += 8
+        for i in np.flatnonzero(size > LONG_SPAN):
+            h[i] = int.from_bytes(hashlib.blake2b(self.bytes[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+        return h
 
     def per_text(self, flags: np.ndarray) -> np.ndarray:
         """How many bytes are flagged in each text."""
@@ -128,7 +132,3 @@ def word_hash(word: str, fold: bool = True) -> int:
     data = np.frombuffer(word.encode(), np.uint8)
     w = Words(data, np.array([0, len(data)]), np.ones(256, bool), fold)
     return int(w.hash[0])
-
-
-def replace_text_columns(batch: pa.RecordBatch, schema: pa.Schema, columns: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name] for f in schema], schema=schema)
