@@ -13,23 +13,28 @@ becomes Hamming distance, and a few sampled steps agree with good probability.
    edit limit must (an edit takes away one word and two pairs at most): those
    cannot be near any item of the class.
 3. Windows that agree with an item's window in any sample are candidates; the
-   least word edit distance of the item against the text around it is computed
+   least word edit distance of the whole item against the text around it is computed
    exactly, and the item is found if that is at most ``PERCENT`` of its words.
 
-Items are taken in blocks of bounded size, each block in one pass over the texts.
-Items of more than ``LONGEST`` words are cut into passages, each of which counts;
-items of fewer than ``SHORTEST`` words are too short for walks. With ``inside`` they
-are found anywhere in a text: cut into one piece more than edits are allowed, one piece
-must stand there word for word, and the same exact check follows. Without it they are
-found only where they are a whole text.
+Every item is looked for anywhere in every text, and confirmed as a whole, whatever
+its length. Of an item of more than ``LONGEST`` words the candidates come from its
+parts: one part at least is within the limit itself. An item of fewer than
+``SHORTEST`` words is too short for walks: cut into one piece more than edits are
+allowed, one piece must stand in the text word for word, and the same exact check follows.
+
+Items are indexed in blocks of bounded size, several blocks in one pass over the texts.
 
 Defined results: null and empty texts and items have no words and no leaks.
 Repeated rows are each reported; an item found more than once in a text is
-reported once, with its least distance and, of those, its first place.
+reported once, with its least distance and, of those, its first place. Items of one
+id, or without one, count as one item. Very long texts are looked at whole; a very long
+item costs about twice its words squared for each place it may stand at. Columns other
+than id and text are not looked at, whatever their names; ``clean`` keeps them.
 """
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Iterator
 
@@ -46,8 +51,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PERCENT = 20
 SHORTEST, LONGEST = 8, 256
 WALKS, SAMPLES, STEPS = 6, 6, 4
-#: Items collected to build the index of one pass, and the characters of each that one passage of the driver's memory is sized for.
-BLOCK_ITEMS = 5_000
+#: Bytes of items that one index is built of, and indexes that one pass over the texts looks at.
+BLOCK_BYTES, PASS_BLOCKS = 2 << 20, 4
 TABLE_BITS, PAIR_BITS = 22, 20
 
 
@@ -116,48 +121,48 @@ def walk_bits(hashes: np.ndarray) -> list[np.ndarray]:
 class Index:
     """Signatures of the windows of a block of items."""
 
-    def __init__(self, items: list[tuple[object, str]], percent: int, inside: bool = False):
-        self.percent, self.inside = percent, inside
+    def __init__(self, items: list[tuple[object, str]], percent: int):
+        self.percent = percent
         self.ids: list[object] = []
         self.words: list[np.ndarray] = []
         short: list[int] = []
-        vocabulary = []
-        classes: dict[int, list[int]] = {}
+        parts: dict[int, list[tuple[int, int, np.ndarray]]] = {}  # by class: item, place in the item, words
+        self.vocabulary = np.zeros(1 << TABLE_BITS, bool)
+        shift = np.uint64(64 - TABLE_BITS)
         for item_id, text in items:
             data = np.frombuffer((text or "").encode(), np.uint8)
             h = tx.Words(data, np.array([0, len(data)]), tx.ALNUM, True).hash
-            pieces = np.array_split(h, -(-len(h) // LONGEST)) if len(h) else []
-            for piece in pieces:
-                k = len(self.ids)
-                self.ids.append(item_id)
-                self.words.append(piece)
-                if len(h) < SHORTEST:
-                    short.append(k)
-                else:
-                    classes.setdefault(class_size(len(piece)), []).append(k)
-                    vocabulary.append(piece)
+            if not len(h):
+                continue
+            k, place = len(self.ids), 0
+            self.ids.append(item_id)
+            self.words.append(h)
+            if len(h) < SHORTEST:
+                short.append(k)
+                continue
+            self.vocabulary[(h >> shift).astype(np.int64)] = True
+            for part in np.array_split(h, -(-len(h) // LONGEST)):
+                parts.setdefault(class_size(len(part)), []).append((k, place, part))
+                place += len(part)
         self.short = self.pieces(short)
-        self.vocabulary = np.zeros(1 << TABLE_BITS, bool)
-        shift = np.uint64(64 - TABLE_BITS)
-        for piece in vocabulary:
-            self.vocabulary[(piece >> shift).astype(np.int64)] = True
         self.classes = []
-        for size, members in sorted(classes.items()):
+        for size, members in sorted(parts.items()):
             plan = Plan(size)
-            words = np.concatenate([*(self.words[k] for k in members), np.zeros(1, np.uint64)])
-            first = np.concatenate([[0], np.cumsum([len(self.words[k]) for k in members])])
-            starts = [np.arange(f, f + len(self.words[k]) - size + 1) for k, f in zip(members, first)]
+            words = np.concatenate([*(part for _, _, part in members), np.zeros(1, np.uint64)])
+            first = np.concatenate([[0], np.cumsum([len(part) for _, _, part in members])])
+            starts = [np.arange(f, f + len(part) - size + 1) for (_, _, part), f in zip(members, first)]
+            counts = [len(s) for s in starts]
             at = np.concatenate(starts)
-            item = np.repeat(members, [len(s) for s in starts])
-            offset = at - np.repeat(first[:-1], [len(s) for s in starts])
+            item = np.repeat([k for k, _, _ in members], counts).astype(np.int32)
+            offset = (at - np.repeat(first[:-1], counts) + np.repeat([place for _, place, _ in members], counts)).astype(np.int32)
             keys = np.concatenate(list(plan.keys(words, walk_bits(words), at, at + size)))
             order = np.argsort(keys, kind="stable")
             table = np.zeros(1 << TABLE_BITS, bool)
             table[(keys >> shift).astype(np.int64)] = True
             pairs = np.zeros(1 << PAIR_BITS, bool)
-            for k in members:
-                pairs[(pair_hash(self.words[k]) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)] = True
-            longest = max(len(self.words[k]) for k in members)
+            for _, _, part in members:
+                pairs[(pair_hash(part) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)] = True
+            longest = max(len(part) for _, _, part in members)
             repeat = WALKS * SAMPLES
             self.classes.append((size, plan, pairs, allowed(longest, percent), keys[order], np.tile(item, repeat)[order], np.tile(offset, repeat)[order], table))
 
@@ -166,46 +171,26 @@ class Index:
         made: dict[int, list[tuple[int, int, int]]] = {}
         for k in short:
             place = 0
-            for piece in np.array_split(self.words[k], allowed(len(self.words[k]), self.percent) + 1 if self.inside else 1):
-                made.setdefault(len(piece), []).append((int(joined(piece[:, None])[0]), k, place))
+            for piece in np.array_split(self.words[k], allowed(len(self.words[k]), self.percent) + 1):
+                if len(piece):
+                    made.setdefault(len(piece), []).append((int(joined(piece[:, None])[0]), k, place))
                 place += len(piece)
         return [(size, *(np.array(x, t) for x, t in zip(zip(*sorted(rows)), (np.uint64, np.int64, np.int64)))) for size, rows in sorted(made.items())]
 
-    def short_candidates(self, w: tx.Words) -> Iterator[tuple[int, np.ndarray]]:
-        """Short items and where they may begin."""
-        starts: dict[int, list[np.ndarray]] = {}
+    def short_candidates(self, w: tx.Words) -> Iterator[tuple[int, int, int]]:
+        """Short items, where they may begin, and in which text."""
         for size, hashes, items, places in self.short:
             at = np.arange(max(0, len(w.hash) - size + 1))
             at = at[w.doc[at] == w.doc[at + size - 1]]
-            if not self.inside:
-                at = at[w.counts[w.doc[at]] == size]
             h = joined([w.hash[at + q] for q in range(size)])
             lo, hi = np.searchsorted(hashes, h), np.searchsorted(hashes, h, side="right")
-            hit = np.flatnonzero(hi > lo)
-            entry = lo[hit]
-            while len(hit):
-                for k, place in set(zip(items[entry].tolist(), places[entry].tolist())):
-                    starts.setdefault(k, []).append(at[hit[(items[entry] == k) & (places[entry] == place)]] - place)
-                entry = entry + 1
-                more = entry < hi[hit]
-                hit, entry = hit[more], entry[more]
-        for k, found in starts.items():
-            yield k, np.unique(np.concatenate(found))
+            for i in np.flatnonzero(hi > lo):
+                for e in range(lo[i], hi[i]):
+                    yield int(items[e]), int(at[i]) - int(places[e]), int(w.doc[at[i]])
 
-    def find(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(row, item, edits, first word) of a slice, one for each row and item."""
-        w = tx.Words(data, offsets, tx.ALNUM, True)
-        found: dict[tuple[int, object], tuple[int, int, int]] = {}
+    def candidates(self, w: tx.Words, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Other items, where they may begin, and in which text."""
         shift = np.uint64(64 - TABLE_BITS)
-        if not len(w.hash):
-            return []
-        hashes = np.append(w.hash, np.uint64(0))
-        for k, starts in self.short_candidates(w):
-            for d, dist, place in self.check(k, starts, w, hashes):
-                if self.inside or dist == 0:
-                    key = (d, self.ids[k])
-                    if key not in found or (dist, place) < found[key][:2]:
-                        found[key] = (dist, place, k)
         known = np.zeros(len(w.hash) + 1, np.int32)
         np.cumsum(self.vocabulary[(w.hash >> shift).astype(np.int64)], out=known[1:])
         paired = np.zeros(len(w.hash) + 1, np.int32)  # pairs that begin before a word
@@ -216,104 +201,132 @@ class Index:
         for size, plan, pairs, edits, keys, items, places, table in self.classes:
             np.cumsum(pairs[pair], out=paired[1:-1])
             paired[-1] = paired[-2]
-            at = every
-            stop = np.minimum(at + np.int32(size), end)
-            at = np.flatnonzero((paired[stop - 1] - paired[:-1] >= size - 1 - 2 * edits) & (known[stop] - known[:-1] >= size - edits) & (stop - at >= size - edits)).astype(np.int32)
+            stop = np.minimum(every + np.int32(size), end)
+            at = np.flatnonzero((paired[stop - 1] - paired[:-1] >= size - 1 - 2 * edits) & (known[stop] - known[:-1] >= size - edits) & (stop - every >= size - edits)).astype(np.int32)
             if not len(at):
                 continue
             bits = walk_bits(hashes) if bits is None else bits
-            candidates: set[tuple[int, int]] = set()
             for key in plan.keys(hashes, bits, at, stop[at]):
                 maybe = np.flatnonzero(table[(key >> shift).astype(np.int64)])
                 lo, hi = np.searchsorted(keys, key[maybe]), np.searchsorted(keys, key[maybe], side="right")
                 for i in np.flatnonzero(hi > lo):
                     p = int(at[maybe[i]])
                     for e in range(lo[i], hi[i]):
-                        candidates.add((int(items[e]), p - int(places[e])))
-            by_item: dict[int, list[int]] = {}
-            for k, start in candidates:
-                by_item.setdefault(k, []).append(start)
-            for k, starts in by_item.items():
-                for d, dist, place in self.check(k, np.unique(starts), w, hashes):
-                    key = (d, self.ids[k])
-                    if key not in found or (dist, place) < found[key][:2]:
-                        found[key] = (dist, place, k)
+                        yield int(items[e]), p - int(places[e]), int(w.doc[p])
+
+    def find(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(row, item, edits, first word) of a slice, one for each row and item."""
+        w = tx.Words(data, offsets, tx.ALNUM, True)
+        if not len(w.hash):
+            return []
+        hashes = np.append(w.hash, np.uint64(0))
+        places: dict[int, set[tuple[int, int]]] = {}
+        for some in (self.short_candidates(w), self.candidates(w, hashes)):
+            for k, start, d in some:
+                places.setdefault(k, set()).add((d, start))
+        found: dict[tuple[int, object], tuple[int, int, int]] = {}
+        for k, at in places.items():
+            for d, dist, place in self.check(k, sorted(at), w, hashes):
+                key = (d, self.ids[k])
+                if key not in found or (dist, place) < found[key][:2]:
+                    found[key] = (dist, place, k)
         return [(d, k, dist, place) for (d, _), (dist, place, k) in sorted(found.items(), key=lambda x: (x[0][0], x[1][2]))]
 
-    def check(self, k: int, starts: np.ndarray, w: tx.Words, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(row, edits, first word) where item k is within the limit of the text around one of the starts."""
+    def check(self, k: int, at: list[tuple[int, int]], w: tx.Words, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(row, edits, first word) where item k is within the limit of the text around one of the places (row, start)."""
         item = self.words[k]
         n, limit = len(item), allowed(len(item), self.percent)
+        apart: list[tuple[int, int]] = []  # one place stands for those up to ``limit`` behind it
+        for d, start in at:
+            if not apart or apart[-1][0] != d or start > apart[-1][1] + limit:
+                apart.append((d, start))
         wide = n + 4 * limit
         own = np.zeros(1 << 12, bool)
         own[(item >> np.uint64(52)).astype(np.int64)] = True
-        middle = np.clip(starts + n // 2, 0, len(w.hash) - 1)
-        doc = w.doc[middle]
-        for a in range(0, len(starts), 512):
-            s, d = starts[a : a + 512], doc[a : a + 512]
-            at = s[:, None] - 2 * limit + np.arange(wide)
-            inside = (at >= w.first[d][:, None]) & (at < w.first[d + 1][:, None])
-            window = np.where(inside, hashes[np.clip(at, 0, len(w.hash))], np.uint64(0))
+        block = max(1, min(512, (1 << 20) // wide))
+        for a in range(0, len(apart), block):
+            d, s = (np.array(x) for x in zip(*apart[a : a + block]))
+            where = s[:, None] - limit + np.arange(wide)
+            inside = (where >= w.first[d][:, None]) & (where < w.first[d + 1][:, None])
+            window = np.where(inside, hashes[np.clip(where, 0, len(w.hash))], np.uint64(0))
             # a text within the limit holds at least n - limit words of the item; the table may count some too many
-            near = np.flatnonzero(own[(window >> np.uint64(52)).astype(np.int64)].sum(axis=1) >= n - limit)
-            s, d, at, window = s[near], d[near], at[near], window[near]
-            row = np.zeros((len(s), wide + 1), np.int32)  # the item may begin anywhere
+            near = np.flatnonzero((own[(window >> np.uint64(52)).astype(np.int64)] & inside).sum(axis=1) >= n - limit)
+            if not len(near):
+                continue
+            d, where, window = d[near], where[near], window[near]
+            row = np.zeros((len(near), wide + 1), np.int32)  # the item may begin anywhere
             step = np.arange(wide + 1, dtype=np.int32)
-            for i in range(n if len(s) else 0):
+            for word in item:
                 best = row + 1
-                np.minimum(best[:, 1:], row[:, :-1] + (window != item[i]), out=best[:, 1:])
+                np.minimum(best[:, 1:], row[:, :-1] + (window != word), out=best[:, 1:])
                 row = np.minimum.accumulate(best - step, axis=1) + step
             dist = row.min(axis=1)
-            for j in np.flatnonzero(dist <= limit) if len(s) else ():
-                stop = int(at[j, 0]) + int(row[j].argmin())
+            for j in np.flatnonzero(dist <= limit):
+                stop = int(where[j, 0]) + int(row[j].argmin())
                 yield int(d[j]), int(dist[j]), max(0, stop - n - int(w.first[d[j]]))
 
 
-def blocks(benchmark: DataFrame, percent: int, block_items: int = BLOCK_ITEMS, inside: bool = False) -> Iterator[Index]:
-    """Indexes of the items, ``block_items`` at a time or so, by a hash of the text."""
+def passes(benchmark: DataFrame, percent: int, block_bytes: int = BLOCK_BYTES) -> Iterator[bytes]:
+    """Pickled lists of indexes, for one pass each; the items of one index take about ``block_bytes``.
+
+    They are pickled by value: executors need numpy and pyarrow, not this repository.
+    """
     items = benchmark.select("item_id", "text").filter("text IS NOT NULL")
-    count = max(1, -(-items.count() // block_items))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = -(-total // block_bytes)
+    key = F.xxhash64("item_id", F.when(F.col("item_id").isNull(), F.col("text")))
+    indexes: list[Index] = []
     for k in range(count):
-        part = items.filter(F.pmod(F.xxhash64("text", "item_id"), F.lit(count)) == k)
+        part = items.filter(F.pmod(key, F.lit(count)) == k)
         rows = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda x: (str(x[0]), x[1]))
-        if rows:
-            yield Index(rows, percent, inside)
+        indexes += [Index(rows, percent)] if rows else []
+        if indexes and (len(indexes) == PASS_BLOCKS or k == count - 1):
+            yield cloudpickle.dumps(indexes)
+            indexes = []
+    if indexes:
+        yield cloudpickle.dumps(indexes)
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_items: int = BLOCK_ITEMS, inside: bool = False) -> DataFrame:
+def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, n_item_words, edits, first_word): the items found in each text, and how far from the item."""
     kind, item_kind = dict(documents.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id {kind}, item_id {item_kind}, n_item_words long, edits long, first_word long"
     names = ["doc_id", "item_id", "n_item_words", "edits", "first_word"]
     out = documents.sparkSession.createDataFrame([], schema)
-    for index in blocks(benchmark, percent, block_items, inside):
-        shared = documents.sparkSession.sparkContext.broadcast(index)
+    for payload in passes(benchmark, percent, block_bytes):
+        shared = documents.sparkSession.sparkContext.broadcast(payload)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+            indexes = pickle.loads(shared.value)
+            ids = pa.array([x for index in indexes for x in index.ids])
             for b in batches:
                 for i, _, data, offsets in tx.slices(b.column(0)):
-                    got = index.find(data, offsets)
+                    base, got = 0, []
+                    for index in indexes:
+                        got += [(i + d, base + k, len(index.words[k]), dist, place) for d, k, dist, place in index.find(data, offsets)]
+                        base += len(index.ids)
                     if got:
-                        row, item, edits, place = zip(*got)
-                        yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array([i + r for r in row])), pa.array([index.ids[k] for k in item]), pa.array([len(index.words[k]) for k in item]), pa.array(edits), pa.array(place)], names)
+                        row, item, *rest = (pa.array(x, pa.int64()) for x in zip(*got))
+                        yield pa.RecordBatch.from_arrays([b.column(1).take(row), ids.take(item), *rest], names)
 
         out = out.unionByName(documents.select("text", "doc_id").mapInArrow(run, schema))
     return out
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_items: int = BLOCK_ITEMS, inside: bool = False) -> DataFrame:
+def clean(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``documents`` in whose text no item is found; all columns stay as they are."""
-    for index in blocks(benchmark, percent, block_items, inside):
-        shared = documents.sparkSession.sparkContext.broadcast(index)
-        column = documents.columns.index("text")
+    column = documents.columns.index("text")
+    for payload in passes(benchmark, percent, block_bytes):
+        shared = documents.sparkSession.sparkContext.broadcast(payload)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, column=column) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            indexes = pickle.loads(shared.value)
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
                 for i, _, data, offsets in tx.slices(b.column(column)):
-                    for row, *_ in shared.value.find(data, offsets):
-                        keep[i + row] = False
+                    for index in indexes:
+                        for row, *_ in index.find(data, offsets):
+                            keep[i + row] = False
                 yield b.filter(pa.array(keep))
 
         documents = documents.mapInArrow(run, documents.schema)

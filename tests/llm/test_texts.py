@@ -1,7 +1,12 @@
 """Quality rules, license scans, language ID and decontamination against plain Python."""
 
+import os
 import random
 import re
+import subprocess
+import sys
+import tempfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -218,37 +223,60 @@ def edits(a, b):
     return min(row)
 
 
+def leaks_by_hand(rows, items, percent=20):
+    want = {}
+    for i, t in rows:
+        w = ALNUM.findall((t or "").lower())
+        for k, item in items:
+            p = ALNUM.findall((item or "").lower())
+            e = edits(p, w) if p else 1
+            if p and e <= len(p) * percent // 100:
+                want[i, k] = e
+    return want
+
+
+def changed(rng, words, n, vocab):
+    """The words after n edits."""
+    w = list(words)
+    for _ in range(n):
+        at, how = rng.randrange(len(w)), rng.random()
+        if how < 0.2:
+            w.insert(at, rng.choice(vocab))
+        elif how < 0.4 and len(w) > 1:
+            del w[at]
+        else:
+            w[at] = rng.choice(vocab)
+    return w
+
+
 def test_leaks_equal_brute_force(spark):
+    """Items of 1 to 600 words, whole, edited and halved, inside texts."""
     rng = random.Random(4)
     vocab = [f"w{k}" for k in range(400)]
-    items = [(k, " ".join(rng.choices(vocab, k=rng.randint(8, 60)))) for k in range(25)] + [(100, "Only four words, really"), (101, None), (102, "")]
+    sizes = [1, 2, 5, 7, 8, 9, 12, 30, 60, 255, 256, 257, 300, 513, 600]
+    items = [(k, " ".join([f"item{k}", *rng.choices(vocab, k=n - 1)])) for k, n in enumerate(sizes)] + [(100, "Only four words, really"), (101, None), (102, " -- ")]
     rows = []
-    for i in range(120):
+    for i in range(60):
+        item = items[i % len(sizes)][1].split()
+        item = changed(rng, item, rng.randint(0, len(item) // 12), vocab) if i < 45 else item[: len(item) // 2]
         w = rng.choices(vocab, k=rng.randint(0, 120))
-        if i % 2:
-            item = items[i % 25][1].split()
-            for _ in range(rng.randint(0, len(item) // 10)):
-                item[rng.randrange(len(item))] = rng.choice(vocab)
-            k = rng.randint(0, len(w))
-            w[k:k] = item
+        k = rng.randint(0, len(w))
+        w[k:k] = item
         rows.append((i, " ".join(w)))
-    rows += [(500, None), (501, ""), (502, "only FOUR words -- really!"), (503, "only four words really not"), (1, rows[1][1])]
+    rows += [(500, None), (501, ""), (502, "so only FOUR words -- really! that"), (503, "only four words"), (1, rows[1][1]), (None, items[8][1]), (504, "x " * 20_000 + items[7][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontam.leaks(docs(spark, rows), bench, block_items=10).collect()}
-    want = {}
-    for i, t in rows:
-        w = ALNUM.findall((t or "").lower())
-        for k, item in items:
-            p = ALNUM.findall((item or "").lower())
-            if len(p) >= decontam.SHORTEST:
-                e = edits(p, w)
-                if e <= len(p) // 5:
-                    want[i, k] = e
-            elif p and p == w:
-                want[i, k] = 0
-    assert got == want
-    kept = decontam.clean(docs(spark, rows), bench).collect()
-    assert sorted(r["doc_id"] for r in kept) == sorted(i for i, _ in rows if i not in {i for i, _ in want})
+    got = decontam.leaks(docs(spark, rows), bench, block_bytes=2000).collect()
+    words = {k: len(ALNUM.findall((t or "").lower())) for k, t in items}
+    assert all(r["n_item_words"] == words[r["item_id"]] for r in got)
+    want = leaks_by_hand(rows, items)
+    assert {(r["doc_id"], r["item_id"]): r["edits"] for r in got} == want and (504, 7) in want
+    assert sum(r["doc_id"] == 1 for r in got) == 2 * sum(i == 1 for i, _ in want)
+    extra = docs(spark, [(i, t, 1, "x") for i, t in rows], "doc_id long, text string, item_id int, edits string")
+    kept = decontam.clean(extra, bench)
+    assert kept.columns == extra.columns
+    leaky = {i for i, _ in want}
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((i for i, _ in rows if i not in leaky), key=str)
+    assert decontam.leaks(docs(spark, rows), bench.limit(0)).count() == 0 and decontam.leaks(docs(spark, []), bench).count() == 0
 
 
 @pytest.mark.parametrize("percent", [0, 20, 35])
@@ -260,7 +288,7 @@ def test_short_items_inside_texts(spark, percent):
     rows = [(i, " ".join(rng.choices(vocab + ["zz"] * 30, k=rng.randint(0, 25)))) for i in range(60)] + [(i + 60, " ".join(["zz", *rng.choice(items[:28])[1].split()[i % 2 :], "zz"][i % 3 :])) for i in range(60)]
     rows += [(200, "zz zz ZQ, yx zz"), (201, "zq"), (202, "yx zq"), (203, None), (200, "zz zz ZQ, yx zz")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontam.leaks(docs(spark, rows), bench, percent, inside=True).collect()}
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontam.leaks(docs(spark, rows), bench, percent).collect()}
     want = {}
     for i, t in rows:
         for k, item in items:
@@ -269,21 +297,50 @@ def test_short_items_inside_texts(spark, percent):
             if p and e <= len(p) * percent // 100:
                 want[i, k] = e
     assert got == want and (200, 50) in got and (202, 50) not in got
-    kept = decontam.clean(docs(spark, rows), bench, percent, inside=True).collect()
+    kept = decontam.clean(docs(spark, rows), bench, percent).collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(i for i, _ in rows if i not in {i for i, _ in want})
 
 
-def test_recall_of_the_bit_sampling():
+@pytest.mark.parametrize("percent,least", [(5, 0.99), (10, 0.99), (15, 0.97), (20, 0.93)])
+def test_recall_of_the_bit_sampling(percent, least):
     rng = random.Random(9)
     vocab = [f"v{k}" for k in range(3000)]
-    items = [(k, " ".join(rng.choices(vocab, k=rng.randint(12, 60)))) for k in range(150)]
+    items = [(k, " ".join(rng.choices(vocab, k=rng.randint(12, 60) if k % 5 else rng.randint(257, 300)))) for k in range(150)]
     index = decontam.Index(items, 20)
-    hit = 0
+    hit = total = 0
     for k, item in items:
         w = item.split()
-        for _ in range(len(w) * 12 // 100):
-            at = rng.randrange(len(w))
-            (w.insert(at, rng.choice(vocab)), None)[1] if rng.random() < 0.3 else w.__setitem__(at, rng.choice(vocab))
-        data = np.frombuffer(" ".join(rng.choices(vocab, k=50) + w + rng.choices(vocab, k=50)).encode(), np.uint8)
+        t = changed(rng, w, len(w) * percent // 100, vocab)
+        data = np.frombuffer(" ".join(rng.choices(vocab, k=50) + t + rng.choices(vocab, k=50)).encode(), np.uint8)
+        total += 1
         hit += any(index.ids[f[1]] == k for f in index.find(data, np.array([0, len(data)])))
-    assert hit >= 0.95 * len(items)
+    assert hit >= least * total, hit / total
+
+
+def test_workers_without_the_repository():
+    """Tasks of a session whose Python workers cannot import the package."""
+    script = """
+import sys
+sys.path.insert(0, %r)
+from geoweave.llm import decontam, langid, licenses, neardup, quality
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+def lacking(_):
+    try:
+        import geoweave
+    except ImportError:
+        return [1]
+    return [0]
+assert spark.sparkContext.parallelize([1], 1).mapPartitions(lacking).collect() == [1]
+docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, "other")], "doc_id long, text string")
+bench = spark.createDataFrame([(7, "two three four five six seven eight nine"), (8, "other")], "item_id long, text string")
+assert decontam.leaks(docs, bench).count() == 2
+assert decontam.clean(docs, bench).count() == 0
+assert licenses.license_scan(docs).count() == 2
+assert neardup.near_duplicates(docs).count() == 2
+print("worked")
+""" % str(Path(decontam.__file__).resolve().parents[2])
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    with tempfile.TemporaryDirectory() as away:
+        done = subprocess.run([sys.executable, "-c", script], env=env, cwd=away, capture_output=True, text=True, timeout=300)
+    assert "worked" in done.stdout, done.stderr[-2000:]
