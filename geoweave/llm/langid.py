@@ -9,7 +9,10 @@ every whole text are then classified inside the tasks.
 
 Defined results: `und` with score 0 where the text is null or has no letter, or
 where there was nothing to learn from; ties go to the language that sorts first.
-A null doc_id counts as not held out and is not learned from.
+A null doc_id counts as not held out and is not learned from. Very long texts are
+classified whole, window by window. Repeated rows are predicted like others. Columns
+that the network does not need are carried along whatever their names. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoweave.llm import text as tx
+from geoweave.llm.names import free
 from geoweave.llm.sample import hash_sample
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -55,12 +59,12 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def training_sample(documents: DataFrame, docs: int = SAMPLE_DOCS, windows: int = SAMPLE_WINDOWS) -> list[tuple[bytes, str]]:
-    """At most ``docs`` times ``windows`` pieces of labelled texts outside the held-out fold, chosen by a hash of the id."""
+    """At most ``docs`` times ``windows`` pieces of labelled texts outside the held-out fold, chosen by a hash."""
     usable = documents.filter("doc_id IS NOT NULL AND lang IS NOT NULL").filter(~held_out())
     rows = usable.select("doc_id", "text", "lang").filter("text IS NOT NULL")
     pieces = [F.expr(f"substring(text, 1 + cast(pmod(xxhash64(doc_id, {k}), greatest(length(text) - {WINDOW}, 1)) as int), {WINDOW})").alias(f"p{k}") for k in range(windows)]
     # narrow rows reach the sort: pieces and the language, never whole texts
-    taken = hash_sample(rows.select("doc_id", "lang", *pieces), "doc_id", docs, usable.select("doc_id", "lang")).collect()
+    taken = hash_sample(rows.select("doc_id", "lang", *pieces), docs, usable.select("doc_id", "lang"))
     return [(r[f"p{k}"].encode()[:WINDOW], r["lang"]) for r in taken for k in range(windows) if any(c.isalpha() for c in r[f"p{k}"])]
 
 
@@ -170,9 +174,10 @@ class Classifier:
 
 
 def predict(documents: DataFrame, net: Network | None, carry: list[str]) -> DataFrame:
-    """The ``carry`` columns of every row with lang_pred and score; only the text is looked at."""
+    """The ``carry`` columns of every row and, last, its language and score; only the text is looked at."""
     types = dict(documents.dtypes)
-    names = [*carry, "__lang", "__score"]
+    lang, certainty = free(carry, "lang_pred"), free(carry, "score")
+    names = [*carry, lang, certainty]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(net) if net else None
@@ -186,18 +191,20 @@ def predict(documents: DataFrame, net: Network | None, carry: list[str]) -> Data
             if langs:
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(langs), pa.array(np.concatenate(scores))], names)
 
-    source = documents.select(F.col("text").alias("__text"), *[F.col(f"`{c}`") for c in carry])
-    return source.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in carry), "__lang string, __score double"]))
+    source = documents.select(F.col("text").alias(free(carry, "text")), *[F.col(f"`{c}`") for c in carry])
+    return source.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in carry), f"`{lang}` string, `{certainty}` double"]))
 
 
 def identify(documents: DataFrame, docs: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
     net = train(training_sample(documents, docs))
-    return predict(documents, net, ["doc_id"]).select("doc_id", held_out().alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    return predict(documents, net, ["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(documents: DataFrame, least_score: float = 0.4, docs: int = SAMPLE_DOCS) -> DataFrame:
     """The documents whose language was identified with at least ``least_score``; all columns stay as they are."""
     net = train(training_sample(documents, docs))
     columns = documents.columns
-    return predict(documents, net, columns).filter((F.col("__lang") != "und") & (F.col("__score") >= least_score)).select(*[F.col(f"`{c}`") for c in columns])
+    found = predict(documents, net, columns)
+    lang, certainty = found.columns[-2:]
+    return found.filter((F.col(f"`{lang}`") != "und") & (F.col(f"`{certainty}`") >= least_score)).select(*[F.col(f"`{c}`") for c in columns])
