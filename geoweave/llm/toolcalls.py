@@ -7,14 +7,19 @@ come from pointer doubling: no conversation is gathered in one task, and long
 chains take few joins. Arguments are checked against the tool's schema, and every call becomes one
 line of canonical JSON: sorted keys, no spaces, characters unescaped.
 
-Status, the first that holds: `no_id` (no conversation or call id), `cycle` (it
-depends on itself, directly or not), `unknown_tool`, `invalid_arguments`,
-`no_result`, `ok`; results without a call come as `orphan_result`.
+Status, the first that holds: `no_id` (a call or result without conversation or call
+id), `duplicate` and `duplicate_result` (another row has this id), `cycle` (it
+depends on itself, directly or through others, or on a call that does),
+`unknown_tool`, `invalid_arguments`, `no_result`, `ok`; results without a call come as
+`orphan_result`. No row is left out.
 
 Defined results: dependencies on unknown ids count as met and are listed as
-errors. Of rows with one id the least by value stays, so repeated rows count once.
-Null or malformed arguments are invalid; null content of a result is kept as
-null. Empty tables give no rows. Columns not named here are left out.
+errors. Of different rows with one id the least by value is linked; equal rows count
+once. Arguments are invalid where they are null, no JSON object, nested too deeply,
+name a key twice, or hold what UTF-8 JSON cannot (NaN, infinities, lone surrogates);
+such arguments are kept in the line as the text they were. Null content of a result
+is kept as null. Very long arguments and contents are taken whole. Empty tables give
+no rows. Columns not named here are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -59,7 +64,24 @@ def argument_errors(arguments: object, schema: dict[str, str]) -> list[str]:
 
 
 def canonical(value: object) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def unrepeated(pairs: list[tuple[str, object]]) -> dict[str, object]:
+    found = dict(pairs)
+    if len(found) < len(pairs):
+        raise ValueError("a key is named twice")
+    return found
+
+
+def parsed(arguments: str | None) -> object:
+    """The value of a JSON text that canonical JSON can hold; None otherwise."""
+    try:
+        value = json.loads(arguments or "", object_pairs_hook=unrepeated)
+        canonical(value).encode()
+    except (ValueError, RecursionError):
+        return None
+    return value
 
 
 def depths(parents: DataFrame, most: int) -> DataFrame:
@@ -106,23 +128,35 @@ def levels(calls: DataFrame) -> DataFrame:
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, str]] = SCHEMAS) -> DataFrame:
-    """conv_id, call_id, tool, level, status, errors and line (canonical JSON) of every call and orphan result.
+    """conv_id, call_id, tool, level, status, errors and line (canonical JSON) of every call, and of every result that is no call's.
 
     calls: conv_id, call_id, tool, arguments (JSON), depends (array of call ids);
     results: conv_id, call_id, content.
     """
     both = " AND ".join(f"{k} IS NOT NULL" for k in KEY)
-    no_id = calls.filter(f"NOT ({both})").select(*KEY, "tool", "arguments", F.lit(None).cast("int").alias("level"), F.lit(False).alias("has_result"), F.lit(None).cast("string").alias("content"), F.array().cast("array<string>").alias("depends"), F.array().cast("array<string>").alias("lost"), F.lit("no_id").alias("status"))
-    one = calls.filter(both).groupBy(*KEY).agg(F.min(F.struct("tool", "arguments", F.array_sort(F.coalesce("depends", F.array().cast("array<string>"))).alias("depends"))).alias("c")).select(*KEY, "c.*")
+    none = F.array().cast("array<string>")
+    shape = {"tool": F.lit(None).cast("string"), "arguments": F.lit(None).cast("string"), "level": F.lit(None).cast("int"), "has_result": F.lit(False), "content": F.lit(None).cast("string"), "depends": none, "lost": none}
+    row = lambda df, status, **given: df.select(*KEY, *((given | {k: v for k, v in shape.items() if k not in given})[k].alias(k) for k in shape), status.alias("status"))
+    of_call = {k: F.col(k) for k in ("tool", "arguments", "depends")}
+    of_result = {"content": F.col("content"), "has_result": F.lit(True)}
+
+    calls = calls.select(*KEY, "tool", "arguments", F.array_sort(F.coalesce("depends", none)).alias("depends"))
+    distinct = materialize(calls.filter(both).distinct(), "calls")
+    one = distinct.groupBy(*KEY).agg(F.min(F.struct("tool", "arguments", "depends")).alias("c")).select(*KEY, "c.*")
     one = materialize(one, "calls")
-    answers = results.filter(both).groupBy(*KEY).agg(F.min(F.struct(F.col("content").isNull().alias("none"), "content")).alias("r")).select(*KEY, F.col("r.content").alias("content"), F.lit(True).alias("has_result"))
+    contents = results.filter(both).select(*KEY, "content").distinct()
+    answers = materialize(contents.groupBy(*KEY).agg(F.min(F.struct(F.col("content").isNull().alias("none"), "content")).alias("r")).select(*KEY, F.col("r.content").alias("content")), "answers")
+
     known = one.select("conv_id", F.col("call_id").alias("on"))
     wanted = one.select(*KEY, F.explode("depends").alias("on")).join(known, ["conv_id", "on"], "left_anti")
     lost = wanted.groupBy(*KEY).agg(F.sort_array(F.collect_set("on")).alias("lost"))
-    linked = one.join(answers.hint("shuffle_hash"), KEY, "left").join(levels(one), KEY, "left").join(lost, KEY, "left")
-    linked = linked.select(*KEY, "tool", "arguments", "level", F.coalesce("has_result", F.lit(False)).alias("has_result"), "content", "depends", F.coalesce("lost", F.array().cast("array<string>")).alias("lost"), F.when(F.col("level").isNull(), "cycle").alias("status"))
-    orphans = answers.join(one, KEY, "left_anti").select(*KEY, F.lit(None).cast("string").alias("tool"), F.lit(None).cast("string").alias("arguments"), F.lit(None).cast("int").alias("level"), "has_result", "content", F.array().cast("array<string>").alias("depends"), F.array().cast("array<string>").alias("lost"), F.lit("orphan_result").alias("status"))
-    return serialise(linked.unionByName(no_id).unionByName(orphans), schemas)
+    linked = one.join(answers.withColumn("has_result", F.lit(True)).hint("shuffle_hash"), KEY, "left").join(levels(one), KEY, "left").join(lost, KEY, "left")
+    out = row(linked, F.when(F.col("level").isNull(), "cycle"), **of_call, level=F.col("level"), has_result=F.coalesce("has_result", F.lit(False)), content=F.col("content"), lost=F.coalesce("lost", none))
+    out = out.unionByName(row(calls.filter(f"NOT ({both})"), F.lit("no_id"), **of_call))
+    out = out.unionByName(row(distinct.exceptAll(one), F.lit("duplicate"), **of_call))
+    out = out.unionByName(row(results.filter(f"NOT ({both})"), F.lit("no_id"), **of_result))
+    out = out.unionByName(row(contents.exceptAll(answers), F.lit("duplicate_result"), **of_result))
+    return serialise(out.unionByName(row(answers.join(one, KEY, "left_anti"), F.lit("orphan_result"), **of_result)), schemas)
 
 
 def serialise(rows: DataFrame, schemas: dict[str, dict[str, str]]) -> DataFrame:
@@ -133,14 +167,11 @@ def serialise(rows: DataFrame, schemas: dict[str, dict[str, str]]) -> DataFrame:
         for b in batches:
             status, errors, lines = [], [], []
             for r in b.to_pylist():
-                try:
-                    arguments = json.loads(r["arguments"] or "")
-                except ValueError:
-                    arguments = None
+                arguments = parsed(r["arguments"])
                 tool = r["tool"]
                 wrong = [f"unknown call: {x}" for x in r["lost"]]
                 state = r["status"]
-                if state != "orphan_result":
+                if state is None or state == "cycle":
                     bad = argument_errors(arguments, schemas[tool]) if tool in schemas else ["unknown tool"]
                     state = state or ("unknown_tool" if tool not in schemas else "invalid_arguments" if bad else "ok" if r["has_result"] else "no_result")
                     wrong += bad
@@ -155,13 +186,15 @@ def serialise(rows: DataFrame, schemas: dict[str, dict[str, str]]) -> DataFrame:
 def from_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of plain conversations: every user turn calls a tool, the assistant turn after it is the result.
 
-    A call depends on the call two turns before it; the tool follows from a
-    checksum of the text, and the arguments hold the whole text and its length.
+    A call depends on the calls two and four turns before it; the tool follows from
+    a checksum of the text, and the arguments hold the whole text and its length.
+    Turns of other roles are neither.
     """
     call_id = lambda turn: F.concat(F.lit("call-"), turn.cast("string"))
     asked = conversations.filter("role = 'user'")
     tool = F.element_at(F.array(*[F.lit(t) for t in SCHEMAS]), (F.crc32(F.coalesce("text", F.lit("")).cast("binary")) % len(SCHEMAS) + 1).cast("int"))
     arguments = F.to_json(F.struct(F.col("text").alias("query"), F.length("text").alias("limit")))
-    calls = asked.select("conv_id", call_id(F.col("turn")).alias("call_id"), tool.alias("tool"), arguments.alias("arguments"), F.when(F.col("turn") >= 2, F.array(call_id(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("depends"))
+    depends = F.array_compact(F.array(*[F.when(F.col("turn") >= k, call_id(F.col("turn") - k)) for k in (2, 4)]))
+    calls = asked.select("conv_id", call_id(F.col("turn")).alias("call_id"), tool.alias("tool"), arguments.alias("arguments"), depends.alias("depends"))
     answers = conversations.filter("role = 'assistant'")
     return calls, answers.select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
