@@ -15,6 +15,9 @@ without its own part in the counts.
 Defined results: a null or empty text has no words, fails the base rules and
 scores 0. With no trusted documents every score is 0 and only the base rules
 decide; with no toxic ones there is no floor. Repeated rows are scored like any other row. Rows keep their number.
+Very long texts are counted and scored whole. Of several labels of one doc_id all must
+be good; labels without a doc_id are left out, and rows without one have no label.
+Columns besides doc_id and text are not looked at. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -214,6 +217,23 @@ def marked_texts(docs: DataFrame, marked: DataFrame) -> DataFrame:
     return both.select("text", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("trusted", "toxic")))
 
 
+def quantile(scores: DataFrame, share: float, steps: int = 1000) -> float:
+    """The greatest multiple of 1 / ``steps``, less a half step, that at most ``share`` of the scores lie under; 0 without scores.
+
+    Scores are counted by step, so the result does not depend on any order; log
+    ratios are bounded, and with them the number of steps that reach the driver.
+    """
+    counted = scores.groupBy(F.round(F.col("llr") * steps).cast("int").alias("step")).count().collect()
+    rows = sorted((r["step"], r["count"]) for r in counted)
+    total, below, found = sum(n for _, n in rows), 0, 0.0
+    for step, n in rows:
+        if below > share * total:
+            break
+        found = (step - 0.5) / steps
+        below += n
+    return found
+
+
 def quality_filter(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_loss: float = TRUSTED_LOSS, threshold: float | None = None) -> DataFrame:
     """doc_id, base counts, base_failed, llr and kept of every document.
 
@@ -228,9 +248,7 @@ def quality_filter(documents: DataFrame, labels: DataFrame, buckets: int = BUCKE
     scores = materialize(score(docs, ratios, ["doc_id"], toxic), "scores")
     floor = None if toxic is None else floor_of(scores, marked)
     if threshold is None:
-        own = scores.join(marked.filter("trusted"), "doc_id", "left_semi")
-        threshold = own.filter("n_words >= 10").agg(F.percentile_approx("llr", F.lit(trusted_loss), F.lit(10_000))).first()[0]
-        threshold = 0.0 if threshold is None else threshold
+        threshold = quantile(scores.join(marked.filter("trusted"), "doc_id", "left_semi").filter("n_words >= 10"), trusted_loss)
     failed = F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words")
     good = (F.col("llr") >= F.lit(float(threshold))) & (F.lit(True) if floor is None else F.col("low") >= F.lit(floor))
     return scores.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & good).drop("low", "low_trusted", "low_toxic")
