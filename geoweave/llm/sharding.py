@@ -1,19 +1,27 @@
 """Sharding along a Hilbert curve over quantised metadata.
 
-Size, source and language are quantised to ``BITS`` bits each and give a cell on
-the curve; rows are ordered by cell and cut into runs whose counts differ by one
+Size, source and language are quantised to ``BITS`` bits each by rank and give a cell
+on the curve; rows are ordered by cell and cut into runs whose counts differ by one
 at most (law `rows`). Shards then hold compact boxes of the metadata space, so
 that a reader prunes files by their least and greatest values.
 
+Sizes are ranked by rows, in steps of a quarter of a power of two. Sources and languages
+are ranked among at most ``VALUES`` hash values: each has a bin of its own where there
+are no more of them than bins, and otherwise shares it with its neighbours.
+
 No global sort is needed. Rows of each cell are counted first (a bounded number
 of cells), and a cell is split into buckets by a hash of the id, so many that a
-bucket holds about ``BUCKET_ROWS`` rows. A row's rank is the rows of earlier
-cells, of earlier buckets of its cell, and its place in its bucket; a cell with a
-third of all rows is spread over as many tasks as its size asks for.
+bucket holds about ``BUCKET_ROWS`` rows, up to ``MAX_BUCKETS``. A row's rank is the rows
+of earlier cells, of earlier buckets of its cell, and its place in its bucket; a cell with
+a third of all rows is spread over as many tasks as its size asks for. Equal rows that
+are many are dealt to buckets by their place in the table.
 
 Defined results: a null text has 0 bytes (size 1, checksum of nothing); null
 sources and languages are a value of their own. Repeated rows and rows without
-an id take places like others. Equal texts get no special place under this law.
+an id take places like others. Equal texts get no special place under this law. Very
+long texts are one row like any other. Columns are carried into the written shards
+whatever their names: where one is called `shard` or `slot`, ours gets an underscore
+behind it. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,13 +36,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from geoweave.llm.names import free
+from geoweave.operators import skew
 from geoweave.scratch import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BITS, DIMENSIONS = 4, 3
 SHARDS = 16
-BUCKET_ROWS = 500
+BUCKET_ROWS, MAX_BUCKETS = 100, 4096
+VALUES = 4096
 
 
 def hilbert_index(coordinates: np.ndarray, bits: int) -> np.ndarray:
@@ -66,46 +77,73 @@ def hilbert_index(coordinates: np.ndarray, bits: int) -> np.ndarray:
     return place
 
 
+def steps(documents: DataFrame) -> tuple:
+    """What is ranked in each dimension: a step of the size, a hash value of the source, one of the language."""
+    value = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\0"))), F.lit(VALUES)).cast("int")
+    return F.floor(4 * F.log2(size_of())).cast("int"), value("source"), value("lang")
+
+
+def size_of():
+    return (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long")
+
+
+def bins(documents: DataFrame, bits: int = BITS) -> DataFrame:
+    """(dimension, step, bin), a few thousand rows at most: sizes by the rank of their rows, values by their own rank."""
+    seen = documents.select(F.posexplode(F.array(*steps(documents))).alias("dimension", "step")).groupBy("dimension", "step").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("dimension").orderBy("step")
+    whole = Window.partitionBy("dimension")
+    before = F.sum("n").over(w) - F.col("n")
+    by_rows = F.floor(before * (1 << bits) / F.sum("n").over(whole))
+    by_value = F.floor((F.row_number().over(w) - 1) * (1 << bits) / F.count("*").over(whole))
+    return seen.select("dimension", "step", F.when(F.col("dimension") == 0, by_rows).otherwise(by_value).cast("int").alias("bin"))
+
+
 def cells(documents: DataFrame, bits: int = BITS, carry: bool = False) -> DataFrame:
-    """doc_id, size, text_crc32, source, lang and the cell of every row; with ``carry`` also all its columns as ``__row``."""
+    """doc_id, size, text_crc32, source, lang and the cell of every row; with ``carry`` also all its columns as ``row``."""
     text = F.coalesce("text", F.lit(""))
-    hashed = lambda c: F.pmod(F.xxhash64(F.coalesce(c, F.lit("\0"))), F.lit(1 << bits)).cast("int")
-    rows = documents.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), *([F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("__row")] if carry else []))
-    rows = rows.select("*", F.least(F.floor(F.log2("size")).cast("int"), F.lit((1 << bits) - 1)).alias("__a"), hashed("source").alias("__b"), hashed("lang").alias("__c"))
-    schema = StructType([*rows.schema.fields[:5], StructField("cell", LongType()), *rows.schema.fields[5:-3]])
+    found = materialize(bins(documents, bits), "bins")
+    rows = documents.select("doc_id", size_of().alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), *([F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")] if carry else []), *(s.alias(f"step{k}") for k, s in enumerate(steps(documents))))
+    for k in range(DIMENSIONS):
+        rows = rows.join(F.broadcast(found.filter(F.col("dimension") == k).select(F.col("step").alias(f"step{k}"), F.col("bin").alias(f"bin{k}"))), f"step{k}")
+    whole = ["row"] if carry else []
+    rows = rows.select("doc_id", "size", "text_crc32", "source", "lang", *whole, *(f"bin{k}" for k in range(DIMENSIONS)))
+    schema = StructType([*rows.schema.fields[:5], StructField("cell", LongType()), *rows.schema.fields[5:-DIMENSIONS]])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            place = hilbert_index(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[-3:]], 1), bits)
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(place), *b.columns[5:-3]], names)
+            place = hilbert_index(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[-DIMENSIONS:]], 1), bits)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(place), *b.columns[5:-DIMENSIONS]], names)
 
     return rows.mapInArrow(run, schema)
 
 
 def shard(documents: DataFrame, shards: int = SHARDS, bits: int = BITS, bucket_rows: int = BUCKET_ROWS, carry: bool = False) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, cell, source and lang of every row; with ``carry`` also ``__row``."""
-    rows = materialize(cells(documents, bits, carry), "cells")
-    whole = ["__row"] if carry else []
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, cell, source and lang of every row; with ``carry`` also ``row``."""
+    whole = ["row"] if carry else []
+    rows = materialize(cells(documents, bits, carry).withColumn("seq", F.monotonically_increasing_id()), "cells")
     counted = rows.groupBy("cell").agg(F.count("*").alias("n"))
     # at most 2^(3 * bits) cells, whatever the number of rows
     order = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = counted.select("cell", (F.sum("n").over(order) - F.col("n")).alias("cell_start"), F.ceil(F.col("n") / bucket_rows).cast("long").alias("buckets"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    starts = F.broadcast(starts)
-    placed = rows.join(starts, "cell").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("buckets")))
+    starts = counted.select("cell", (F.sum("n").over(order) - F.col("n")).alias("cell_start"), F.least(F.ceil(F.col("n") / bucket_rows), F.lit(MAX_BUCKETS)).cast("long").alias("buckets"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    # equal rows that are a large part of all: under skew.SHARE of them
+    many = skew.limit_of(rows.count())
+    equal = rows.groupBy("doc_id", "text_crc32").agg(F.count("*").alias("equal")).filter(F.col("equal") > many).select(F.col("doc_id").alias("id"), F.col("text_crc32").alias("crc"), F.lit(True).alias("equal"))
+    placed = rows.join(F.broadcast(starts), "cell").join(F.broadcast(equal), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_crc32") == F.col("crc")), "left")
+    dealt = F.when(F.col("equal"), F.xxhash64("seq")).otherwise(F.xxhash64("doc_id", "text_crc32"))
+    placed = placed.withColumn("bucket", F.pmod(dealt, F.col("buckets"))).drop("id", "crc", "equal")
     in_cell = Window.partitionBy("cell").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sizes = placed.groupBy("cell", "bucket").agg(F.count("*").alias("n")).select("cell", "bucket", (F.sum("n").over(in_cell) - F.col("n")).alias("bucket_start"))
-    in_bucket = Window.partitionBy("cell", "bucket").orderBy("doc_id", "text_crc32", "source", "lang", *map(F.xxhash64, whole))
+    in_bucket = Window.partitionBy("cell", "bucket").orderBy("doc_id", "text_crc32", "source", "lang", *map(F.xxhash64, whole), "seq")
     ranked = placed.withColumn("place", F.row_number().over(in_bucket) - 1).join(sizes, ["cell", "bucket"])
-    rank = F.col("cell_start") + F.col("bucket_start") + F.col("place")
     # shard k holds ranks from ceil(k * total / shards) on
-    number = F.expr(f"(__rank * {shards}) div total")
-    ranked = ranked.withColumn("__rank", rank).withColumn("shard", number.cast("int"))
-    slot = F.expr(f"__rank - (shard * total + {shards - 1}) div {shards}").cast("long")
+    ranked = ranked.withColumn("rank", F.col("cell_start") + F.col("bucket_start") + F.col("place")).withColumn("shard", F.expr(f"(rank * {shards}) div total").cast("int"))
+    slot = F.expr(f"rank - (shard * total + {shards - 1}) div {shards}").cast("long")
     return ranked.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "cell", "source", "lang", *whole)
 
 
 def write_shards(documents: DataFrame, path: str, shards: int = SHARDS) -> None:
     """Write every row in files by shard, each in the order of the curve; several tasks may write one shard."""
-    rows = shard(documents, shards, carry=True).select("__row.*", "shard", "slot")
-    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    number, slot = free(documents.columns, "shard"), free(documents.columns, "slot")
+    rows = shard(documents, shards, carry=True).select("row.*", F.col("shard").alias(number), F.col("slot").alias(slot))
+    rows.repartitionByRange(number, slot).sortWithinPartitions(number, slot).write.partitionBy(number).parquet(path)
