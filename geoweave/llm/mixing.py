@@ -14,7 +14,12 @@ cut is at a whole block, so a source misses its budget by under one block.
 
 Defined results: null sources are one source; null and empty texts have no
 tokens and are taken as often as their block. Sources without tokens have weight
-0 and none of their documents is taken. Repeated rows are taken alike.
+0 and none of their documents is taken. Repeated rows are taken alike. Where even the
+natural weights would repeat a source more often than the limit allows, the exponent is
+1, no source is taken more often than the limit, and the budget is missed: the plan's
+`missed` column says by how many tokens each source falls short. Very long texts count
+with all their words. A document's columns are carried whatever their names. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -76,24 +81,24 @@ def order_key(seed: int, epoch, source, block):
 
 
 def plan(documents: DataFrame, budget: float | None = None, entropy_gain: float = ENTROPY_GAIN, max_epochs: float = MAX_EPOCHS, blocks: int = BLOCKS, seed: int = 11) -> DataFrame:
-    """(source, n, weight, epochs, cut): whole epochs of each source, and the cut of the epoch after them."""
+    """(source, n, weight, missed, epochs, cut): whole epochs of each source, the cut of the epoch after them, and tokens missed for the repetition limit."""
     named = documents.select(source_name().alias("source"), tokens().alias("n"), block_of(seed, blocks).alias("block"))
     per_block = materialize(named.groupBy("source", "block").agg(F.sum("n").alias("n")), "blocks")
     counted = per_block.groupBy("source").agg(F.sum("n").alias("n")).filter("n > 0")
     total = counted.agg(F.sum("n")).first()[0] or 0
     if not total:
-        return documents.sparkSession.createDataFrame([], "source string, n long, weight double, epochs int, cut double")
+        return documents.sparkSession.createDataFrame([], "source string, n long, weight double, missed double, epochs int, cut double")
     sources = materialize(counted.withColumn("p", F.col("n") / F.lit(float(total))), "sources")
     budget = float(total if budget is None else budget)
     a = fit_exponent(sources, budget, entropy_gain, max_epochs)
     z = sources.agg(F.sum(F.pow("p", F.lit(a)))).first()[0]
-    wanted = sources.select("source", "n", (F.pow("p", F.lit(a)) / F.lit(z)).alias("weight")).withColumn("share", F.least(F.col("weight") * budget / F.col("n"), F.lit(max_epochs)))
-    wanted = wanted.withColumn("epochs", F.floor("share").cast("int"))
+    wanted = sources.select("source", "n", (F.pow("p", F.lit(a)) / F.lit(z)).alias("weight")).withColumn("asked", F.col("weight") * budget / F.col("n"))
+    wanted = wanted.withColumn("share", F.least("asked", F.lit(float(max_epochs)))).withColumn("missed", (F.col("asked") - F.col("share")) * F.col("n")).withColumn("epochs", F.floor("share").cast("int"))
     # the last epoch: blocks in their order until the rest of the budget is used up
     last = per_block.join(wanted, "source").select("source", per_block["n"].alias("m"), "epochs", ((F.col("share") - F.col("epochs")) * wanted["n"]).alias("rest"), order_key(seed, F.col("epochs"), F.col("source"), F.col("block")).alias("key"))
     run = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cuts = last.withColumn("used", F.sum("m").over(run)).filter("used <= rest").groupBy("source").agg(F.max("key").alias("cut"))
-    return wanted.select("source", "n", "weight", "epochs").join(cuts, "source", "left").withColumn("cut", F.coalesce("cut", F.lit(-1.0)))
+    return wanted.select("source", "n", "weight", "missed", "epochs").join(cuts, "source", "left").withColumn("cut", F.coalesce("cut", F.lit(-1.0)))
 
 
 def block_of(seed: int, blocks: int):
@@ -101,24 +106,22 @@ def block_of(seed: int, blocks: int):
 
 
 def mix(documents: DataFrame, seed: int = 11, blocks: int = BLOCKS, **limits) -> DataFrame:
-    """Every row as often as it is taken, with source_weight, block, epoch and place (its block's in that epoch)."""
-    spark = documents.sparkSession
-    sources = materialize(plan(documents, blocks=blocks, seed=seed, **limits), "plan").select(F.col("source").alias("__source"), F.col("weight").alias("__weight"), F.col("epochs").alias("__epochs"), F.col("cut").alias("__cut"))
+    """(row, source, weight, block, epoch, place): every row, as a struct, as often as it is taken; place is its block's in that epoch."""
+    sources = materialize(plan(documents, blocks=blocks, seed=seed, **limits), "plan").select("source", "weight", "epochs", "cut")
     small = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    rows = documents.withColumns({"__source": source_name(), "__block": block_of(seed, blocks)})
-    taken = rows.join(F.broadcast(sources) if small else sources, "__source")
-    last = order_key(seed, F.col("__epochs"), F.col("__source"), F.col("__block")) <= F.col("__cut")
-    copies = F.col("__epochs") + last.cast("int")
-    taken = taken.withColumn("__copies", copies).filter("__copies > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
-    return taken.withColumn("__place", order_key(seed, F.col("__epoch"), F.col("__source"), F.col("__block")))
+    rows = documents.select(source_name().alias("source"), block_of(seed, blocks).alias("block"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    taken = rows.join(F.broadcast(sources) if small else sources, "source")
+    last = order_key(seed, F.col("epochs"), F.col("source"), F.col("block")) <= F.col("cut")
+    taken = taken.withColumn("copies", F.col("epochs") + last.cast("int")).filter("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    return taken.select("row", "source", "weight", "block", "epoch", order_key(seed, F.col("epoch"), F.col("source"), F.col("block")).alias("place"))
 
 
 def mixed_ids(documents: DataFrame, **limits) -> DataFrame:
     """doc_id, source, n_tokens, weight, block, epoch and place of every row, as often as it is taken."""
     narrow = mix(documents.select("doc_id", "text", "source"), **limits)
-    return narrow.select("doc_id", F.col("__source").alias("source"), tokens().alias("n_tokens"), F.col("__weight").alias("weight"), F.col("__block").alias("block"), F.col("__epoch").alias("epoch"), F.col("__place").alias("place"))
+    return narrow.select("row.doc_id", "source", tokens("row.text").alias("n_tokens"), "weight", "block", "epoch", "place")
 
 
 def mixed_documents(documents: DataFrame, **limits) -> DataFrame:
     """The columns of ``documents``, every row as often as it is taken."""
-    return mix(documents, **limits).select(*[F.col(f"`{c}`") for c in documents.columns])
+    return mix(documents, **limits).select("row.*")
