@@ -276,6 +276,36 @@ def test_written_shards_keep_every_row(spark, tmp_path):
     assert all(sorted(slots) == list(range(len(slots))) for slots in by.values())
 
 
+def test_written_shards_of_clashing_columns(spark, tmp_path):
+    df = docs(spark, [(i, "t" * i, "en", "s", i, f"x{i}", 7) for i in range(40)], CORPUS + ", Shard string, slot int")
+    sharding.write_shards(df, str(tmp_path / "s"), 4)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert Counter(tuple(r[c] for c in df.columns) for r in back.collect()) == Counter(map(tuple, df.collect()))
+    assert sorted(back.groupBy("shard_").count().collect()) == [(k, 10) for k in range(4)]
+
+
+def test_equal_rows_are_dealt_to_buckets(spark):
+    """A third of all rows are one row: it fills several buckets, and places stay gapless."""
+    df = docs(spark, [(1, "same", "en", "s", 0)] * 4000 + [(i, f"t{i}", "en", "s", 0) for i in range(8000)], CORPUS)
+    got = sharding.shard(df).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(750)) for v in by.values()) and len(by) == 16
+    assert len({(r["shard"], r["slot"]) for r in got if r["doc_id"] == 1 and r["size"] == 5}) == 4000
+
+
+def test_shards_prune(spark):
+    """A filter on one dimension reads few of the shards: sizes, sources and languages each narrow them down."""
+    rng = random.Random(3)
+    rows = [(i, "x" * int(10 ** rng.uniform(0, 5)), rng.choice(["de", "en", "es", "fr"]), f"s{rng.randrange(12)}", 0) for i in range(6000)]
+    s = sharding.shard(docs(spark, rows, CORPUS))
+    by = {r["shard"]: r for r in s.groupBy("shard").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.collect_set("source").alias("sources"), F.collect_set("lang").alias("langs")).collect()}
+    read = lambda test: sum(map(test, by.values())) / len(by)
+    share = [np.mean([read(lambda r: r["lo"] <= v <= r["hi"]) for v in (3, 100, 5000, 60_000)]), np.mean([read(lambda r: f"s{k}" in r["sources"]) for k in range(12)]), np.mean([read(lambda r: x in r["langs"]) for x in ("de", "en", "es", "fr")])]
+    assert all(x <= 0.7 for x in share), share
+
+
 def test_mixing(spark):
     rows = corpus(3000)
     df = docs(spark, [*rows, *rows[:2]], CORPUS)
@@ -302,8 +332,8 @@ def test_mixing(spark):
         times[r["source"]][r["doc_id"], r["epoch"]] += 1
         assert abs(r["weight"] - want[r["source"]]) < 1e-4
     block = Counter()
-    for r in mixing.mix(df).select("__source", "__block", "doc_id").distinct().collect():
-        block[r["__source"], r["__block"]] += n[r["doc_id"]]
+    for r in mixing.mix(df).select("source", "block", "row.doc_id").distinct().collect():
+        block[r["source"], r["block"]] += n[r["doc_id"]]
     for s in p:
         short = want[s] * total - taken[s]
         assert -1e-3 * total <= short <= max(v for (x, _), v in block.items() if x == s) + 1e-3 * total
@@ -316,6 +346,17 @@ def test_mixing_of_nothing(spark):
     assert mixing.mixed_ids(docs(spark, [(1, None, "en", None, 0), (2, "", "en", "s", 0)], CORPUS)).count() == 0
     one = mixing.mixed_documents(docs(spark, [(1, "a b", "en", None, 0)], CORPUS))
     assert one.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    clash = docs(spark, [(1, "w " * 100_000, "s", 2, "b", 3), (2, "v", "s", 2, "b", 3)], "doc_id long, text string, source string, block int, row string, `cut` int")
+    assert mixing.mixed_documents(clash).columns == clash.columns
+
+
+def test_repetition_limit_that_cannot_be_met(spark):
+    """A budget of ten times the tokens: every source stays at the limit, and the plan says what is missed."""
+    df = docs(spark, [(i, "a b c d", "en", f"s{i % 3}", 0) for i in range(60)], CORPUS)
+    plan = mixing.plan(df, budget=2400, max_epochs=4.0).collect()
+    assert [(r["n"], r["epochs"], round(r["missed"])) for r in plan] == [(80, 4, 480)] * 3
+    assert mixing.mixed_ids(df, budget=2400, max_epochs=4.0).count() == 240
+    assert all(r["missed"] == 0 for r in mixing.plan(df).collect())
 
 
 CALLS = "conv_id long, call_id string, tool string, arguments string, depends array<string>"
@@ -328,7 +369,7 @@ def test_tool_calls(spark):
         (1, "x", "search", good, ["y"]), (1, "y", "search", good, ["x"]), (1, "z", "search", good, ["x", "a"]), (1, "u", "nope", good, ["gone"]), (2, "a", "search", None, None), (2, "e", "search", "not json", []), (None, "a", "search", good, []), (3, None, "search", good, []), (4, "only", "compute", '{"query":"","limit":1.5,"weights":[1]}', []),
     ], CALLS)
     results = spark.createDataFrame([(1, "a", "ra"), (1, "b", None), (1, "a", "rb"), (1, "lost", "r"), (4, "only", "r")], "conv_id long, call_id string, content string")
-    got = {(r["conv_id"], r["call_id"]): r for r in toolcalls.link(calls, results).collect()}
+    got = {(r["conv_id"], r["call_id"]): r for r in toolcalls.link(calls, results).filter("status <> 'duplicate_result'").collect()}
     status = {k: r["status"] for k, r in got.items()}
     assert status == {(1, "a"): "ok", (1, "b"): "ok", (1, "c"): "invalid_arguments", (1, "x"): "cycle", (1, "y"): "cycle", (1, "z"): "cycle", (1, "u"): "unknown_tool", (2, "a"): "invalid_arguments", (2, "e"): "invalid_arguments", (None, "a"): "no_id", (3, None): "no_id", (1, "lost"): "orphan_result", (4, "only"): "ok"}
     assert [got[1, k]["level"] for k in "abc"] == [0, 1, 2]
@@ -338,9 +379,27 @@ def test_tool_calls(spark):
     assert toolcalls.link(none, results.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("arguments", ['{"query":"\\ud800","limit":1}', "[" * 200_000, '{"query":NaN,"limit":1}', '{"query":"a","limit":1e999}', '{"query":"a","query":"b","limit":1}', '{"query":"a","limit":' + "9" * 5000 + "}", '{"a":' * 100_000, "{", "[]", ""])
+def test_arguments_that_are_no_canonical_json(spark, arguments):
+    calls = spark.createDataFrame([(1, "a", "search", arguments, None), (1, "b", "search", '{"query":"\\u00e9","limit":1}', ["a"])], CALLS)
+    got = {r["call_id"]: r for r in toolcalls.link(calls, spark.createDataFrame([(1, "a", "x" * 300_000), (1, "b", None)], "conv_id long, call_id string, content string")).collect()}
+    assert got["a"]["status"] == "invalid_arguments" and got["b"]["status"] == "ok"
+    assert json.loads(got["a"]["line"])["arguments"] == (arguments if arguments != "[]" else [])
+    assert json.loads(got["b"]["line"])["arguments"] == {"query": "é", "limit": 1}
+
+
+def test_no_call_or_result_is_lost(spark):
+    calls = spark.createDataFrame([(1, "a", "search", "{}", None), (1, "a", "search", "{}", None), (1, "a", "lookup", "{}", None), (1, "a", "search", None, ["q"]), (None, None, None, None, None)], CALLS)
+    results = spark.createDataFrame([(1, "a", "x"), (1, "a", "y"), (1, "a", "x"), (1, "a", None), (None, "a", "z"), (1, None, None), (2, "b", "o"), (2, "b", "p")], "conv_id long, call_id string, content string")
+    got = Counter(r["status"] for r in toolcalls.link(calls, results).collect())
+    assert got == {"invalid_arguments": 1, "duplicate": 2, "duplicate_result": 3, "no_id": 3, "orphan_result": 1}
+
+
 def test_long_chain_and_order(spark):
+    """Chains, and calls with many dependencies, against a plain longest path."""
     n = 300
     rows = [(7, f"n{i:04d}", "lookup", "{}", [f"n{i - 1:04d}"] if i else []) for i in range(n)] + [(8, f"m{i}", "lookup", "{}", [f"m{j}" for j in range(i) if (i * j) % 3 != 1]) for i in range(12)]
+    rows += [(9, f"call-{t}", "lookup", "{}", [f"call-{t - k}" for k in (2, 4) if t >= k]) for t in range(60)]
     level = {(r["conv_id"], r["call_id"]): r["level"] for r in toolcalls.levels(spark.createDataFrame(rows, CALLS)).collect()}
     want = {}
     for c, k, _, _, deps in rows:
@@ -349,10 +408,13 @@ def test_long_chain_and_order(spark):
 
 
 def test_conversation_turns(spark):
-    turns = [(1, 0, "system", "s"), (1, 1, "user", "ask é"), (1, 2, "assistant", "answer"), (1, 3, "user", None), (None, 1, "user", "x"), (2, None, "user", "y"), (1, 1, "user", "ask é"), (3, 1, None, "z")]
-    got = {(r["conv_id"], r["call_id"]): r for r in toolcalls.link(*toolcalls.from_turns(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()}
+    turns = [(1, 0, "system", "s"), (1, 1, "user", "ask é"), (1, 2, "assistant", "answer"), (1, 3, "user", None), (None, 1, "user", "x"), (2, None, "user", "y"), (1, 1, "user", "ask é"), (3, 1, None, "z"), (1, 5, "user", "last"), (None, 2, "assistant", "q")]
+    rows = toolcalls.link(*toolcalls.from_turns(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()
+    got = {(r["conv_id"], r["call_id"]): r for r in rows}
     assert got[1, "call-1"]["status"] == "ok" and json.loads(got[1, "call-1"]["line"])["arguments"] == {"query": "ask é", "limit": 5}
     assert got[1, "call-3"]["level"] == 1 and got[1, "call-3"]["status"] == "invalid_arguments"
+    assert got[1, "call-5"]["level"] == 2 and json.loads(got[1, "call-5"]["line"])["depends"] == ["call-1", "call-3"]
+    assert Counter(r["status"] for r in rows)["no_id"] == 3
 
 
 def test_pipeline(spark, tmp_path):

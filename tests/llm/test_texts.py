@@ -6,6 +6,7 @@ import re
 import subprocess
 import sys
 import tempfile
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -94,6 +95,30 @@ def test_log_ratios_equal_brute_force(spark):
         assert abs(got[i]["llr"] - lam[b].mean()) < 1e-9
 
 
+def test_repetitive_lines_are_told_apart(spark):
+    """Two Thue-Morse lines, and lines longer than any that is hashed in one piece."""
+    a = "ab"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a + "\n" + b), (2, a + "\n" + b + "\n" + a), (3, a[:2048] + "\n" + b[:2048]), (4, "\n".join("x" * n for n in (255, 256, 257, 256, 257))), (5, " ".join([a, b, a, b, a] * 2)), (6, "é " * 300_000)]
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.quality_filter(docs(spark, rows), none).collect()}
+    for i, t in rows:
+        assert (got[i]["n_words"], got[i]["word_chars"], got[i]["n_symbols"], got[i]["n_dup_lines"], got[i]["n_repeat_words"]) == base_of(t)
+
+
+def test_threshold_is_the_quantile(spark):
+    rng = random.Random(5)
+    values = [rng.gauss(0, 1) for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values], "llr double")
+    for share in (0.005, 0.3):
+        t = quality.quantile(df, share)
+        below = sum(v < t for v in values)
+        assert below <= share * len(values) < sum(v < t + 0.002 for v in values) + 2
+    assert quality.quantile(df.limit(0), 0.1) == 0
+
+
 def test_quality_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.quality_filter(docs(spark, []), none).count() == 0
@@ -153,13 +178,80 @@ def test_automaton(words, accepted):
 
 
 def test_template_needs_a_mandatory_head():
-    for bad in ("[[a]] b c", "a <<x:0,1>> b", "a"):
+    for bad in ("<<x:1,2>> a b", "[[a]]", "[[<<x:0,1>>]] a b", "<<x:0,1>>"):
         with pytest.raises(ValueError):
             licenses.Automaton("t", bad)
+    a = licenses.Automaton("t", "[[x [[y]]]] b c")
+    assert a.heads == {(b"x", b"y"), (b"x", b"b"), (b"b", b"c")}
+
+
+def as_regex(template):
+    """The template as a regular expression over words with a space behind each."""
+    out = ""
+    for part in re.findall(r"\[\[|\]\]|<<[^>]*>>|[^\s\[\]<>]+", template):
+        if part == "[[":
+            out += "(?:"
+        elif part == "]]":
+            out += ")?"
+        elif part.startswith("<<"):
+            least, most = part[2:-2].split(":")[1].split(",")
+            out += r"(?:\S+ ){%s,%s}" % (least, most)
+        else:
+            out += re.escape(part) + " "
+    return re.compile(out)
+
+
+def instance(rng, template):
+    """A text that the template accepts, with a random choice for every region."""
+    out, skip = [], 0
+    for part in re.findall(r"\[\[|\]\]|<<[^>]*>>|[^\s\[\]<>]+", template):
+        if part == "[[":
+            skip += bool(skip or rng.random() < 0.5)
+        elif part == "]]":
+            skip -= bool(skip)
+        elif skip:
+            continue
+        elif part.startswith("<<"):
+            least, most = map(int, part[2:-2].split(":")[1].split(","))
+            out += [f"n{rng.randrange(99)}" for _ in range(rng.randint(least, most))]
+        else:
+            out.append(part)
+    return out
+
+
+def test_whole_licenses_equal_brute_force(spark):
+    """Instances of all templates, whole and with a word changed, dropped or added, against regular expressions."""
+    rng = random.Random(17)
+    rows = []
+    for label, template in licenses.TEMPLATES:
+        for kind in range(8):
+            w = instance(rng, template)
+            at = rng.randrange(len(w))
+            if kind == 1:
+                w[at] = "other"
+            elif kind == 2:
+                del w[at]
+            elif kind == 3:
+                w.insert(at, "more")
+            elif kind == 4:
+                del w[len(w) // 2 :]
+            rows.append((len(rows), " ".join(["some", "words", *w, "after", "it"])))
+    rows += [(9000, None), (9001, ""), (9002, "x " * 50_000 + rows[-8][1].upper()), (0, rows[0][1]), (None, rows[0][1])]
+    got = licenses.license_scan(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    patterns = [(label, as_regex(t)) for label, t in licenses.TEMPLATES]
+    wanted = {}
+    for i, t in rows:
+        flat = "".join(x + " " for x in ALNUM.findall((t or "").translate(LOWER)))
+        wanted[i] = sorted({label for label, p in patterns if p.search(flat)} | {label for phrase, label in licenses.BASE_PHRASES if f" {phrase} " in " " + flat})
+    for r in got:
+        assert r["labels"] == ",".join(wanted[r["doc_id"]]), (r["doc_id"], r["labels"])
+        assert (r["score"] == 1) == bool(r["labels"])
+    assert sum(bool(x) for x in wanted.values()) >= 4 * len(licenses.TEMPLATES)
 
 
 def test_partial_license(spark):
-    text = "Permission is hereby granted, free of charge, to any person obtaining a copy of something else"
+    text = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to something else"
     r = licenses.license_scan(docs(spark, [(1, text)])).first()
     assert r["labels"] == "" and 0.1 < r["score"] < 1
 
@@ -204,9 +296,19 @@ def test_classifier_equals_plain_convolution():
     assert np.allclose(c.windows(x), p / p.sum(1, keepdims=True), atol=1e-5)
 
 
+def test_sample_of_repeated_ids(spark):
+    """One doc_id for all rows, and rows that are all equal: there is something to learn from."""
+    free = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5)
+    rows = [(free, t, lang) for _, t, lang in languages(40)]
+    net = langid.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 10, 1)
+    assert 9 <= len(net) <= 10
+    same = langid.training_sample(spark.createDataFrame(rows[:1] * 40, "doc_id long, text string, lang string"), 10, 1)
+    assert len(same) == 10
+
+
 def test_keep_identified_keeps_columns(spark):
     rows = [(*r, "s", 1) for r in languages(60)] + [(999, None, "aa", "s", 1)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score int")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, SCORE int")
     kept = langid.keep_identified(df)
     assert kept.columns == df.columns
     assert {r["doc_id"] for r in kept.collect()} >= {i for i in range(60)} - {i for i in range(60) if len(rows[i][1]) < 20} and 999 not in {r["doc_id"] for r in kept.collect()}
