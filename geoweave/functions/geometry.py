@@ -59,6 +59,28 @@ def segment_distance(a: str, b: str) -> Column:
     return F.when(segments_meet(a, b), 0.0).otherwise(ends)
 
 
+def strip_frame(s: str, px, py) -> tuple[Column, Column, Column]:
+    """Place of a point along and across the segment s.x1..y2, and the segment's length."""
+    x1, y1, x2, y2 = (F.col(f"{s}.{c}").cast("double") for c in ("x1", "y1", "x2", "y2"))
+    n = F.hypot(x2 - x1, y2 - y1)
+    dx, dy = col(px) - x1, col(py) - y1
+    return (dx * (x2 - x1) + dy * (y2 - y1)) / F.nullif(n, F.lit(0.0)), (dy * (x2 - x1) - dx * (y2 - y1)) / F.nullif(n, F.lit(0.0)), n
+
+
+def strip_distance(s: str, px, py, half: float) -> Column:
+    """Distance of a point from the flat-ended strip of ``half`` to both sides of the segment s."""
+    u, v, n = strip_frame(s, px, py)
+    return F.hypot(F.greatest(F.lit(0.0), -u, u - n), F.greatest(F.lit(0.0), F.abs(v) - half))
+
+
+def meets_strip(a: str, s: str, half: float) -> Column:
+    """Segment a has a point in the flat-ended strip of ``half`` to both sides of segment s."""
+    u1, v1, n = strip_frame(s, f"{a}.x1", f"{a}.y1")
+    u2, v2, _ = strip_frame(s, f"{a}.x2", f"{a}.y2")
+    t0, t1 = clip_interval(u1, v1, u2 - u1, v2 - v1, 0.0, -half, n, half)
+    return t0 <= t1
+
+
 def to_pixels(v, scale) -> Column:
     """Nearest pixel; halves go to the even one."""
     return F.bround(col(v) * col(scale)).cast("long")

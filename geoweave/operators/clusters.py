@@ -28,8 +28,24 @@ def cluster_1d(points: DataFrame, value: str, gap: float = 15.0, by: str = "map_
     return points.withColumn("cluster", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
+def cut_at_gaps(points: DataFrame, reach: float, by: str = "map_id", order: str = "ord", turns: int = 4, inclusive: bool = False) -> DataFrame:
+    """Adds `chain`, a string: points are cut at gaps of ``reach`` (or over it, if ``inclusive``) along x, then y, in turns."""
+    keys: list[str] = []
+    for turn in range(turns):
+        axis = "xy"[turn % 2]
+        w = Window.partitionBy(by, *keys).orderBy(axis, order)
+        step = F.col(axis) - F.lag(axis).over(w)
+        new = F.when(step <= reach if inclusive else step < reach, 0).otherwise(1)
+        points = points.withColumn(f"__cut{turn}", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        keys.append(f"__cut{turn}")
+    return points.withColumn("chain", F.concat_ws(".", *keys)).drop(*keys)
+
+
 def thin(points: DataFrame, least: float = 2.0, by: str = "map_id", order: str = "ord") -> DataFrame:
-    """Points in order without those closer than ``least`` to the last one kept."""
+    """Points in order without those closer than ``least`` to the last one kept.
+
+    What is kept depends on all points before, so one group's points are one array.
+    """
     runs = points.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, "x", "y"))).alias("run"))
 
     def step(kept, new):
@@ -64,8 +80,9 @@ def radius_clusters(points: DataFrame, radius: float, by: str = "map_id", order:
 
     The first free point takes all free points within ``radius`` of itself.
     Directions are flipped to the side of the cluster's first one before the mean.
+    Points act on each other within ``radius`` only, so each chain is folded by itself.
     """
-    runs = points.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, "x", "y", "dx", "dy"))).alias("run"))
+    runs = cut_at_gaps(points, radius, by, order, inclusive=True).groupBy(by, "chain").agg(F.array_sort(F.collect_list(F.struct(order, "x", "y", "dx", "dy"))).alias("run"))
 
     def step(seeds, p):
         hit = F.transform(seeds, lambda s: F.hypot(s["x"] - p["x"], s["y"] - p["y"]) <= radius)
@@ -73,9 +90,12 @@ def radius_clusters(points: DataFrame, radius: float, by: str = "map_id", order:
 
     seeds = runs.select(by, "run", F.aggregate("run", F.filter("run", lambda r: F.lit(False)), step).alias("seeds"))
     members = seeds.select(by, "seeds", F.explode("run").alias("p"))
+    # clusters of a map are numbered in the order of their seeds
+    numbers = seeds.select(by, F.explode(F.transform("seeds", lambda s: s[order])).alias("seed"))
+    numbers = numbers.select(by, "seed", F.row_number().over(Window.partitionBy(by).orderBy("seed")).alias("cluster"))
     # a point belongs to the first seed in reach, as seeds take free points in order
     place = F.array_position(F.transform("seeds", lambda s: F.hypot(s["x"] - F.col("p.x"), s["y"] - F.col("p.y")) <= radius), True).cast("int")
-    placed = members.select(by, place.alias("cluster"), "p", F.get("seeds", place - 1).alias("s"))
+    placed = members.select(by, "p", F.get("seeds", place - 1).alias("s")).withColumn("seed", F.col(f"s.{order}")).join(numbers, [by, "seed"])
     side = F.when(F.col("p.dx") * F.col("s.dx") + F.col("p.dy") * F.col("s.dy") < 0, -1.0).otherwise(1.0)
     return placed.groupBy(by, "cluster").agg(F.avg("p.x").alias("x"), F.avg("p.y").alias("y"), F.sum(side * F.col("p.dx")).alias("dx"), F.sum(side * F.col("p.dy")).alias("dy"), F.count("*").alias("n"))
 

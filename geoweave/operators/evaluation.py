@@ -25,6 +25,17 @@ def differences(outcome: DataFrame) -> DataFrame:
     return outcome.groupBy("map_id").agg(texts("fn").alias("missed"), texts("fp").alias("surplus"))
 
 
+def totals(outcome: DataFrame, timings: DataFrame, known: DataFrame) -> DataFrame:
+    """(variant, seconds, verdict): a variant's reading time, and PASS if it missed nothing and found nothing new that is wrong.
+
+    outcome has `variant`; timings: variant, map_id, seconds; known: map_id and text of what is known to be found wrongly.
+    """
+    bad = outcome.filter("outcome <> 'tp'").join(known.withColumn("known", F.lit(True)), ["map_id", "text"], "left").filter("outcome = 'fn' OR known IS NULL")
+    failed = bad.groupBy("variant").agg(F.lit(True).alias("failed"))
+    spent = timings.groupBy("variant").agg(F.sum("seconds").alias("seconds"))
+    return spent.join(failed, "variant", "left").select("variant", F.round("seconds", 1).alias("seconds"), F.when(F.col("failed"), "FAIL").otherwise("PASS").alias("verdict"))
+
+
 def variants(outcome: DataFrame) -> DataFrame:
     """By variant: counts, precision, recall, and whether all maps are perfect; outcome also has `variant`."""
     n = lambda k: F.count_if(F.col("outcome") == k)

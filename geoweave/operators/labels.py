@@ -1,9 +1,10 @@
 """Label readings: repair, confidence, positional folds, the best for each text.
 
 The folds depend on the order of readings (`ord`), so each map's readings are
-folded in order. Only readings that are close can act on each other: a fold runs
-over a chain of readings whose gaps along one axis are within reach, which keeps
-the arrays short however many readings a map has.
+folded in order. Only readings that are close on both axes can act on each other: a
+fold runs over a chain, and a map is cut into chains wherever a gap along x, then along
+y, and so on in turns, is out of reach. Where a map has no such gap, a chain is as long
+as the map's readings.
 """
 
 from __future__ import annotations
@@ -11,7 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoweave.functions import geometry as g
 from geoweave.functions import labels as fl
+from geoweave.operators.clusters import cut_at_gaps
+from geoweave.operators.spatial import range_join
 
 
 def load(readings: DataFrame) -> DataFrame:
@@ -20,6 +24,42 @@ def load(readings: DataFrame) -> DataFrame:
     return repaired.filter(fl.valid(F.col("text"))).filter(fl.confident())
 
 
+def load_plain(readings: DataFrame) -> DataFrame:
+    """Valid and confident readings as they are, without repair."""
+    return readings.filter(fl.valid(F.col("text"))).filter(fl.confident())
+
+
+def load_sure(readings: DataFrame, least: float = 0.75) -> DataFrame:
+    """The older loader: trimmed readings that the builder's pattern accepts, with a confidence of ``least``."""
+    return readings.withColumn("text", F.trim("text")).filter(fl.valid(F.col("text"), fl.BUILDER) & (F.col("conf") >= least))
+
+
+def build(passes: list[DataFrame], second: DataFrame | None = None) -> DataFrame:
+    """A map's readings from all passes: merged, gaps filled by a second reader, repaired, and one for each place."""
+    merged = passes[0]
+    for p in passes[1:]:
+        merged = merged.unionByName(p)
+    merged = merge_passes(merged)
+    if second is not None:
+        merged = fill_gaps(merged, second)
+    return positional_dedup(merged.withColumn("text", fl.repair_reading(F.col("text"))))
+
+
+def along_route(labels: DataFrame, route: DataFrame, reach: float = 200.0) -> DataFrame:
+    """Adds `s`: how far along the route the nearest point of it lies; x itself beyond ``reach``, or without a route.
+
+    The route's segments are taken in the order of seg_id; of equally near ones the first counts.
+    """
+    w = Window.partitionBy("map_id").orderBy("seg_id").rowsBetween(Window.unboundedPreceding, -1)
+    run = route.withColumn("len", g.length()).withColumn("start", F.coalesce(F.sum("len").over(w), F.lit(0.0)))
+    d = g.point_segment_distance("l.x", "l.y", "r.x1", "r.y1", "r.x2", "r.y2")
+    near = range_join(labels.select("map_id", "label_ord", "x", "y"), run, reach, d <= reach, pad=reach, left_box=("x", "y", "x", "y"))
+    u, _, n = g.strip_frame("r", "l.x", "l.y")
+    at = F.col("r.start") + F.coalesce(F.greatest(F.lit(0.0), F.least(u, n)), F.lit(0.0))
+    best = near.groupBy("l.map_id", "l.label_ord").agg(F.min(F.struct(d.alias("d"), F.col("r.seg_id").alias("seg_id"), at.alias("s"))).alias("m")).select("map_id", "label_ord", F.col("m.s").alias("at"))
+    return labels.join(best, ["map_id", "label_ord"], "left").withColumn("s", F.coalesce("at", F.col("x").cast("double"))).drop("at")
+
+
 def best_per_text(labels: DataFrame) -> DataFrame:
     """One label for each map and text: the most confident, the first of equals."""
     top = F.max_by(F.struct("label_ord", "conf", "x", "y"), F.struct(F.col("conf"), -F.col("label_ord")))
@@ -39,10 +79,8 @@ def one_per_face(labels: DataFrame) -> DataFrame:
 
 
 def chains(readings: DataFrame, reach: float) -> DataFrame:
-    """Adds `chain`: readings of one map whose neighbours along x lie within ``reach``."""
-    w = Window.partitionBy("map_id").orderBy("x", "ord")
-    new = F.when(F.col("x") - F.lag("x").over(w) < reach, 0).otherwise(1)
-    return readings.withColumn("chain", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    """Adds `chain`: no two readings of different chains of a map are within ``reach`` on both axes."""
+    return cut_at_gaps(readings, reach)
 
 
 def fold(readings: DataFrame, reach: float, step, start: Column | None = None) -> DataFrame:

@@ -26,11 +26,37 @@ def rasterize(segments: DataFrame, scale: float = 1.0) -> DataFrame:
 
 def thicken(pixels: DataFrame, radius: int) -> DataFrame:
     """Pixels within a disc of ``radius`` around pixels."""
-    disc = [(dx, dy) for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1) if dx * dx + dy * dy <= radius * radius]
-    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in disc])
+    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in disc(radius)])
     return pixels.select("map_id", "px", "py", F.inline(offsets)).select("map_id", (F.col("px") + F.col("dx")).alias("px"), (F.col("py") + F.col("dy")).alias("py")).distinct()
 
 
+def disc(radius: int) -> list[tuple[int, int]]:
+    return [(dx, dy) for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1) if dx * dx + dy * dy <= radius * radius]
+
+
+def thinned(pixels: DataFrame, radius: int) -> DataFrame:
+    """Pixels whose whole disc of ``radius`` is among the pixels."""
+    offsets = disc(radius)
+    moves = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets])
+    around = pixels.select("map_id", "px", "py").distinct().select("map_id", "px", "py", F.inline(moves))
+    held = around.groupBy("map_id", (F.col("px") + F.col("dx")).alias("px"), (F.col("py") + F.col("dy")).alias("py")).agg(F.count("*").alias("n"))
+    return held.filter(F.col("n") == len(offsets)).select("map_id", "px", "py")
+
+
+def closed(pixels: DataFrame, radius: int = 2) -> DataFrame:
+    """Morphological closing: thickened, then thinned again, which joins what lies within twice the radius."""
+    return thinned(thicken(pixels, radius), radius)
+
+
+def kept_regions(sizes: DataFrame, least: int, most: int, held: DataFrame | None = None) -> DataFrame:
+    """Regions that touch no edge, of ``least`` to ``most`` pixels; larger ones too if ``held`` (map_id, region) names them."""
+    inner = sizes.filter("NOT touches_edge").filter(F.col("n") >= least)
+    if held is None:
+        return inner.filter(F.col("n") <= most)
+    marked = inner.join(held.select("map_id", "region").distinct().withColumn("held", F.lit(True)), ["map_id", "region"], "left")
+    return marked.filter((F.col("n") <= most) | F.col("held")).drop("held")
+
+
 def background_runs(boundary: DataFrame, pages: DataFrame) -> DataFrame:
     """(map_id, run, py, lo, hi): maximal runs of pixels that are no boundary; pages has map_id, width and height in pixels."""
     edge = pages.select("map_id", "width", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height") - 1)).alias("py"))

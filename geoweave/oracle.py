@@ -5,7 +5,7 @@ from __future__ import annotations
 from geoweave.operators.rays import DIRECTIONS
 from geoweave.sources.derived import LABELS, READINGS, RECTANGLES, SEGMENTS
 from geoweave.sources.ingest import PASSES
-from geoweave.streaming.progress import STEPS
+from geoweave.streaming.progress import LOG_STEPS, STEPS
 
 SEG = f"seg AS ({SEGMENTS}), green AS (SELECT * FROM seg WHERE layer = 'green'), route AS (SELECT * FROM seg WHERE layer = 'route')"
 LBL = f"lbl AS ({LABELS})"
@@ -71,7 +71,7 @@ POINTS = "pts AS (SELECT map_id, seg_id AS ord, CAST(x1 AS DOUBLE) AS x, CAST(y1
 RING = """ring AS (SELECT map_id, face_id, 0 AS ord, x0 AS x1, y0 AS y1, x1 AS x2, y0 AS y2 FROM rect UNION ALL SELECT map_id, face_id, 1, x1, y0, x1, y1 FROM rect
  UNION ALL SELECT map_id, face_id, 2, x1, y1, x0, y1 FROM rect UNION ALL SELECT map_id, face_id, 3, x0, y1, x0, y0 FROM rect)"""
 
-TRUTH = f"{LBL}, f AS (SELECT DISTINCT map_id, text FROM lbl WHERE label_ord % 7 <> 0), t AS (SELECT DISTINCT map_id, text FROM lbl WHERE label_ord % 5 <> 0), oc AS (SELECT coalesce(f.map_id, t.map_id) AS map_id, coalesce(f.text, t.text) AS text, CASE WHEN f.text IS NULL THEN 'fn' WHEN t.text IS NULL THEN 'fp' ELSE 'tp' END AS outcome FROM f FULL JOIN t ON f.map_id = t.map_id AND f.text = t.text)"
+TRUTH = f"{LBL}, f AS (SELECT DISTINCT map_id, text FROM lbl WHERE conf >= 0.2), t AS (SELECT DISTINCT map_id, text FROM lbl WHERE y < 480), oc AS (SELECT coalesce(f.map_id, t.map_id) AS map_id, coalesce(f.text, t.text) AS text, CASE WHEN f.text IS NULL THEN 'fn' WHEN t.text IS NULL THEN 'fp' ELSE 'tp' END AS outcome FROM f FULL JOIN t ON f.map_id = t.map_id AND f.text = t.text)"
 
 PROGRESS = "pv AS (SELECT user_id AS job_id, event_id AS seq, ts, event_id % 9 AS idx, event_id % 3 = 0 AS complete FROM events), st AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', {w})" for i, (k, _, w) in enumerate(STEPS)) + ") v(idx, step, weight))"
 
@@ -182,7 +182,7 @@ e AS (SELECT doc, name AS map_name, trim(unnest(string_split(line, ','))) AS tex
 SELECT DISTINCT doc, map_name, text FROM e WHERE text <> ''""",
     "chunk_plan": f"WITH {SEG}, p AS (SELECT map_id, CAST(max(x1) * 7 AS BIGINT) AS wp FROM seg GROUP BY map_id), a AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {w}, {o})" for i, (_, w, o, _, _) in enumerate(PASSES)) + ") v(pass, w, o)), c AS (SELECT map_id, wp, pass, w, unnest(range(0, greatest(wp, 1), w - o)) AS l, w - o AS s FROM p CROSS JOIN a) SELECT map_id, pass, CAST(l // s AS INT) AS chunk, l AS \"left\", least(l + w, wp) AS \"right\" FROM c",
     "content_keys": "SELECT doc_id, substr(sha256(text), 1, 24) AS key FROM documents",
-    "cache_misses": "WITH k AS (SELECT doc_id, substr(sha256(text), 1, 24) AS key FROM documents) SELECT * FROM k WHERE key NOT IN (SELECT key FROM k WHERE doc_id % 3 = 0 AND key IS NOT NULL)",
+    "cache_misses": "WITH k AS (SELECT doc_id, lang, substr(sha256(text), 1, 24) AS key FROM documents) SELECT doc_id, key FROM k WHERE key IS NULL OR key NOT IN (SELECT key FROM k WHERE lang = 'en' AND key IS NOT NULL)",
     "pixel_coordinates": f"WITH {SEG} SELECT map_id, seg_id, CAST(round_even(x1 * 0.5e0, 0) AS BIGINT) AS px, CAST(round_even(y1 * 2.5e0, 0) AS BIGINT) AS py FROM seg",
     "clipped_segments": f"""WITH {SEG}, c AS (SELECT map_id, seg_id, x1, y1, CAST(x2 - x1 AS DOUBLE) AS dx, CAST(y2 - y1 AS DOUBLE) AS dy FROM seg),
 t AS (SELECT map_id, seg_id, greatest(0, CASE WHEN dx = 0 THEN CASE WHEN x1 BETWEEN 100 AND 500 THEN 0 ELSE 2 END ELSE least((100 - x1) / dx, (500 - x1) / dx) END, CASE WHEN dy = 0 THEN CASE WHEN y1 BETWEEN 100 AND 400 THEN 0 ELSE 2 END ELSE least((100 - y1) / dy, (400 - y1) / dy) END) AS t0,
@@ -223,18 +223,74 @@ SELECT map_id, round(ex + 250 * sin(t), 3) AS x1, round(ey - 250 * cos(t), 3) AS
 
 def _pixels(table: str) -> str:
     """CTE px(map_id, px, py) of the pixels of the segments in ``table``."""
-    return f"""st AS (SELECT map_id, CAST(x1 AS BIGINT) AS a, CAST(y1 AS BIGINT) AS b, CAST(x2 AS BIGINT) AS c, CAST(y2 AS BIGINT) AS d FROM {table}),
+    seg = "seg_id" if table == "route" else "face_id"
+    return f"""st AS (SELECT map_id, {seg} AS seg_id, CAST(x1 AS BIGINT) AS a, CAST(y1 AS BIGINT) AS b, CAST(x2 AS BIGINT) AS c, CAST(y2 AS BIGINT) AS d FROM {table}),
 ex AS (SELECT *, greatest(abs(c - a), abs(d - b)) AS n, unnest(range(0, greatest(abs(c - a), abs(d - b)) + 1)) AS k FROM st),
-px AS (SELECT map_id, a + CAST(CASE WHEN n > 0 THEN round_even((c - a) * k / n, 0) ELSE 0 END AS BIGINT) AS px, b + CAST(CASE WHEN n > 0 THEN round_even((d - b) * k / n, 0) ELSE 0 END AS BIGINT) AS py FROM ex)"""
+px AS (SELECT map_id, seg_id, a + CAST(CASE WHEN n > 0 THEN round_even((c - a) * k / n, 0) ELSE 0 END AS BIGINT) AS px, b + CAST(CASE WHEN n > 0 THEN round_even((d - b) * k / n, 0) ELSE 0 END AS BIGINT) AS py FROM ex)"""
 
 
 ORACLE |= {
-    "boundary_pixels": f"WITH {SEG}, {_pixels('route')} SELECT map_id, count(*) AS n, CAST(sum(px) AS BIGINT) AS sx, CAST(sum(py) AS BIGINT) AS sy FROM px GROUP BY map_id",
+    "boundary_pixels": f"WITH {SEG}, {_pixels('route')} SELECT map_id, seg_id, px, py FROM px",
+    "closed_pixels": f"""WITH {SEG}, {_pixels('route')}, o AS (SELECT dx, dy FROM range(-2, 3) a(dx), range(-2, 3) b(dy) WHERE dx * dx + dy * dy <= 4),
+thick AS (SELECT DISTINCT map_id, px + dx AS px, py + dy AS py FROM px, o) SELECT map_id, px + dx AS px, py + dy AS py FROM thick, o GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM o)""",
     "background_runs": f"""WITH {RECT}, {RING}, {_pixels('ring')}, ln AS (SELECT map_id, unnest(range(0, 500)) AS py FROM (SELECT DISTINCT map_id FROM rect)),
 mk AS (SELECT DISTINCT map_id, py, px FROM px WHERE px BETWEEN 0 AND 999 AND py BETWEEN 0 AND 499 UNION ALL SELECT map_id, py, -1 FROM ln UNION ALL SELECT map_id, py, 1000 FROM ln),
 nx AS (SELECT *, lead(px) OVER (PARTITION BY map_id, py ORDER BY px) AS nxt FROM mk)
-SELECT map_id, count(*) AS runs, CAST(sum(nxt - px - 1) AS BIGINT) AS pixels FROM nx WHERE nxt > px + 1 GROUP BY map_id""",
+SELECT map_id, py, px + 1 AS lo, nxt - 1 AS hi FROM nx WHERE nxt > px + 1""",
     "region_sizes": f"WITH {RECT} SELECT map_id, CAST((x1 - x0 - 1) * (y1 - y0 - 1) AS BIGINT) AS n FROM rect",
     "annotation_rows": f"""WITH {SEG}, {LOADED}, {RAYS.replace('FROM lbl', 'FROM ok')}, {CROSSED}, c AS (SELECT g.* FROM green g SEMI JOIN crossed c ON g.map_id = c.map_id AND g.seg_id = c.seg_id), h AS (SELECT DISTINCT l.map_id, l.label_ord FROM rays l JOIN c ON l.map_id = c.map_id AND {meet('l', 'c')}),
 v AS (SELECT DISTINCT map_id, text FROM ok SEMI JOIN h USING (map_id, label_ord)) SELECT map_id, text, x, y, 'crossed' AS tag, 'red' AS color FROM ok SEMI JOIN v USING (map_id, text)""",
 }
+
+# the customers' rectangles with a horizontal route, and labels among them
+PLOTS = f"""{RECT}, {RING}, pl AS (SELECT CAST(c_custkey - c_custkey % 50 AS BIGINT) AS map_id, CAST(c_custkey AS BIGINT) AS label_ord, CAST(c_custkey AS VARCHAR) AS text, ((c_custkey * 37) % 101) / 100 AS conf, (c_custkey * 6007) % 1000 + 0.5e0 AS x, (c_custkey * 50021) % 500 + 0.25e0 AS y FROM customer),
+hit AS (SELECT * FROM rect WHERE y0 < 215 AND y1 > 215 AND x0 <= 450),
+top AS (SELECT p.* FROM pl p JOIN hit r ON p.map_id = r.map_id AND p.x > r.x0 AND p.x < r.x1 AND p.y > r.y0 AND p.y < r.y1 QUALIFY row_number() OVER (PARTITION BY r.map_id, r.face_id ORDER BY conf DESC, length(text) DESC, label_ord) = 1)"""
+CUT = """s AS (SELECT map_id, seg_id, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(x2 AS DOUBLE) AS x2, CAST(y2 AS DOUBLE) AS y2 FROM seg)"""
+FRAME = "((CAST({0} AS DOUBLE) - r.x1) * (r.x2 - r.x1) + ({1} - r.y1) * (r.y2 - r.y1)) / nullif(sqrt(CAST((r.x2 - r.x1) ** 2 + (r.y2 - r.y1) ** 2 AS DOUBLE)), 0)"
+ACROSS = "((CAST({1} AS DOUBLE) - r.y1) * (r.x2 - r.x1) - ({0} - r.x1) * (r.y2 - r.y1)) / nullif(sqrt(CAST((r.x2 - r.x1) ** 2 + (r.y2 - r.y1) ** 2 AS DOUBLE)), 0)"
+
+ORACLE |= {
+    "noded_edges": f"""WITH {SEG}, {CUT},
+p AS (SELECT l.map_id, l.seg_id, l.x1 AS x, l.y1 AS y, l.x2 - l.x1 AS dx, l.y2 - l.y1 AS dy, r.x2 - r.x1 AS ex, r.y2 - r.y1 AS ey, r.x1, r.y1, r.x2, r.y2 FROM s l JOIN s r ON l.map_id = r.map_id AND l.seg_id <> r.seg_id AND {meet('l', 'r')}),
+c AS (SELECT map_id, seg_id, unnest(CASE WHEN dx * ey - dy * ex <> 0 THEN [((x1 - x) * ey - (y1 - y) * ex) / (dx * ey - dy * ex)] ELSE [((x1 - x) * dx + (y1 - y) * dy) / nullif(dx * dx + dy * dy, 0), ((x2 - x) * dx + (y2 - y) * dy) / nullif(dx * dx + dy * dy, 0)] END) AS t FROM p),
+t AS (SELECT DISTINCT map_id, seg_id, t FROM c WHERE t > 0 AND t < 1 UNION SELECT map_id, seg_id, unnest([0e0, 1e0]) FROM s),
+n AS (SELECT map_id, seg_id, t, (CAST(round_even((x1 + t * (x2 - x1)) * 1024, 0) AS BIGINT), CAST(round_even((y1 + t * (y2 - y1)) * 1024, 0) AS BIGINT)) AS n FROM t JOIN s USING (map_id, seg_id)),
+e AS (SELECT map_id, n, lead(n) OVER (PARTITION BY map_id, seg_id ORDER BY t) AS m FROM n),
+d AS (SELECT DISTINCT map_id, least(n, m) AS u, greatest(n, m) AS v FROM e WHERE m IS NOT NULL AND m <> n)
+SELECT map_id, u[1] / 1024 AS x1, u[2] / 1024 AS y1, v[1] / 1024 AS x2, v[2] / 1024 AS y2 FROM d""",
+    "junction_extensions": f"WITH {RECT} SELECT map_id, round(x0 + 20, 3) AS x1, round(y1, 3) AS y1, round(x0 + 20, 3) AS x2, round(y1 - 40, 3) AS y2 FROM rect",
+    "cycle_verdicts": f"WITH {PLOTS} SELECT map_id, text, 'crossed' AS verdict, 'cycle' AS via, label_ord FROM top",
+    "face_verdicts": f"WITH {PLOTS} SELECT map_id, text, 'crossed' AS verdict, 'face' AS via, label_ord FROM top",
+    "kept_regions": f"WITH {RECT} SELECT map_id, CAST((x1 - x0 - 1) * (y1 - y0 - 1) AS BIGINT) AS n FROM rect WHERE (x1 - x0 - 1) * (y1 - y0 - 1) BETWEEN 3000 AND 6000",
+    "green_in_route_buffer": f"""WITH {SEG}, j AS (SELECT l.map_id, l.seg_id, {meet('l', 'r')} AS met, {FRAME.format('l.x1', 'l.y1')} AS u1, {FRAME.format('l.x2', 'l.y2')} AS u2, {ACROSS.format('l.x1', 'l.y1')} AS v1, {ACROSS.format('l.x2', 'l.y2')} AS v2, sqrt(CAST((r.x2 - r.x1) ** 2 + (r.y2 - r.y1) ** 2 AS DOUBLE)) AS n
+  FROM green l JOIN route r ON l.map_id = r.map_id AND abs(l.x1 - r.x1) < 200 AND abs(l.y1 - r.y1) < 200),
+k AS (SELECT *, CASE WHEN u1 = u2 THEN CASE WHEN u1 BETWEEN 0 AND n THEN 0 ELSE 2 END ELSE least(-u1 / (u2 - u1), (n - u1) / (u2 - u1)) END AS a0, CASE WHEN u1 = u2 THEN 1 ELSE greatest(-u1 / (u2 - u1), (n - u1) / (u2 - u1)) END AS a1,
+ CASE WHEN v1 = v2 THEN CASE WHEN v1 BETWEEN -2.5 AND 2.5 THEN 0 ELSE 2 END ELSE least((-2.5 - v1) / (v2 - v1), (2.5 - v1) / (v2 - v1)) END AS b0, CASE WHEN v1 = v2 THEN 1 ELSE greatest((-2.5 - v1) / (v2 - v1), (2.5 - v1) / (v2 - v1)) END AS b1 FROM j)
+SELECT DISTINCT map_id, seg_id FROM k WHERE met OR greatest(0, a0, b0) <= least(1, a1, b1)""",
+    "label_filter_plain": f"WITH {LBL} SELECT map_id, label_ord, text, conf FROM lbl WHERE {VALID.format('text')} AND conf >= CASE WHEN source = 'easy_high' THEN 0.25 ELSE 0.4 END AND NOT (regexp_matches(text, '^[0-9]{{2}}$') AND conf < 0.5) AND NOT ends_with(text, '/0')",
+    "label_filter_sure": f"WITH {LBL} SELECT map_id, label_ord, trim(text) AS text, conf FROM lbl WHERE {BVALID.format('trim(text)')} AND conf >= 0.75",
+    "place_along_route": f"""WITH {SEG}, {LBL}, q AS (SELECT *, sqrt(CAST((x2 - x1) ** 2 + (y2 - y1) ** 2 AS DOUBLE)) AS len FROM route), r AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY map_id ORDER BY seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM q),
+d AS (SELECT l.map_id, l.label_ord, l.x, l.y, r.*, coalesce(greatest(0, least(len, {FRAME.format('l.x', 'l.y')})), 0) AS u FROM lbl l JOIN r ON l.map_id = r.map_id),
+e AS (SELECT map_id, label_ord, seg_id, start + u AS s, sqrt((x - x1 - coalesce(u / nullif(len, 0), 0) * (x2 - x1)) ** 2 + (y - y1 - coalesce(u / nullif(len, 0), 0) * (y2 - y1)) ** 2) AS dist FROM d),
+b AS (SELECT map_id, label_ord, s FROM e WHERE dist <= 200 QUALIFY row_number() OVER (PARTITION BY map_id, label_ord ORDER BY round(dist, 9), seg_id) = 1)
+SELECT map_id, label_ord, round(coalesce(s, x), 4) AS s FROM lbl LEFT JOIN b USING (map_id, label_ord)""",
+    "face_centroids": f"WITH {RECT} SELECT map_id, face_id, round((x0 + x1) / 2, 6) AS cx, round((y0 + y1) / 2, 6) AS cy FROM rect",
+    "parallel_pairs": f"""WITH {SEG}, e AS (SELECT map_id, seg_id, x2 AS x, y2 AS y, (x2 - x1) / sqrt(CAST((x2 - x1) ** 2 + (y2 - y1) ** 2 AS DOUBLE)) AS dx, (y2 - y1) / sqrt(CAST((x2 - x1) ** 2 + (y2 - y1) ** 2 AS DOUBLE)) AS dy FROM green WHERE x1 <> x2 OR y1 <> y2),
+p AS (SELECT a.map_id, a.seg_id AS a, b.seg_id AS b, CAST((a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS DOUBLE) AS d2, a.dx AS adx, a.dy AS ady, b.dx AS bdx, b.dy AS bdy, b.x - a.x AS vx, b.y - a.y AS vy FROM e a JOIN e b ON a.map_id = b.map_id AND a.seg_id < b.seg_id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 3600)
+SELECT map_id, a, b, d2 FROM p WHERE d2 > 0 AND abs(adx * bdx + ady * bdy) >= 0.85 AND abs(adx * vx / sqrt(d2) + ady * vy / sqrt(d2)) <= 0.3 AND abs(bdx * vx / sqrt(d2) + bdy * vy / sqrt(d2)) <= 0.3""",
+    "tangent_crosslines": f"""WITH {SEG}, f AS (SELECT p.map_id, p.seg_id AS ord, CAST(p.x1 AS DOUBLE) AS px, CAST(p.y1 AS DOUBLE) AS py, CAST(r.x1 + r.x2 AS DOUBLE) / 2 AS x, CAST(r.y1 + r.y2 AS DOUBLE) / 2 AS y FROM route p JOIN route r ON p.map_id = r.map_id AND (p.x1 - (r.x1 + r.x2) / 2) ** 2 + (p.y1 - (r.y1 + r.y2) / 2) ** 2 <= 22500),
+a AS (SELECT map_id, ord, px, py, atan2(2 * covar_samp(x, y), var_samp(x) - var_samp(y)) / 2 AS t FROM f GROUP BY ALL HAVING count(*) >= 4)
+SELECT map_id, ord, round(px + 25 * sin(t), 3) AS x1, round(py - 25 * cos(t), 3) AS y1 FROM a""",
+    "corridor_long_lines": f"WITH {RECT}, {RING} SELECT map_id, least(x1, x2) AS x1, least(y1, y2) AS y1, greatest(x1, x2) AS x2, greatest(y1, y2) AS y2 FROM ring WHERE abs(x2 - x1) + abs(y2 - y1) >= 60",
+    "corridor_shares": f"WITH {RECT}, c AS (SELECT map_id, face_id, (least(x1, 620) - greatest(x0, -5)) * (least(y1, 305) - greatest(y0, 195)) AS shared, least(x1, 620) > x0 AND least(y1, 305) > greatest(y0, 195) AS met FROM rect) SELECT map_id, face_id, round(shared, 3) AS shared FROM c WHERE met",
+    "corridor_faces": f"WITH {RECT} SELECT map_id, face_id FROM rect WHERE least(x1, 620) > x0 AND least(y1, 305) > greatest(y0, 195) AND (least(x1, 620) - x0) * (least(y1, 305) - greatest(y0, 195)) >= 0.7 * (x1 - x0) * (y1 - y0) AND (x0 + x1) / 2 < 620 AND (y0 + y1) / 2 > 195 AND (y0 + y1) / 2 < 305",
+    "corridor_labels": f"WITH {PLOTS} SELECT map_id, label_ord FROM pl WHERE x > -5 AND x < 620 AND y > 195 AND y < 305 AND map_id IN (SELECT map_id FROM rect)",
+    "log_line_steps": "WITH l AS (SELECT o_orderkey, [" + ", ".join("'" + p.strip("^").replace("[0-9]+", "7") + "'" for p, _ in LOG_STEPS) + ", 'other', 'x paths:'][CAST(o_orderkey % 18 AS INT) + 1] || ' ' || o_orderkey AS line FROM orders) SELECT o_orderkey, line, CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN '{step}'" for p, step in LOG_STEPS) + " END AS step FROM l",
+    "cancelled_events": f"""WITH {PROGRESS}, n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS n FROM pv), j AS (SELECT n.job_id, n.seq, coalesce(n.ts > a.ts, false) AS cancelled FROM n LEFT JOIN (SELECT job_id, ts FROM n WHERE n = 5) a ON n.job_id = a.job_id)
+SELECT job_id, seq, cancelled FROM j QUALIFY NOT cancelled OR row_number() OVER (PARTITION BY job_id, cancelled ORDER BY seq) = 1""",
+    "keepalive_events": f"""WITH {PROGRESS}, g AS (SELECT job_id, seq, CAST(floor(epoch(ts)) AS BIGINT) AS t0, CAST(floor(epoch(lead(ts) OVER (PARTITION BY job_id ORDER BY seq))) AS BIGINT) AS t1 FROM pv),
+q AS (SELECT job_id, seq, t0, unnest(range(1, CAST(floor((t1 - t0 - 1) / 86400) AS BIGINT) + 1)) AS k FROM g WHERE t1 IS NOT NULL) SELECT job_id, seq, k, t0 + k * 86400 AS alive_at FROM q""",
+    "variant_totals": f"""WITH {TRUTH}, t2 AS (SELECT map_id, text FROM lbl WHERE y < 480), s AS (SELECT count(*) * 0.25e0 AS seconds FROM t2)
+SELECT 'A' AS variant, round(seconds, 1) AS seconds, CASE WHEN (SELECT count(*) FROM oc WHERE outcome = 'fn') > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM s UNION ALL SELECT 'B', round(seconds, 1), 'PASS' FROM s""",
+}

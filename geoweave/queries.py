@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoweave.functions import geometry as g
 from geoweave.functions import labels as fl
-from geoweave.operators import closures, clusters, crossing, directions, evaluation, faces, raster, rays, topology
+from geoweave.operators import closures, clusters, corridor, crossing, directions, evaluation, faces, raster, rays, topology
 from geoweave.operators import drawings as dr
 from geoweave.operators import labels as lb
 from geoweave.plans import strategies
@@ -204,8 +204,7 @@ def tesseract_gaps(spark, d):
 
 @query
 def noded_edges(spark, d):
-    e = topology.edge_coordinates(topology.noded_edges(derived.segments(spark, d)))
-    return e.groupBy("map_id").agg(F.count("*").alias("edges"), F.round(F.sum(g.length()), 2).alias("length"))
+    return topology.edge_coordinates(topology.noded_edges(derived.segments(spark, d))).select("map_id", "x1", "y1", "x2", "y2")
 
 
 @query
@@ -230,8 +229,8 @@ def eval_outcomes(spark, d):
 
 
 def _found_and_truth(spark, d):
-    l_ = derived.labels(spark, d).select("map_id", "label_ord", F.concat("text", F.lit("")).alias("text"))
-    return l_.filter("label_ord % 7 <> 0").select("map_id", "text"), l_.filter("label_ord % 5 <> 0").select("map_id", "text")
+    l_ = derived.labels(spark, d)
+    return l_.filter("conf >= 0.2").select("map_id", "text"), l_.filter("y < 480").select("map_id", "text")
 
 
 @query
@@ -274,8 +273,9 @@ def content_keys(spark, d):
 
 @query
 def cache_misses(spark, d):
-    k = derived.table(spark, d, "documents").select("doc_id", ingest.content_key(F.col("text").cast("binary")).alias("key"))
-    return ingest.cache_misses(k, k.filter("doc_id % 3 = 0"))
+    """Documents whose content no English document has."""
+    k = derived.table(spark, d, "documents").select("doc_id", "lang", ingest.content_key(F.col("text").cast("binary")).alias("key"))
+    return ingest.cache_misses(k.drop("lang"), k.filter("lang = 'en'"))
 
 
 @query
@@ -356,8 +356,11 @@ def gap_closures(spark, d):
 
 @query
 def junction_extensions(spark, d):
-    e = topology.noded_edges(derived.segments(spark, d).filter("layer = 'green'"))
-    return closures.extend_junctions(e).select("map_id", *[F.round(x, 3).alias(x) for x in ("x1", "y1", "x2", "y2")])
+    """A stub on the upper side of every customer rectangle, carried on through the side."""
+    sides = ring_edges(spark, d).select("map_id", (F.col("face_id") * 5 + F.col("ord")).alias("seg_id"), "x1", "y1", "x2", "y2")
+    x = F.col("x0") + 20
+    stubs = derived.rectangles(spark, d).select("map_id", (F.col("face_id") * 5 + 4).alias("seg_id"), x.alias("x1"), "y1", x.alias("x2"), (F.col("y1") + 0.75).alias("y2"))
+    return closures.extend_junctions(topology.noded_edges(sides.unionByName(stubs))).select("map_id", *[F.round(c, 3).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 @query
@@ -407,24 +410,41 @@ def hybrid_crossed(spark, d):
     return strategies.hybrid(derived.segments(spark, d), lb.load(derived.labels(spark, d)), _pages(spark, d))
 
 
+def _plots(spark, d):
+    """The customers' rectangles as boundaries with a horizontal route through their maps, and labels among them."""
+    sides = ring_edges(spark, d).select("map_id", (F.col("face_id") * 5 + F.col("ord")).alias("seg_id"), F.lit("green").alias("layer"), "x1", "y1", "x2", "y2")
+    route = sides.select("map_id").distinct().select("map_id", F.lit(-1).cast("long").alias("seg_id"), F.lit("route").alias("layer"), F.lit(-10.0).alias("x1"), F.lit(215.0).alias("y1"), F.lit(450.0).alias("x2"), F.lit(215.0).alias("y2"))
+    k = F.col("c_custkey").cast("long")
+    labels_ = derived.table(spark, d, "customer").select((k - k % 50).alias("map_id"), k.alias("label_ord"), k.cast("string").alias("text"), ((k * 37) % 101 / 100).alias("conf"), ((k * 6007) % 1000 + 0.5).cast("double").alias("x"), ((k * 50021) % 500 + 0.25).cast("double").alias("y"))
+    return sides.unionByName(route), labels_
+
+
 @query
 def cycle_verdicts(spark, d):
-    return strategies.by_cycles(derived.segments(spark, d), lb.load(derived.labels(spark, d)))
+    return strategies.by_cycles(*_plots(spark, d)).select("map_id", "text", "verdict", "via", "label_ord")
 
 
-def _pixel_pages(spark, d):
-    return derived.segments(spark, d).select("map_id").distinct().select("map_id", F.lit(1000).cast("long").alias("width"), F.lit(600).cast("long").alias("height"))
+@query
+def region_verdicts(spark, d):
+    segments, labels_ = _plots(spark, d)
+    pages = segments.select("map_id").distinct().select("map_id", F.lit(1100).cast("long").alias("width"), F.lit(600).cast("long").alias("height"))
+    return strategies.by_regions(segments, labels_, pages)
 
 
 @query
-def region_verdicts(spark, d):
-    return strategies.by_regions(derived.segments(spark, d), lb.load(derived.labels(spark, d)), _pixel_pages(spark, d))
+def face_verdicts(spark, d):
+    """Crossed labels of the customers' rectangles: those in a rectangle that the route runs through, the surest of each."""
+    return strategies.by_faces(*_plots(spark, d)).filter("verdict = 'crossed'")
 
 
 @query
 def boundary_pixels(spark, d):
-    p = raster.rasterize(derived.segments(spark, d).filter("layer = 'route'"))
-    return p.groupBy("map_id").agg(F.count("*").alias("n"), F.sum("px").alias("sx"), F.sum("py").alias("sy"))
+    return raster.rasterize(derived.segments(spark, d).filter("layer = 'route'"))
+
+
+@query
+def closed_pixels(spark, d):
+    return raster.closed(raster.rasterize(derived.segments(spark, d).filter("layer = 'route'")))
 
 
 @query
@@ -432,8 +452,7 @@ def background_runs(spark, d):
     """Runs of background of the rectangles' maps, whose boundaries are the rectangles' sides."""
     sides = ring_edges(spark, d).withColumn("seg_id", F.col("face_id"))
     pages = derived.rectangles(spark, d).select("map_id").distinct().select("map_id", F.lit(1000).cast("long").alias("width"), F.lit(500).cast("long").alias("height"))
-    runs = raster.background_runs(raster.rasterize(sides), pages)
-    return runs.groupBy("map_id").agg(F.count("*").alias("runs"), F.sum(F.col("hi") - F.col("lo") + 1).alias("pixels"))
+    return raster.background_runs(raster.rasterize(sides), pages).select("map_id", "py", "lo", "hi")
 
 
 @query
@@ -445,7 +464,136 @@ def region_sizes(spark, d):
     return raster.region_sizes(r, pages).filter("NOT touches_edge").select("map_id", "n")
 
 
+@query
+def kept_regions(spark, d):
+    """Closed regions of 3 000 to 6 000 pixels."""
+    sides = ring_edges(spark, d).withColumn("seg_id", F.col("face_id"))
+    pages = derived.rectangles(spark, d).select("map_id").distinct().select("map_id", F.lit(1100).cast("long").alias("width"), F.lit(600).cast("long").alias("height"))
+    r = raster.regions(raster.rasterize(sides), pages)
+    return raster.kept_regions(raster.region_sizes(r, pages), 3000, 6000).select("map_id", "n")
+
+
 @query
 def annotation_rows(spark, d):
     l_ = lb.load(derived.labels(spark, d))
     return strategies.annotations(strategies.by_rays(derived.segments(spark, d), l_), l_)
+
+
+@query
+def green_in_route_buffer(spark, d):
+    return crossing.crossed_greens(derived.segments(spark, d), buffer=2.5).select("map_id", "seg_id")
+
+
+@query
+def label_filter_plain(spark, d):
+    return lb.load_plain(derived.labels(spark, d)).select("map_id", "label_ord", "text", "conf")
+
+
+@query
+def label_filter_sure(spark, d):
+    return lb.load_sure(derived.labels(spark, d)).select("map_id", "label_ord", "text", "conf")
+
+
+@query
+def place_along_route(spark, d):
+    s = lb.along_route(derived.labels(spark, d), derived.segments(spark, d).filter("layer = 'route'"))
+    return s.select("map_id", "label_ord", F.round("s", 4).alias("s"))
+
+
+@query
+def face_centroids(spark, d):
+    c = faces.centroids(ring_edges(spark, d))
+    return c.select("map_id", "face_id", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
+
+
+@query
+def parallel_pairs(spark, d):
+    """Ends of parallel green segments whose joint is square to both."""
+    s = derived.segments(spark, d).filter("layer = 'green' AND (x1 <> x2 OR y1 <> y2)")
+    n = g.length()
+    e = s.select("map_id", F.col("seg_id").alias("ord"), F.col("x2").cast("double").alias("x"), F.col("y2").cast("double").alias("y"), ((F.col("x2") - F.col("x1")) / n).alias("dx"), ((F.col("y2") - F.col("y1")) / n).alias("dy"))
+    return closures.square_pairs(e, 60.0).select("map_id", "a", "b", "d2")
+
+
+@query
+def tangent_crosslines(spark, d):
+    """Lines square to the route at the starts of its segments."""
+    route = derived.segments(spark, d).filter("layer = 'route'")
+    at = route.select("map_id", F.col("seg_id").alias("ord"), F.col("x1").cast("double").alias("x"), F.col("y1").cast("double").alias("y"))
+    t = closures.tangents(at, route, 150.0)
+    return t.select("map_id", "ord", F.round(F.col("x") + 25 * F.sin(F.radians("axis")), 3).alias("x1"), F.round(F.col("y") - 25 * F.cos(F.radians("axis")), 3).alias("y1"))
+
+
+@query
+def corridor_long_lines(spark, d):
+    """The rectangles' sides of 60 or more, as the corridor's candidates."""
+    lines = corridor.long_lines(ring_edges(spark, d).withColumn("seg_id", F.col("face_id") * 4 + F.col("ord")), 60.0)
+    return lines.select("map_id", "x1", "y1", "x2", "y2")
+
+
+@query
+def corridor_lines(spark, d):
+    s = derived.segments(spark, d)
+    c = corridor.corridor_lines(s.filter("layer = 'green'"), s.filter("layer = 'route'"), least=20.0, sure=25.0)
+    return c.select("map_id", "side", *[F.round(x, 3).alias(x) for x in ("x1", "y1", "x2", "y2")])
+
+
+def _road(spark, d):
+    """A corridor for every map of rectangles: a band from y = 195 to y = 305."""
+    corner = lambda i, x, y: F.struct(F.lit(i).alias("ord"), F.lit(x).alias("x"), F.lit(y).alias("y"))
+    maps = derived.rectangles(spark, d).select("map_id").distinct()
+    band = maps.select("map_id", F.lit("corridor").alias("face_id"), F.inline(F.array(corner(0, -5.0, 195.0), corner(1, 620.0, 195.0), corner(2, 620.0, 305.0), corner(3, -5.0, 305.0))))
+    return clusters.ring_edges(band, ["map_id", "face_id"]).select("map_id", "face_id", F.lit("shell").alias("ring"), "x1", "y1", "x2", "y2")
+
+
+@query
+def corridor_shares(spark, d):
+    """The part of each rectangle's area in the band, where there is any."""
+    e = ring_edges(spark, d).select("map_id", "face_id", F.lit("shell").alias("ring"), "x1", "y1", "x2", "y2")
+    return corridor.shared_areas(e, _road(spark, d)).select("map_id", "face_id", F.round("shared", 3).alias("shared"))
+
+
+@query
+def corridor_faces(spark, d):
+    """The rectangles that lie mostly in the band."""
+    e = ring_edges(spark, d).select("map_id", "face_id", F.lit("shell").alias("ring"), "x1", "y1", "x2", "y2")
+    return corridor.corridor_faces(face_area(spark, d), e, _road(spark, d))
+
+
+@query
+def corridor_labels(spark, d):
+    return corridor.corridor_labels(_plots(spark, d)[1], _road(spark, d))
+
+
+@query
+def log_line_steps(spark, d):
+    """Lines of the log, made of the orders' keys, and their steps."""
+    k = F.col("o_orderkey")
+    starts = F.array(*[F.lit(p.strip("^").replace("[0-9]+", "7")) for p, _ in pr.LOG_STEPS], F.lit("other"), F.lit("x paths:"))
+    lines = derived.table(spark, d, "orders").select(k, F.concat(F.get(starts, (k % 18).cast("int")), F.lit(" "), k.cast("string")).alias("line"))
+    return lines.select("o_orderkey", "line", pr.step_of_line().alias("step"))
+
+
+@query
+def cancelled_events(spark, d):
+    """Each job is asked to stop at its fifth event's time."""
+    e = derived.progress(spark, d)
+    w = Window.partitionBy("job_id").orderBy("seq")
+    asked = e.withColumn("n", F.row_number().over(w)).filter("n = 5").select("job_id", "ts")
+    return pr.until_cancelled(e, asked).select("job_id", "seq", "cancelled")
+
+
+@query
+def keepalive_events(spark, d):
+    """A keepalive for every day of silence between a job's events."""
+    return pr.keepalives(derived.progress(spark, d), 3600 * 24).select("job_id", "seq", "k", F.unix_timestamp("ts").alias("alive_at"))
+
+
+@query
+def variant_totals(spark, d):
+    found, truth = _found_and_truth(spark, d)
+    a = evaluation.outcomes(found, truth).withColumn("variant", F.lit("A"))
+    b = evaluation.outcomes(truth, truth).withColumn("variant", F.lit("B"))
+    each = truth.groupBy("map_id").agg((F.count("*") * 0.25).alias("seconds"))
+    timings = each.withColumn("variant", F.lit("A")).unionByName(each.withColumn("variant", F.lit("B")))
+    return evaluation.totals(a.unionByName(b), timings, found)

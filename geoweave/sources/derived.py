@@ -27,14 +27,14 @@ LABELS = """SELECT o_orderkey - o_orderkey % 500 AS map_id, o_orderkey AS label_
   WHEN 4 THEN concat(CAST(100 + o_orderkey % 700 AS VARCHAR(9)), '/') ELSE concat('n', CAST(o_orderkey % 50 AS VARCHAR(9))) END AS text,
  CAST((o_orderkey * 37) % 101 AS DOUBLE) / 100 AS conf,
  CASE WHEN o_orderkey % 4 = 0 THEN 'easy_high' WHEN o_orderkey % 4 = 1 THEN 'tess' ELSE 'easy' END AS source,
- (o_orderkey * 6007) % 1000 + 0.5e0 AS x, (o_orderkey * 50021) % 600 + 0.25e0 AS y FROM orders WHERE o_orderkey % 10 = 3"""
+ (o_orderkey * 6007) % 1000 + 0.5e0 AS x, (o_orderkey * 50021) % 600 + 0.25e0 AS y FROM orders"""
 
-#: Readings that crowd a few places, for the positional folds: eight to a cluster at most.
+#: Readings that crowd a few places of each map, for the positional folds.
 READINGS = """SELECT o_orderkey - o_orderkey % 500 AS map_id, o_orderkey AS ord,
  CASE WHEN o_orderkey % 3 = 0 THEN CAST(10 + o_orderkey % 4 AS VARCHAR(9)) WHEN o_orderkey % 3 = 1 THEN CAST(100 + 10 * (o_orderkey % 4) AS VARCHAR(9))
   ELSE concat(CAST(100 + 10 * (o_orderkey % 4) AS VARCHAR(9)), '/', CAST(1 + o_orderkey % 2 AS VARCHAR(9))) END AS text,
  CAST((o_orderkey * 37) % 101 AS DOUBLE) / 100 AS conf, CASE WHEN o_orderkey % 5 = 0 THEN 'tess' ELSE 'easy' END AS source,
- CAST((o_orderkey % 40) * 50 + (o_orderkey * 13) % 23 AS DOUBLE) AS x, CAST((o_orderkey * 29) % 17 AS DOUBLE) AS y FROM orders WHERE o_orderkey % 500 < 320"""
+ CAST((o_orderkey % 40) * 50 + (o_orderkey * 13) % 23 AS DOUBLE) AS x, CAST((o_orderkey * 29) % 17 AS DOUBLE) AS y FROM orders"""
 
 RECTANGLES = """SELECT CAST(c_custkey - c_custkey % 50 AS BIGINT) AS map_id, CAST(c_custkey AS BIGINT) AS face_id,
  CAST((c_custkey % 10) * 100 AS DOUBLE) AS x0, CAST(((c_custkey % 50) // 10) * 100 AS DOUBLE) AS y0,

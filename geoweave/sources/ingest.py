@@ -53,6 +53,16 @@ def chunk_plan(pages: DataFrame, passes=PASSES) -> DataFrame:
     return chunks.select("map_id", "pass", "chunk", "left", F.least(F.col("left") + F.col("w"), F.col("width_px")).alias("right"))
 
 
+def write_readings(readings: DataFrame, path: str) -> None:
+    """The built readings of many maps as a table, by map, for later runs."""
+    readings.repartitionByRange("map_id", "ord").sortWithinPartitions("map_id", "ord").write.mode("overwrite").parquet(path)
+
+
+def rescale_high(raw: DataFrame, ocr_scale: float, high_scale: float = 12.0) -> DataFrame:
+    """Boxes of the high-scale pass in the pixels of the others."""
+    return raw.withColumn("bbox", F.transform("bbox", lambda p: F.struct((p["x"] * ocr_scale / high_scale).alias("x"), (p["y"] * ocr_scale / high_scale).alias("y")))).withColumn("source", F.lit("easy_high"))
+
+
 def parse_ground_truth(texts: DataFrame) -> DataFrame:
     """(doc, map_name, text) of ground-truth files (doc, text): `NAME:` begins a map, an empty line ends it, ids by line or comma."""
     lines = texts.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))

@@ -54,6 +54,32 @@ def expired(events: DataFrame, now: str, minutes: int = TTL_MINUTES) -> DataFram
     return last.filter(F.col("last_ts") < F.to_timestamp(F.lit(now)) - F.expr(f"INTERVAL {minutes} MINUTES"))
 
 
+# How a line of the log begins, and the step that it belongs to; the first that fits counts.
+LOG_STEPS = (("^paths:", "analyze"), ("^green segments:", "analyze"), ("^endpoint closures:", "analyze"), ("^endpoint extensions", "analyze"), ("^parallel endpoint closures:", "analyze"), ("^T-junction extensions:", "analyze"), ("^pin crosslines:", "analyze"), ("^route-end closures:", "analyze"), ("^route buffer frame:", "analyze"), ("^polygons:", "analyze"), ("^polygons after area filter:", "analyze"), ("^crossed green border segments:", "classify"), ("^road corridor polygon:", "classify"), ("^crossed polygons:", "classify"), ("^OCR labels", "classify"), ("^crossed=[0-9]+ borderline=[0-9]+", "classify"))
+#: Seconds of silence after which a client is told that the job is alive.
+IDLE_SECONDS = 30
+
+
+def step_of_line(line: str = "line"):
+    """The step that a line of the log belongs to, or null."""
+    return F.coalesce(*[F.when(F.col(line).rlike(pattern), F.lit(step)) for pattern, step in LOG_STEPS])
+
+
+def until_cancelled(events: DataFrame, requests: DataFrame) -> DataFrame:
+    """Adds `cancelled`: events of a job up to its first cancel request (job_id, ts), and of later ones the first, which ends it."""
+    first = requests.groupBy("job_id").agg(F.min("ts").alias("asked"))
+    j = events.join(first, "job_id", "left").withColumn("cancelled", F.coalesce(F.col("ts") > F.col("asked"), F.lit(False)))
+    w = Window.partitionBy("job_id", "cancelled").orderBy("seq")
+    return j.withColumn("n", F.row_number().over(w)).filter("NOT cancelled OR n = 1").drop("n", "asked")
+
+
+def keepalives(events: DataFrame, seconds: int = IDLE_SECONDS) -> DataFrame:
+    """(job_id, seq, k, ts): a keepalive for every ``seconds`` of silence after an event of a job, until its next one."""
+    w = Window.partitionBy("job_id").orderBy("seq")
+    quiet = events.withColumn("n", F.floor((F.unix_timestamp(F.lead("ts").over(w)) - F.unix_timestamp("ts") - 1) / seconds)).filter("n > 0")
+    return quiet.select("job_id", "seq", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"), "ts").withColumn("ts", F.timestamp_seconds(F.unix_timestamp("ts") + F.col("k") * seconds))
+
+
 def ticker(start, cap, elapsed, expected):
     """Estimated percent within a step: linear up to 95 percent of the way to its end."""
     return start + (cap - start) * 0.95 * F.least(F.lit(1.0), elapsed / expected)

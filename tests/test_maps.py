@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from geoweave.functions import colors
 from geoweave.functions import geometry as g
 from geoweave.functions import labels as fl
-from geoweave.operators import closures, clusters, crossing, directions, faces, intervals, topology
+from geoweave.operators import closures, clusters, corridor, crossing, directions, faces, intervals, rays, topology
 from geoweave.operators import labels as lb
 from geoweave.plans import strategies
 from geoweave.sources import ingest
@@ -134,6 +134,99 @@ def test_hybrid_strategy(spark):
     assert verdict["11"] == verdict["12"] == "crossed" and verdict.get("13") != "crossed"
 
 
+ROAD = [(0, 0, 300, 0), (0, 60, 300, 60), *((x, 0, x, 60) for x in (0, 100, 200, 300)), *square(0, 60, 100, 200)]
+
+
+def test_road_corridor(spark):
+    s = segs(spark, ROAD + route(150, 30, 150, 100))
+    green, red = s.filter("layer = 'green'"), s.filter("layer = 'route'")
+    ring = corridor.corridors(green, red)
+    assert {(r["x1"], r["y1"]) for r in ring.collect()} >= {(-4, -4), (304, -4), (304, 64), (-4, 64)}
+    assert corridor.route_share(ring, red).first()["share"] == pytest.approx(34 / 70, abs=1e-3)
+    f, e = topology.faces(green)
+    found = corridor.corridor_faces(f, e, ring).join(f, ["map_id", "face_id"])
+    assert sorted(r["area"] for r in found.collect()) == [6000] * 3  # the plot above has 400 of its 14 000 in it
+    assert [r["label_ord"] for r in corridor.corridor_labels(labels(spark, ("1", 150, 30), ("2", 50, 150)), ring).collect()] == [0]
+    assert corridor.used_corridors(green, red).count() == ring.count()
+    assert corridor.used_corridors(green, segs(spark, route(150, 10, 150, 50))).count() == 0  # the route lies in it whole
+    assert corridor.corridors(segs(spark, ROAD[:1]), red).count() == 0
+
+
+def test_hybrid_uses_the_corridor(spark):
+    """A parcel of the road that the route does not touch is crossed, its neighbour beside the road is not."""
+    maps = spark.createDataFrame([(0, -50.0, -50.0, 600.0, 600.0)], "map_id long, x0 double, y0 double, x1 double, y1 double")
+    s = segs(spark, ROAD + [(100, 200, 300, 200), (300, 200, 300, 60)] + route(150, 30, 150, 100))
+    found = labels(spark, ("11", 50, 30), ("12", 250, 30), ("13", 50, 150)).withColumn("conf", F.lit(0.5) + F.col("label_ord") / 10)
+    got = strategies.hybrid(s, found, maps, p=P(buffer=2.0, extension=1.0, parallel=1.0, junction=1.0)).collect()
+    verdict = {r["text"]: (r["verdict"], r["label_ord"]) for r in got}
+    assert verdict["11"] == ("crossed", 0) and verdict["12"] == ("crossed", 1) and "13" not in verdict
+
+
+def test_rays_only_from_large_faces(spark):
+    """Labels in a face of ray_face or more, at a middle distance from the buffered route."""
+    s = segs(spark, square(0, 0, 1000, 1000) + square(100, 300, 140, 340) + route(0, 100, 1000, 100))
+    f, e = topology.faces(s.filter("layer = 'green'"))
+    free = labels(spark, ("a", 500, 250), ("b", 500, 120), ("c", 500, 900), ("d", 120, 320), ("e", 500, 187), ("f", 500, 186.9), ("g", 500, 302), ("h", 500, 302.1))
+    got = strategies.ray_gate(free, f, e, s.filter("layer = 'route'"), P())
+    assert sorted(r["text"] for r in got.collect()) == ["a", "e", "g"]
+    assert len({(round(x, 6), round(y, 6)) for x, y in rays.around(72, 110.0)}) == 72
+
+
+def test_route_strips(spark):
+    s = segs(spark, [(0, 1.9, 10, 1.9), (0, 2.1, 10, 2.1), (-5, 0, -1, 0), (5, -9, 5, 9), (9, 3, 14, -3), (11, 3, 14, -3)] + route(0, 0, 10, 0))
+    assert sorted(r["seg_id"] for r in crossing.crossed_greens(s, buffer=2.0).collect()) == [0, 3, 4]
+
+
+def test_chains_along_both_axes(spark):
+    rng = random.Random(8)
+    rows = [(0, i, f"t{i % 5}", rng.random(), rng.uniform(0, 400), rng.uniform(0, 400), "easy") for i in range(300)]
+    df = spark.createDataFrame(rows, "map_id long, ord long, text string, conf double, x double, y double, source string")
+    for near, fold in ((20.0, lb.positional_dedup), (30.0, lb.merge_passes)):
+        c = {r["ord"]: r["chain"] for r in lb.chains(df, near).collect()}
+        assert all(c[a[1]] == c[b[1]] for a in rows for b in rows if abs(a[4] - b[4]) < near and abs(a[5] - b[5]) < near)
+        one = {r["ord"]: r for r in fold(df).collect()}
+        assert 0 < len(one) <= 300
+
+
+def test_closing_and_built_readings(spark):
+    from geoweave.operators import raster
+
+    px = spark.createDataFrame([(0, x, y) for x in (0, 1, 2, 5, 6, 20) for y in range(-3, 4)], "map_id long, px long, py long")
+    assert sorted(r["px"] for r in raster.closed(px, 2).filter("py = 0").collect()) == [0, 1, 2, 3, 4, 5, 6, 20]
+    shape = "map_id long, ord long, text string, conf double, x double, y double, source string"
+    a = spark.createDataFrame([(0, 1, "7260", 0.9, 0.0, 0.0, "easy"), (0, 2, "31", 0.4, 100.0, 0.0, "easy")], shape)
+    b = spark.createDataFrame([(0, 3, "31", 0.8, 103.0, 0.0, "easy")], shape)
+    t = spark.createDataFrame([(0, 4, "55", 0.9, 300.0, 0.0, "tess"), (0, 5, "56", 0.9, 101.0, 1.0, "tess")], shape)
+    assert sorted((r["text"], r["conf"]) for r in lb.build([a, b], t).collect()) == [("260", 0.9), ("31", 0.8), ("55", 0.9)]
+
+
+def test_shared_folder_is_required_on_clusters():
+    from types import SimpleNamespace
+
+    from geoweave import scratch
+
+    session = lambda master, named=None: SimpleNamespace(conf=SimpleNamespace(get=lambda *a: named), sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda *a: None)))
+    with pytest.raises(ValueError):
+        scratch.shared_folder(session("spark://host:7077"))
+    with pytest.raises(ValueError):
+        scratch.shared_folder(session("local-cluster[2,1,1024]"))
+    assert scratch.shared_folder(session("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+
+
+def test_scopes_remove_their_tables(spark):
+    import os
+
+    from geoweave import scratch
+
+    where = lambda t: t.scratch_path.removeprefix("file://")
+    with scratch.scope(spark):
+        inner, kept = scratch.materialize(spark.range(3), "inner"), scratch.materialize(spark.range(4), "kept", outside=True)
+        assert os.path.isdir(where(inner)) and inner.count() == 3
+    assert not os.path.exists(where(inner)) and kept.count() == 4
+    scratch.forget(kept)
+    assert not os.path.exists(where(kept))
+
+
 def test_closest_duplicate(spark):
     df = labels(spark, ("280", 50, 5), ("280", 50, 500)).withColumn("dist", F.col("y"))
     r = lb.closest_per_text(df).collect()
