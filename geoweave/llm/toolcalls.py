@@ -33,7 +33,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweave.scratch import materialize
+from geoweave.scratch import forget, materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -88,14 +88,19 @@ def depths(parents: DataFrame, most: int) -> DataFrame:
     """(conv_id, call_id, level): steps from each call to a call without a parent; null on and behind cycles.
 
     parents has one row for each call, with `up` (a call id or null). Pointers are
-    doubled, so chains of ``most`` calls take log2 of that many joins.
+    doubled, so chains of ``most`` calls take log2 of that many joins; calls that have
+    reached the end of their chain take part no more.
     """
     state = materialize(parents.select(*KEY, "up", F.when(F.col("up").isNull(), 0).otherwise(1).alias("level")), "depths")
     for _ in range(most.bit_length() + 1):
-        if state.filter("up IS NOT NULL").limit(1).count() == 0:
+        going = state.filter("up IS NOT NULL")
+        if going.limit(1).count() == 0:
             break
         ahead = state.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
-        state = materialize(state.join(ahead, ["conv_id", "up"], "left").select(*KEY, F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), "depths")
+        moved = going.join(ahead, ["conv_id", "up"], "left").select(*KEY, F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"))
+        after = materialize(state.filter("up IS NULL").unionByName(moved), "depths")
+        forget(state)
+        state = after
     return state.select(*KEY, F.when(F.col("up").isNull(), F.col("level")).alias("level"))
 
 
@@ -105,25 +110,34 @@ def levels(calls: DataFrame) -> DataFrame:
     A call's level is one more than that of its deepest dependency. Every call
     follows one dependency at first; depths along these are found by pointer
     doubling, calls with a deeper dependency change over to it, and so on until
-    none does. One dependency each needs one such round, however long the chain.
+    none does. One dependency each needs one such round, however long the chain;
+    conversations in which no call changes over are done.
     """
     nodes = calls.select(*KEY)
     edges = calls.select(*KEY, F.explode(F.array_distinct("depends")).alias("on"))
     edges = materialize(edges.join(nodes.withColumnRenamed("call_id", "on"), ["conv_id", "on"], "left_semi").select(*KEY, "on"), "depends")
     most = nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 1
-    parents = nodes.join(edges.groupBy(*KEY).agg(F.min("on").alias("up")), KEY, "left")
+    parents = nodes.join(edges.groupBy(*KEY).agg(F.max("on").alias("up")), KEY, "left")
     several = edges.groupBy(*KEY).count().filter("count > 1").limit(1).count() > 0
+    done: list[DataFrame] = []
     while True:
         found = depths(parents, most)
         if not several:
             break
         # no level is the deepest of all: what depends on a cycle follows it
-        deep = found.select("conv_id", F.col("call_id").alias("on"), F.coalesce("level", F.lit(1 << 30)).alias("below"))
+        none = F.lit(1 << 30)
+        deep = found.select("conv_id", F.col("call_id").alias("on"), F.coalesce("level", none).alias("below"))
         best = edges.join(deep, ["conv_id", "on"]).groupBy(*KEY).agg(F.max_by(F.struct("on", "below"), F.struct(F.col("below"), F.col("on"))).alias("b"))
-        moved = materialize(found.join(best, KEY, "left").select(*KEY, F.col("b.on").alias("up"), (F.col("b.below") + 1 > F.coalesce("level", F.lit(1 << 30)) + F.when(F.col("level").isNull(), 1).otherwise(0)).alias("deeper")), "parents")
-        if moved.filter("deeper").limit(1).count() == 0:
+        deeper = F.col("b.below") + 1 > F.coalesce("level", none) + F.when(F.col("level").isNull(), 1).otherwise(0)
+        moved = materialize(found.join(best, KEY, "left").select(*KEY, F.col("b.on").alias("up"), deeper.alias("deeper")), "parents")
+        changed = moved.filter("deeper").select("conv_id").distinct()
+        if changed.limit(1).count() == 0:
             break
-        parents = moved.select(*KEY, "up")
+        done.append(found.join(changed, "conv_id", "left_anti"))
+        parents = moved.join(changed, "conv_id", "left_semi").select(*KEY, "up")
+        edges = materialize(edges.join(changed, "conv_id", "left_semi"), "depends")
+    for part in done:
+        found = found.unionByName(part)
     return found.filter("level IS NOT NULL")
 
 
