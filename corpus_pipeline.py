@@ -1,11 +1,19 @@
-"""A corpus pipeline: identified languages, no near copies, no benchmark leaks, mixed sources, shards."""
+"""A corpus pipeline: identified languages, no near copies, no benchmark leaks, mixed sources, shards.
+
+Every stage keeps all columns of its input, extra ones too, whatever their names;
+the last one gives each row's place instead. Defined results: null and empty texts go in
+the first stage, as they have no language; very long texts are read whole by every
+stage. Of texts that are alike the smallest doc_id stays; rows without a doc_id stay.
+Repeated rows of one doc_id are one document to the near-copy search, and both stay or
+both go. A null source is a source of its own. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from geoweave.llm import decontam, langid, mixing, neardup, sharding
-from geoweave.scratch import materialize
+from geoweave.scratch import forget, materialize, scope
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Rows of the last stage; the tables that stages make on their way are removed."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scope(spark):
+            docs = materialize(stage(spark, docs, sf_dir), name, outside=True)
+        if before is not None:
+            forget(before)
+        before = docs
     return docs
