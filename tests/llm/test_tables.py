@@ -444,3 +444,7 @@ def test_pipeline(spark, tmp_path):
     counts = Counter(r["shard"] for r in df.collect())
     assert max(counts.values()) - min(counts.values()) <= 1
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == df.count()
+    bare = tmp_path / "bare"
+    docs(spark, [], CORPUS).write.parquet(str(bare / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(bare / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(bare)).count() == 0
