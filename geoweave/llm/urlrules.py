@@ -1,21 +1,24 @@
 """URL filters: sort-merge range join of reversed-host keys with nested rules.
 
 A host with its labels reversed (`com.example.www.`) turns "this host and all its
-subdomains" into one interval of keys. The rules' intervals are nested or apart,
-so a sweep in key order keeps a stack of the rules that are open: each interval
-edge carries the stack that holds from there on, and every page takes the last
-stack before it. The rest of a rule, its path prefix, is tested on the stack; of
-the rules that fit, the longest wins.
-
-The sweep is a running window over slices of the pages. A page's slice is a hash
-of the whole row, so a host with a third of all rows is spread like any other;
-the edges, a few for each rule, are repeated in every slice. The number of
-slices goes down as the number of rules goes up (``EDGE_ROWS``).
+subdomains" into one interval of keys. The intervals of the rules' hosts are nested
+or apart, so a sweep in key order keeps a stack of the hosts that are open: each
+interval edge carries the stack that holds from there on, and every page takes the
+last stack before it, which has no more entries than its host has labels. A second
+sweep of the same kind finds each open host's longest path rule: a path prefix is an
+interval of paths, and its edges carry the innermost rule that is open. So a page
+never meets the rules of its host one by one, however many there are. Of the rules
+found for a page the longest wins.
+
+Sweeps are running windows for each group of sites and for each rule host. Groups
+with over a thousandth of all pages are dealt to parts by a hash, and only those
+groups' edges are repeated, once for each part; edges of hosts of one label, a few
+for each top-level domain, go to every group of sites.
 
 Defined results: a null url or one without `://` has empty host and path, no rule
 and the default verdict. Repeated pages give repeated rows. With no rules every
 page has the default verdict. Rules without host or path are ignored; of equal
-rules the first by verdict stays.
+rules the first by verdict stays; of rules of equal length the last by name wins.
 """
 
 from __future__ import annotations
@@ -23,6 +26,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from geoweave.operators import skew
+from geoweave.scratch import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Host, path and verdict of the production rules.
@@ -34,8 +40,8 @@ RULES = (
     ("org", "/es/", "block"),
 )
 DEFAULT_VERDICT = "allow"
-#: So many edge rows are repeated over the slices at most.
-EDGE_ROWS = 20_000_000
+#: Groups of sites (the last two labels of a host) that are swept by themselves.
+SITES = 4096
 
 
 def rules_table(spark: SparkSession, rules=RULES) -> DataFrame:
@@ -47,37 +53,68 @@ def host_and_path(url: str = "url") -> tuple:
     return F.translate(F.regexp_extract(rest, "^([^/?#]*)", 1), UPPER, LOWER), F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
-def reversed_key(host):
-    return F.concat(F.array_join(F.reverse(F.split(host, "\\.")), "."), F.lit("."))
+def reversed_key(host: str = "host", end: str = "."):
+    return F.concat(F.array_join(F.reverse(F.split(host, "\\.")), "."), F.lit(end))
 
 
-def rule_edges(rules: DataFrame) -> DataFrame:
-    """(key, kind, stack): the rules that are open from each interval edge on."""
-    rules = rules.filter("host <> '' AND path <> ''").groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
-    rule = F.struct(F.length(F.concat("host", "path")).alias("size"), F.concat("host", "path").alias("rule"), F.col("path").alias("prefix"), "verdict")
-    own = rules.groupBy("host").agg(F.collect_set(rule).alias("own"))
+def site(host: str = "host"):
+    return F.pmod(F.xxhash64(F.substring_index(host, ".", -2)), F.lit(SITES)).cast("int")
+
+
+def host_edges(rules: DataFrame) -> DataFrame:
+    """(site, key, kind, open): the rule hosts that are open from each edge of a host's interval on."""
+    hosts = rules.select("host").distinct()
     labels = F.split("host", "\\.")
-    above = own.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))).alias("upper"))
-    lines = above.join(own.select(F.col("host").alias("upper"), F.col("own").alias("rules")), "upper")
-    stacks = lines.groupBy("host").agg(F.flatten(F.collect_list("rules")).alias("inside"), F.flatten(F.collect_list(F.when(F.col("upper") != F.col("host"), F.col("rules")))).alias("outside"))
-    key = reversed_key(F.col("host"))
-    return stacks.select(F.inline(F.array(F.struct(key.alias("key"), F.lit(1).alias("kind"), F.col("inside").alias("stack")), F.struct(F.concat(F.expr("substring(%s, 1, length(%s) - 1)" % (("concat(array_join(reverse(split(host, '[.]')), '.'), '.')",) * 2)), F.lit("/")).alias("key"), F.lit(0).alias("kind"), F.col("outside").alias("stack")))))
+    above = hosts.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))).alias("upper"))
+    stacks = above.join(hosts.select(F.col("host").alias("upper")), "upper").groupBy("host").agg(F.collect_set("upper").alias("inside"))
+    opens = F.struct(reversed_key().alias("key"), F.lit(1).alias("kind"), F.col("inside").alias("open"))
+    # "/" comes right after "."
+    closes = F.struct(reversed_key(end="/").alias("key"), F.lit(0).alias("kind"), F.array_remove("inside", F.col("host")).alias("open"))
+    sites = F.when(F.size(labels) == 1, F.sequence(F.lit(0), F.lit(SITES - 1))).otherwise(F.array(site()))
+    return stacks.select(F.explode(sites).alias("site"), F.array(opens, closes).alias("edges")).select("site", F.inline("edges"))
+
+
+def path_edges(rules: DataFrame) -> DataFrame:
+    """(upper, key, kind, open): the longest rule of a host that is open from each edge of a path's interval on."""
+    rule = F.struct(F.length(F.concat("host", "path")).alias("size"), F.concat("host", "path").alias("rule"), "verdict")
+    own = rules.select("host", "path", rule.alias("own"))
+    shorter = own.select("host", "path", F.explode(F.transform(F.sequence(F.lit(0), F.length("path") - 1), lambda k: F.substring("path", F.lit(1), k))).alias("prefix"))
+    around = shorter.join(own.select("host", F.col("path").alias("prefix"), F.col("own").alias("upper")), ["host", "prefix"]).groupBy("host", "path").agg(F.max("upper").alias("around"))
+    nothing = F.expr("named_struct('size', cast(null as int), 'rule', cast(null as string), 'verdict', cast(null as string))")
+    key = F.col("path").cast("binary")
+    opens = F.struct(key.alias("key"), F.lit(1).alias("kind"), F.col("own").alias("open"))
+    # no text has a byte 255, so this comes after every path with the prefix
+    closes = F.struct(F.concat(key, F.expr("X'FF'")).alias("key"), F.lit(0).alias("kind"), F.coalesce("around", nothing).alias("open"))
+    return own.join(around, ["host", "path"], "left").select(F.col("host").alias("upper"), F.inline(F.array(opens, closes)))
+
+
+def sweep(rows: DataFrame, edges: DataFrame, group: str, by: list[str]) -> DataFrame:
+    """``rows`` with `open` of the last of the group's ``edges`` before their key; heavy groups are swept in parts."""
+    heavy = F.broadcast(skew.heavy_keys(rows, group))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = rows.join(heavy, group, "left").withColumn("part", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("parts")
+    marks = edges.join(heavy, group, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    running = Window.partitionBy(group, "part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = dealt.withColumn("kind", F.lit(2)).unionByName(marks, allowMissingColumns=True)
+    return both.withColumn("open", F.last("open", ignorenulls=True).over(running)).filter("kind = 2").drop("kind", "part", "key", group)
 
 
 def judge(pages: DataFrame, rules: DataFrame | None = None, default: str = DEFAULT_VERDICT) -> DataFrame:
     """page_id, host, path, rule and verdict of every page."""
-    spark = pages.sparkSession
-    rules = rules_table(spark) if rules is None else rules
-    edges = rule_edges(rules)
-    slices = max(1, min(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), EDGE_ROWS // max(1, 2 * rules.count())))
+    rules = rules_table(pages.sparkSession) if rules is None else rules
+    rules = rules.filter("host <> '' AND path <> ''").groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
     host, path = host_and_path()
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"), F.pmod(F.xxhash64("page_id", "url"), F.lit(slices)).alias("slice"))
-    rows = rows.select("slice", reversed_key(F.col("host")).alias("key"), F.lit(2).alias("kind"), "page_id", "host", "path")
-    marks = edges.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"), "key", "kind", "stack")
-    sweep = Window.partitionBy("slice").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = rows.unionByName(marks, allowMissingColumns=True).withColumn("open", F.last("stack", ignorenulls=True).over(sweep)).filter("kind = 2")
-    best = F.array_max(F.filter("open", lambda r: F.startswith(F.col("path"), r["prefix"])))
-    return swept.withColumn("best", best).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    # repeated rows of one part of the input travel as one row and a count
+    each = ["page_id", "host", "path", "origin"]
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"), F.spark_partition_id().alias("origin")).groupBy(*each).agg(F.count("*").cast("int").alias("n"))
+    rows = materialize(rows.select(*each, "n", site().alias("site"), reversed_key().alias("key")), "urls")
+    stacks = materialize(sweep(rows, host_edges(rules), "site", each), "stacks")
+    candidates = stacks.select(*each, "n", F.explode("open").alias("upper"), F.col("path").cast("binary").alias("key"))
+    found = sweep(candidates, path_edges(rules), "upper", each).filter("open.rule IS NOT NULL")
+    every = stacks.withColumn("open", F.lit(None)).unionByName(found)
+    best = every.groupBy(*each, "n").agg(F.max("open").alias("best"))
+    best = best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    return best.drop("copy")
 
 
 def oracle(rules=RULES, default: str = DEFAULT_VERDICT) -> str:

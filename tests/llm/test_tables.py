@@ -207,6 +207,8 @@ def test_url_rules(spark):
     paths = ["", "/", "/en/", "/en/7", "/en/77/x", "/de/8", "/de/9", "/es/", "/EN/"]
     urls = [None, "", "nothing", "://", "http://"] + [f"{rng.choice(['http', 'HTTPS'])}://{h}{p}{t}" for h in hosts for p in paths for t in ("", "?q=/en/7", "#x://y")] + ["http://" + "a." * 3000 + "com/en/"]
     rows = [*enumerate(urls), (1, urls[1]), (None, "http://x.net/de/1")]
+    rules += [("example.com", "/en/7" + "x" * k, "block") for k in (1, 2, 30)] + [("example.com", "/é", "block"), ("co.uk", "/", "block")]
+    rows += [(2000 + i, f"http://{h}/{p}") for i, (h, p) in enumerate([("w.example.com", "en/7xx"), ("example.com", "en/7" + "x" * 29), ("example.com", "en/7" + "x" * 40), ("example.com", "en/7y"), ("example.com", "éé\U0010ffff"), ("example.com", "en/7x\U0010ffff"), ("a.co.uk", ""), ("uk", ""), ("co.uk.com", "x")])]
     got = urlrules.judge(docs(spark, rows, "page_id long, url string"), urlrules.rules_table(spark, rules)).collect()
     assert len(got) == len(rows)
     assert Counter((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in got) == Counter((i, *judged(u, rules)) for i, u in rows)
