@@ -16,12 +16,14 @@ paths of one blob. Spans are ordered by start, then by the order of the kinds.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geoweave.scratch import materialize
+from geoweave.scratch import shared_folder
 
 
 @dataclass(frozen=True)
@@ -71,8 +73,8 @@ def scan(blobs: DataFrame, kinds=KINDS) -> DataFrame:
     return spans.groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
-def scan_unseen(documents: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION, kinds=KINDS) -> DataFrame:
-    """The ledger after ``documents``: its own rows and one for every blob it had not seen under this rule version."""
+def unseen_entries(documents: DataFrame, ledger: DataFrame | None, rule_version: str = RULE_VERSION, kinds=KINDS) -> DataFrame:
+    """Ledger rows of every blob of ``documents`` that ``ledger`` does not hold under this rule version."""
     versions = documents.select(address().alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
     if ledger is not None:
         versions = versions.join(ledger.filter(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
@@ -80,25 +82,48 @@ def scan_unseen(documents: DataFrame, ledger: DataFrame | None = None, rule_vers
     found = scan(unseen, kinds)
     # blobs without a finding are entered too, so that they are not scanned again
     seen = versions.select("blob").distinct()
-    entered = seen.join(found, "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), "spans")
+    return seen.join(found, "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), "spans")
+
+
+def scan_unseen(documents: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION, kinds=KINDS) -> DataFrame:
+    """The ledger after ``documents``: its own rows and one for every blob it had not seen under this rule version."""
+    entered = unseen_entries(documents, ledger, rule_version, kinds)
     return entered if ledger is None else ledger.select("blob", "rule_version", "spans").unionByName(entered)
 
 
-def findings_by_path(documents: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
-    """doc_id and spans of every path; null where its blob has none."""
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger kept at ``path``; None before its first run."""
+    try:
+        return spark.read.schema(LEDGER_SCHEMA).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def update_ledger(documents: DataFrame, path: str, rule_version: str = RULE_VERSION, kinds=KINDS) -> DataFrame:
+    """Appends to the ledger at ``path`` what it has not seen of ``documents``; the ledger with it."""
+    spark = documents.sparkSession
+    unseen_entries(documents, read_ledger(spark, path), rule_version, kinds).write.mode("append").parquet(path)
+    return read_ledger(spark, path)
+
+
+def findings_by_path(documents: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keys`` (path and version, say) and spans of every row; null where its blob has none."""
     found = ledger.filter((F.col("rule_version") == rule_version) & F.col("spans").isNotNull()).select("blob", "spans")
-    return documents.select("doc_id", address().alias("blob")).join(found, "blob", "left").select("doc_id", "spans")
+    return documents.select(*keys, address().alias("blob")).join(found, "blob", "left").select(*keys, "spans")
 
 
-def secret_scan(documents: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION, kinds=KINDS) -> DataFrame:
-    """Counts, digest and spans of every document."""
-    now = materialize(scan_unseen(documents, ledger, rule_version, kinds), "ledger")
-    paths = findings_by_path(documents, now, rule_version).withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,rank:int,kind:string,end:bigint>>)")))
+def secret_scan(documents: DataFrame, ledger_path: str | None = None, rule_version: str = RULE_VERSION, kinds=KINDS, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Counts, digest and spans of every row; without ``ledger_path`` a ledger is begun in the scratch folder."""
+    path = ledger_path or f"{shared_folder(documents.sparkSession)}/ledger-{uuid.uuid4().hex}"
+    now = update_ledger(documents, path, rule_version, kinds)
+    paths = findings_by_path(documents, now, rule_version, keys).withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,rank:int,kind:string,end:bigint>>)")))
     last_base = sum(k.base for k in kinds) - 1
     shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     of_rank = lambda i: F.size(F.filter("spans", lambda s: s["rank"] == i)).cast("long")
     counts = [of_rank(i).alias(f"n_{k.name}") for i, k in enumerate(kinds) if k.base]
-    return paths.select("doc_id", *counts, F.sha2(shown(F.filter("spans", lambda s: s["rank"] <= last_base)), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+    return paths.select(*keys, *counts, F.sha2(shown(F.filter("spans", lambda s: s["rank"] <= last_base)), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
 
 
 def oracle(kinds=KINDS) -> str:

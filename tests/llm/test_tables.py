@@ -190,6 +190,21 @@ def test_ledger_scans_only_what_is_new(spark):
     assert secrets.scan_unseen(again, old, "secrets-2").filter("rule_version = 'secrets-2'").count() == 3
 
 
+def test_ledger_is_kept_between_runs(spark, tmp_path):
+    at, keys = f"file://{tmp_path}/ledger", ("path", "version")
+    schema = "path string, version int, text string"
+    first = docs(spark, [("a", 1, "token=abcdefgh1"), ("b", 1, None)], schema)
+    later = docs(spark, [("a", 1, "token=abcdefgh1"), ("a", 2, "nothing"), ("b", 1, None), ("c", 1, "token=abcdefgh1"), ("c", 2, "AKIA0123456789ABCD"), ("c", 2, "AKIA0123456789ABCD")], schema)
+    assert secrets.read_ledger(spark, at) is None
+    assert sorted(r["spans"] for r in secrets.secret_scan(first, at, keys=keys).collect()) == ["", "assign:0:15"]
+    got = Counter((r["path"], r["version"], r["spans"]) for r in secrets.secret_scan(later, at, keys=keys).collect())
+    assert got == Counter({("a", 1, "assign:0:15"): 1, ("a", 2, ""): 1, ("b", 1, ""): 1, ("c", 1, "assign:0:15"): 1, ("c", 2, "access:0:18"): 2})
+    ledger = secrets.read_ledger(spark, at)
+    assert ledger.count() == ledger.select("blob").distinct().count() == 4
+    assert secrets.unseen_entries(later, ledger).count() == 0
+    assert secrets.update_ledger(later, at, "secrets-2").count() == 8
+
+
 def judged(url, rules):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     host = re.match("[^/?#]*", rest)[0]
