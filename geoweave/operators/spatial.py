@@ -28,5 +28,6 @@ def range_join(left: DataFrame, right: DataFrame, cell: float, predicate: Column
     if how == "left_semi":
         marked = a.join(b, (a["__map"] == b["__map"]) & (a["gx"] == b["gx"]) & (a["gy"] == b["gy"]) & predicate, "left_semi")
         return marked.select("l").distinct()
-    joined = a.join(b, ["__map", "gx", "gy"]).filter(first).filter(predicate)
+    # the planner sees neither the rows of cells nor the pairs, and would broadcast a side by its columns' estimate
+    joined = a.join(b.hint("merge"), ["__map", "gx", "gy"]).filter(first).filter(predicate)
     return joined.select("l", "r")

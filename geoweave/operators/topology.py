@@ -148,7 +148,7 @@ def points_in_rings(points: DataFrame, lines: DataFrame, point_id: str, ring_id:
     p = points.select("map_id", point_id, "x", "y", F.floor(F.col("y") / stripe).alias("stripe"))
     lo, hi = F.floor(F.least("y1", "y2") / stripe), F.floor(F.greatest("y1", "y2") / stripe)
     e = lines.select("map_id", ring_id, "x1", "y1", "x2", "y2", F.explode(F.sequence(lo, hi)).alias("stripe"))
-    j = p.join(e, ["map_id", "stripe"])
+    j = p.join(e.hint("merge"), ["map_id", "stripe"])
     straddles = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
     side = g.turn("x1", "y1", "x2", "y2", "x", "y")
     right = straddles & F.when(F.col("y2") > F.col("y1"), side > 0).otherwise(side < 0)
