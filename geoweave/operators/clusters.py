@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoweave.operators.spatial import range_join
 from geoweave.scratch import materialize
 
 
@@ -28,14 +31,14 @@ def cluster_1d(points: DataFrame, value: str, gap: float = 15.0, by: str = "map_
     return points.withColumn("cluster", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
-def cut_at_gaps(points: DataFrame, reach: float, by: str = "map_id", order: str = "ord", turns: int = 4, inclusive: bool = False) -> DataFrame:
-    """Adds `chain`, a string: points are cut at gaps of ``reach`` (or over it, if ``inclusive``) along x, then y, in turns."""
+def cut_at_gaps(points: DataFrame, reach: float, by: str = "map_id", order: str = "ord", turns: int = 4) -> DataFrame:
+    """Adds `chain`, a string: points are cut at gaps of ``reach`` along x, then y, in turns."""
     keys: list[str] = []
     for turn in range(turns):
         axis = "xy"[turn % 2]
         w = Window.partitionBy(by, *keys).orderBy(axis, order)
         step = F.col(axis) - F.lag(axis).over(w)
-        new = F.when(step <= reach if inclusive else step < reach, 0).otherwise(1)
+        new = F.when(step < reach, 0).otherwise(1)
         points = points.withColumn(f"__cut{turn}", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         keys.append(f"__cut{turn}")
     return points.withColumn("chain", F.concat_ws(".", *keys)).drop(*keys)
@@ -78,26 +81,37 @@ def greedy_match(pairs: DataFrame) -> DataFrame:
 def radius_clusters(points: DataFrame, radius: float, by: str = "map_id", order: str = "ord") -> DataFrame:
     """(by, cluster, x, y, dx, dy, n): greedy clusters by order, their mean place and direction.
 
-    The first free point takes all free points within ``radius`` of itself.
-    Directions are flipped to the side of the cluster's first one before the mean.
-    Points act on each other within ``radius`` only, so each chain is folded by itself.
+    The first free point takes all free points within ``radius`` of itself; ``order``
+    is unique in a group. Directions are flipped to the side of the cluster's first one
+    before the mean. Rounds of points with no free point before them in reach: the scan
+    in order starts clusters there too. No group or neighbourhood is gathered; most
+    points have nothing in reach and are in no round.
     """
-    runs = cut_at_gaps(points, radius, by, order, inclusive=True).groupBy(by, "chain").agg(F.array_sort(F.collect_list(F.struct(order, "x", "y", "dx", "dy"))).alias("run"))
-
-    def step(seeds, p):
-        hit = F.transform(seeds, lambda s: F.hypot(s["x"] - p["x"], s["y"] - p["y"]) <= radius)
-        return F.when(F.array_contains(hit, True), seeds).otherwise(F.concat(seeds, F.array(p)))
-
-    seeds = runs.select(by, "run", F.aggregate("run", F.filter("run", lambda r: F.lit(False)), step).alias("seeds"))
-    members = seeds.select(by, "seeds", F.explode("run").alias("p"))
+    dots = materialize(points.select(by, order, "x", "y", "dx", "dy"), "dots")
+    box = ("x", "y", "x", "y")
+    close = (F.col(f"l.{order}") < F.col(f"r.{order}")) & (F.hypot(F.col("l.x") - F.col("r.x"), F.col("l.y") - F.col("r.y")) <= radius)
+    pairs = range_join(dots, dots, max(4 * radius, 16.0), close, pad=radius, left_box=box, right_box=box, on=by)
+    near = materialize(pairs.select(f"l.{by}", F.col(f"l.{order}").alias("a"), F.col(f"r.{order}").alias("b")), "near")
+    left, rounds = near, []
+    while True:
+        first = left.select(by, "a").distinct().join(left.select(by, F.col("b").alias("a")), [by, "a"], "left_anti")
+        new = materialize(left.join(first, [by, "a"], "left_semi").select(by, F.col("b").alias("e")).distinct(), "taken")
+        if new.limit(1).count() == 0:
+            break
+        rounds.append(new)
+        if len(rounds) == 16:  # keeps the plan short
+            rounds = [materialize(reduce(DataFrame.union, rounds), "taken")]
+        left = materialize(left.join(new.withColumnRenamed("e", "a"), [by, "a"], "left_anti").join(new.withColumnRenamed("e", "b"), [by, "b"], "left_anti").select(by, "a", "b"), "near")
+    taken = reduce(DataFrame.union, rounds or [new]).withColumnRenamed("e", order)
+    seeds = dots.join(taken, [by, order], "left_anti").select(by, F.col(order).alias("seed"), F.col("dx").alias("sx"), F.col("dy").alias("sy"))
     # clusters of a map are numbered in the order of their seeds
-    numbers = seeds.select(by, F.explode(F.transform("seeds", lambda s: s[order])).alias("seed"))
-    numbers = numbers.select(by, "seed", F.row_number().over(Window.partitionBy(by).orderBy("seed")).alias("cluster"))
-    # a point belongs to the first seed in reach, as seeds take free points in order
-    place = F.array_position(F.transform("seeds", lambda s: F.hypot(s["x"] - F.col("p.x"), s["y"] - F.col("p.y")) <= radius), True).cast("int")
-    placed = members.select(by, "p", F.get("seeds", place - 1).alias("s")).withColumn("seed", F.col(f"s.{order}")).join(numbers, [by, "seed"])
-    side = F.when(F.col("p.dx") * F.col("s.dx") + F.col("p.dy") * F.col("s.dy") < 0, -1.0).otherwise(1.0)
-    return placed.groupBy(by, "cluster").agg(F.avg("p.x").alias("x"), F.avg("p.y").alias("y"), F.sum(side * F.col("p.dx")).alias("dx"), F.sum(side * F.col("p.dy")).alias("dy"), F.count("*").alias("n"))
+    seeds = materialize(seeds.withColumn("cluster", F.row_number().over(Window.partitionBy(by).orderBy("seed"))), "seeds")
+    # a point belongs to the first seed in reach
+    owned = near.withColumnRenamed("a", "seed").join(seeds.select(by, "seed"), [by, "seed"], "left_semi").groupBy(by, F.col("b").alias(order)).agg(F.min("seed").alias("seed"))
+    owned = owned.unionByName(seeds.select(by, F.col("seed").alias(order), "seed"))
+    placed = dots.join(owned, [by, order]).join(seeds, [by, "seed"])
+    side = F.when(F.col("dx") * F.col("sx") + F.col("dy") * F.col("sy") < 0, -1.0).otherwise(1.0)
+    return placed.groupBy(by, "cluster").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.sum(side * F.col("dx")).alias("dx"), F.sum(side * F.col("dy")).alias("dy"), F.count("*").alias("n"))
 
 
 def ring_edges(points: DataFrame, by: list[str]) -> DataFrame:

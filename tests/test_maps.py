@@ -325,3 +325,25 @@ def test_sse_lines_and_ticker(spark):
     r = pr.sse_lines(spark.createDataFrame([(1, 2, "render")], "job_id long, seq long, step string")).first()
     assert r["line"] == 'data: {"seq":2,"step":"render"}\n\n'
     assert value(spark, pr.ticker(F.lit(10.0), F.lit(30.0), F.lit(5.0), F.lit(10.0))) == pytest.approx(19.5)
+
+
+def test_radius_clusters_equal_the_scan_in_order(spark):
+    rng = random.Random(5)
+    rows = [(m, i, float(rng.randrange(60)), float(rng.randrange(40)), rng.uniform(-1, 1), rng.uniform(-1, 1)) for m in (1, 2) for i in range(90)]
+    rows += [(3, i, 3.0 * i, 0.0, 1.0, 0.0) for i in range(60)]  # one after the other, in order
+    want = set()
+    for m in (1, 2, 3):
+        seeds: list = []
+        for _, i, x, y, dx, dy in (r for r in rows if r[0] == m):
+            at = next((s for s in seeds if math.hypot(s[0] - x, s[1] - y) <= 7), None)
+            if at is None:
+                at = (x, y, dx, dy, [])
+                seeds.append(at)
+            flip = -1 if dx * at[2] + dy * at[3] < 0 else 1
+            at[4].append((x, y, flip * dx, flip * dy))
+        for k, s in enumerate(seeds):
+            n = len(s[4])
+            want.add((m, k + 1, n, *(round(sum(p[c] for p in s[4]) / (n if c < 2 else 1), 6) for c in range(4))))
+    got = clusters.radius_clusters(spark.createDataFrame(rows, "map_id long, ord long, x double, y double, dx double, dy double"), 7.0)
+    assert {(r.map_id, r.cluster, r.n, *(round(v, 6) for v in (r.x, r.y, r.dx, r.dy))) for r in got.collect()} == want
+    assert clusters.radius_clusters(spark.createDataFrame([], "map_id long, ord long, x double, y double, dx double, dy double"), 7.0).count() == 0
