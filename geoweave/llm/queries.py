@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoweave.llm import decontam, langid, licenses, mixing, neardup, quality, secrets, sharding, toolcalls, urlrules
+from geoweave.llm import decontam, langid, licenses, lines, manifest, mixing, neardup, quality, resample, secrets, sharding, toolcalls, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,5 +61,33 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_language_id, op4_benchmark_decontamination, op5_tool_call_linking, op6_secret_scan, op7_url_filter, op8_hilbert_sharding, op9_temperature_mixing, op10_minhash_neardup)}
-ORACLE: dict[str, str] = {"op6_secret_scan": secrets.oracle(), "op7_url_filter": urlrules.oracle()}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle trees by language under one root, with a proof for every row and the fold of tampered ones."""
+    return manifest.manifest(table(spark, sf_dir, "documents")).drop("lang", "place", "path")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn by hashed n-gram importance weights towards the benchmark's texts."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that three documents share stay in the one with the largest id."""
+    return lines.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_license_scan, op3_language_id, op4_benchmark_decontamination, op5_tool_call_linking,
+        op6_secret_scan, op7_url_filter, op8_hilbert_sharding, op9_temperature_mixing, op10_minhash_neardup,
+        op11_merkle_manifest, op12_importance_resampling, op13_line_dedup,
+    )
+}
+ORACLE: dict[str, str] = {
+    "op6_secret_scan": secrets.oracle(),
+    "op7_url_filter": urlrules.oracle(),
+    "op11_merkle_manifest": manifest.oracle(),
+    "op12_importance_resampling": resample.oracle(),
+    "op13_line_dedup": lines.oracle(),
+}
