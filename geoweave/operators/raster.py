@@ -2,7 +2,8 @@
 
 A map is never held as an image. Boundary pixels are rows; in each line of a map the
 background between them falls into runs, runs of neighbouring lines that touch
-are linked, and regions are the components of those links.
+are linked, and regions are the components of those links. Distances from the boundary are
+exact and kept as parts of lines, not as pixels.
 """
 
 from __future__ import annotations
@@ -59,17 +60,101 @@ def kept_regions(sizes: DataFrame, least: int, most: int, held: DataFrame | None
 
 def background_runs(boundary: DataFrame, pages: DataFrame) -> DataFrame:
     """(map_id, run, py, lo, hi): maximal runs of pixels that are no boundary; pages has map_id, width and height in pixels."""
-    edge = pages.select("map_id", "width", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height") - 1)).alias("py"))
-    inside = boundary.join(pages, "map_id").filter("px BETWEEN 0 AND width - 1 AND py BETWEEN 0 AND height - 1").select("map_id", "py", "px").distinct()
-    marks = inside.unionByName(edge.select("map_id", "py", F.lit(-1).cast("long").alias("px"))).unionByName(edge.select("map_id", "py", F.col("width").alias("px")))
+    edge = page_rows(pages)
+    marks = in_pages(boundary, pages).unionByName(edge.select("map_id", "py", F.lit(-1).cast("long").alias("px"))).unionByName(edge.select("map_id", "py", F.col("width").alias("px")))
     w = Window.partitionBy("map_id", "py").orderBy("px")
     runs = marks.withColumn("next", F.lead("px").over(w)).filter("next > px + 1").select("map_id", "py", (F.col("px") + 1).alias("lo"), (F.col("next") - 1).alias("hi"))
-    return runs.withColumn("run", F.concat_ws(":", "map_id", F.lpad(F.col("py").cast("string"), 9, "0"), F.lpad(F.col("lo").cast("string"), 9, "0")))
+    return runs.withColumn("run", run_id())
 
 
-def regions(boundary: DataFrame, pages: DataFrame) -> DataFrame:
-    """(map_id, region, run, py, lo, hi): background runs with their 8-connected region."""
-    runs = materialize(background_runs(boundary, pages), "runs")
+def page_rows(pages: DataFrame) -> DataFrame:
+    """(map_id, width, py): every line of every page."""
+    return pages.select("map_id", "width", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height") - 1)).alias("py"))
+
+
+def in_pages(boundary: DataFrame, pages: DataFrame) -> DataFrame:
+    """The distinct boundary pixels that lie on their page."""
+    on_page = boundary.join(pages, "map_id").filter("px BETWEEN 0 AND width - 1 AND py BETWEEN 0 AND height - 1")
+    return on_page.select("map_id", "px", "py").distinct()
+
+
+def complement(intervals: DataFrame, pages: DataFrame) -> DataFrame:
+    """(map_id, py, lo, hi): what the union of the intervals (map_id, py, lo, hi) leaves of each line of the pages."""
+    lines = page_rows(pages)
+    minus, width = F.lit(-1).cast("long"), F.col("width")
+    before = lines.select("map_id", "py", minus.alias("lo"), minus.alias("hi"))
+    behind = lines.select("map_id", "py", width.alias("lo"), width.alias("hi"))
+    w = Window.partitionBy("map_id", "py").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+    marked = intervals.select("map_id", "py", "lo", "hi").unionByName(before).unionByName(behind).withColumn("reached", F.max("hi").over(w))
+    return marked.filter("lo > reached + 1").select("map_id", "py", (F.col("reached") + 1).alias("lo"), (F.col("lo") - 1).alias("hi"))
+
+
+def nearest_in_columns(boundary: DataFrame, pages: DataFrame, reach: float) -> DataFrame:
+    """(map_id, at, x_lo, x_hi, y_lo, y_hi): boxes of pixels whose column has its nearest boundary pixel in line ``at``.
+
+    This is the first pass of a separable distance transform: every boundary pixel owns
+    the part of its column halfway to the next ones, ``reach`` at most. Neighbouring columns with the
+    same part make one box, so a straight edge along a line is one row, and no image is held.
+    """
+    column = Window.partitionBy("map_id", "px").orderBy("py")
+    above, below = F.lag("py").over(column), F.lead("py").over(column)
+    far = int(reach)
+    half = lambda other: F.floor((other + F.col("py")) / 2)
+    own = in_pages(boundary, pages).join(pages.select("map_id", "height"), "map_id").select(
+        "map_id", "px", F.col("py").alias("at"),
+        F.greatest(F.lit(0), F.col("py") - far, half(above) + 1).alias("y_lo"),
+        F.least(F.col("height") - 1, F.col("py") + far, half(below)).alias("y_hi"),
+    )
+    same = ["map_id", "at", "y_lo", "y_hi"]
+    island = F.col("px") - F.row_number().over(Window.partitionBy(*same).orderBy("px"))
+    boxes = own.withColumn("island", island).groupBy(*same, "island").agg(F.min("px").alias("x_lo"), F.max("px").alias("x_hi"))
+    return boxes.select("map_id", "at", "x_lo", "x_hi", "y_lo", "y_hi")
+
+
+def near_intervals(boundary: DataFrame, pages: DataFrame, reach: float) -> DataFrame:
+    """(map_id, py, off, x_lo, x_hi, lo, hi): parts of lines within ``reach`` of the boundary pixels ``off`` lines away.
+
+    The pixels in x_lo..x_hi have a boundary pixel in their own column; those from lo to hi
+    are within ``reach`` of one. A nearer pixel of the same column covers all that a farther one
+    does, so the second pass of the transform needs no others.
+    """
+    rows = nearest_in_columns(boundary, pages, reach).withColumn("py", F.explode(F.sequence("y_lo", "y_hi")))
+    off = F.abs(F.col("py") - F.col("at"))
+    wide = F.floor(F.sqrt(F.lit(float(reach) ** 2) - off * off))
+    return rows.select("map_id", "py", off.alias("off"), "x_lo", "x_hi", (F.col("x_lo") - wide).alias("lo"), (F.col("x_hi") + wide).alias("hi"))
+
+
+def far_runs(boundary: DataFrame, pages: DataFrame, most: float) -> DataFrame:
+    """(map_id, py, lo, hi): runs of pixels that lie farther than ``most`` from every boundary pixel of their page."""
+    return complement(near_intervals(boundary, pages, most), pages)
+
+
+def distances_at(points: DataFrame, boundary: DataFrame, pages: DataFrame, point_id: str, reach: float, cell: int = 64) -> DataFrame:
+    """(map_id, point_id, d2): squared distance of each pixel px, py from the nearest boundary pixel, up to ``reach``."""
+    near = near_intervals(boundary, pages, reach)
+    near = near.withColumn("gx", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor(F.col("hi") / cell))))
+    dots = points.select("map_id", point_id, "px", "py", F.floor(F.col("px") / cell).alias("gx"))
+    met = dots.join(near.hint("merge"), ["map_id", "py", "gx"]).filter("px BETWEEN lo AND hi")
+    dx = F.greatest(F.lit(0), F.col("x_lo") - F.col("px"), F.col("px") - F.col("x_hi"))
+    return met.groupBy("map_id", point_id).agg(F.min(dx * dx + F.col("off") * F.col("off")).alias("d2"))
+
+
+def filled_runs(boundary: DataFrame, pages: DataFrame, most: float) -> DataFrame:
+    """Background runs once what is farther than ``most`` from the boundary counts as boundary too.
+
+    Leaks between parcels then part from the open background around them.
+    """
+    drawn = in_pages(boundary, pages).select("map_id", "py", F.col("px").alias("lo"), F.col("px").alias("hi"))
+    return complement(drawn.unionByName(far_runs(boundary, pages, most)), pages).withColumn("run", run_id())
+
+
+def run_id():
+    return F.concat_ws(":", "map_id", F.lpad(F.col("py").cast("string"), 9, "0"), F.lpad(F.col("lo").cast("string"), 9, "0"))
+
+
+def regions(boundary: DataFrame, pages: DataFrame, fill: float | None = None) -> DataFrame:
+    """(map_id, region, run, py, lo, hi): background runs with their 8-connected region; with ``fill``, of ``filled_runs``."""
+    runs = materialize(background_runs(boundary, pages) if fill is None else filled_runs(boundary, pages, fill), "runs")
     below = runs.select("map_id", (F.col("py") - 1).alias("py"), F.col("run").alias("b"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     links = runs.join(below, ["map_id", "py"]).filter("lo <= hi2 + 1 AND lo2 <= hi + 1").select(F.col("run").alias("a"), "b")
     found = components(links).withColumnRenamed("node", "run")

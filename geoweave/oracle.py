@@ -223,14 +223,40 @@ SELECT map_id, round(ex + 250 * sin(t), 3) AS x1, round(ey - 250 * cos(t), 3) AS
 
 def _pixels(table: str) -> str:
     """CTE px(map_id, px, py) of the pixels of the segments in ``table``."""
-    seg = "seg_id" if table == "route" else "face_id"
+    seg = "face_id" if table == "ring" else "seg_id"
     return f"""st AS (SELECT map_id, {seg} AS seg_id, CAST(x1 AS BIGINT) AS a, CAST(y1 AS BIGINT) AS b, CAST(x2 AS BIGINT) AS c, CAST(y2 AS BIGINT) AS d FROM {table}),
 ex AS (SELECT *, greatest(abs(c - a), abs(d - b)) AS n, unnest(range(0, greatest(abs(c - a), abs(d - b)) + 1)) AS k FROM st),
 px AS (SELECT map_id, seg_id, a + CAST(CASE WHEN n > 0 THEN round_even((c - a) * k / n, 0) ELSE 0 END AS BIGINT) AS px, b + CAST(CASE WHEN n > 0 THEN round_even((d - b) * k / n, 0) ELSE 0 END AS BIGINT) AS py FROM ex)"""
 
 
+#: Green pixels on pages of 1 000 by 600, and the runs farther than ten from all of them.
+SHEETS = "sheets AS (SELECT DISTINCT map_id FROM seg)"
+GREEN_PIXELS = f"{SEG}, {_pixels('green')}, {SHEETS}, bp AS (SELECT DISTINCT map_id, px, py FROM px WHERE px BETWEEN 0 AND 999 AND py BETWEEN 0 AND 599)"
+EDGES = "SELECT map_id, py, x AS lo, x AS hi FROM sheets, range(0, 600) r(py), (VALUES (-1), (1000)) e(x)"
+
+
+def _left_over(intervals: str) -> str:
+    """CTEs that end in gap(map_id, py, lo, hi): what the union of the intervals leaves of the pages' lines."""
+    return f"""mk AS ({intervals} UNION ALL {EDGES}),
+run AS (SELECT *, max(hi) OVER (PARTITION BY map_id, py ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM mk),
+gap AS (SELECT map_id, py, reached + 1 AS lo, lo - 1 AS hi FROM run WHERE lo > reached + 1)"""
+
+
+DISCS = """SELECT map_id, py + dy AS py, px - w AS lo, px + w AS hi
+ FROM bp, (SELECT dy, CAST(floor(sqrt(100 - dy * dy)) AS BIGINT) AS w FROM range(-10, 11) t(dy)) WHERE py + dy BETWEEN 0 AND 599"""
+FAR = f"far AS (WITH {_left_over(DISCS)} SELECT * FROM gap)"
+
+ORACLE |= {
+    "background_fill": f"WITH {GREEN_PIXELS}, {FAR} SELECT * FROM far",
+    "filled_background": f"WITH {GREEN_PIXELS}, {FAR}, {_left_over('SELECT map_id, py, px AS lo, px AS hi FROM bp UNION ALL SELECT * FROM far')} SELECT * FROM gap",
+    "label_clearance": f"""WITH {GREEN_PIXELS}, {LBL}, dot AS (SELECT map_id, label_ord, CAST(floor(x) AS BIGINT) AS px, CAST(floor(y) AS BIGINT) AS py FROM lbl),
+near AS (SELECT d.map_id, d.label_ord, (d.px - b.px) ** 2 + (d.py - b.py) ** 2 AS d2 FROM dot d JOIN (SELECT *, unnest([-1, 0, 1]) AS c FROM bp) b
+ ON d.map_id = b.map_id AND d.px // 64 = b.px // 64 + c AND abs(d.px - b.px) <= 12 AND abs(d.py - b.py) <= 12)
+SELECT map_id, label_ord, CAST(min(d2) AS BIGINT) AS d2 FROM near WHERE d2 <= 144 GROUP BY map_id, label_ord""",
+}
+
 ORACLE |= {
-    "boundary_pixels": f"WITH {SEG}, {_pixels('route')} SELECT map_id, seg_id, px, py FROM px",
+    "boundary_pixels": f"WITH {SEG}, {_pixels('seg')} SELECT map_id, seg_id, px, py FROM px",
     "closed_pixels": f"""WITH {SEG}, {_pixels('route')}, o AS (SELECT dx, dy FROM range(-2, 3) a(dx), range(-2, 3) b(dy) WHERE dx * dx + dy * dy <= 4),
 thick AS (SELECT DISTINCT map_id, px + dx AS px, py + dy AS py FROM px, o) SELECT map_id, px + dx AS px, py + dy AS py FROM thick, o GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM o)""",
     "background_runs": f"""WITH {RECT}, {RING}, {_pixels('ring')}, ln AS (SELECT map_id, unnest(range(0, 500)) AS py FROM (SELECT DISTINCT map_id FROM rect)),

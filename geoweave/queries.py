@@ -439,7 +439,7 @@ def face_verdicts(spark, d):
 
 @query
 def boundary_pixels(spark, d):
-    return raster.rasterize(derived.segments(spark, d).filter("layer = 'route'"))
+    return raster.rasterize(derived.segments(spark, d))
 
 
 @query
@@ -473,6 +473,34 @@ def kept_regions(spark, d):
     return raster.kept_regions(raster.region_sizes(r, pages), 3000, 6000).select("map_id", "n")
 
 
+def _sheets(spark, d):
+    """Pages of 1 000 by 600 pixels for the maps of the orders."""
+    maps = derived.segments(spark, d).select("map_id").distinct()
+    return maps.select("map_id", F.lit(1000).cast("long").alias("width"), F.lit(600).cast("long").alias("height"))
+
+
+@query
+def background_fill(spark, d):
+    """Runs of background farther than ten pixels from all green lines."""
+    green = raster.rasterize(derived.segments(spark, d).filter("layer = 'green'"))
+    return raster.far_runs(green, _sheets(spark, d), 10.0)
+
+
+@query
+def filled_background(spark, d):
+    """What is left of the background once its far parts are filled."""
+    green = raster.rasterize(derived.segments(spark, d).filter("layer = 'green'"))
+    return raster.filled_runs(green, _sheets(spark, d), 10.0).select("map_id", "py", "lo", "hi")
+
+
+@query
+def label_clearance(spark, d):
+    """Squared distance of every label's pixel from the nearest green pixel, up to twelve."""
+    green = raster.rasterize(derived.segments(spark, d).filter("layer = 'green'"))
+    dots = derived.labels(spark, d).select("map_id", "label_ord", F.floor("x").alias("px"), F.floor("y").alias("py"))
+    return raster.distances_at(dots, green, _sheets(spark, d), "label_ord", 12.0)
+
+
 @query
 def annotation_rows(spark, d):
     l_ = lb.load(derived.labels(spark, d))
