@@ -43,3 +43,39 @@ def components(links: DataFrame) -> DataFrame:
         seen = ends.groupBy("node").agg(F.sum("leaf").alias("n"), F.min("leaf").alias("root"))
         if not seen.agg(F.count_if(F.expr("n > 1 OR (n = 1 AND root = 0)"))).first()[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+
+
+def cycles(links: DataFrame, by: str = "map_id") -> DataFrame:
+    """(by, u, v, lu, lv, steps): the least edge (lu, lv) of each edge's cycle, and how many steps ahead it is.
+
+    ``links`` has for each directed edge (u, v) the next one (ju, jv). Pointers are doubled; an edge
+    whose two windows have the same least edge has seen its whole cycle, and all edges of that
+    cycle have one round later. They then leave, so short cycles cost few rounds and later rounds only carry
+    the edges of long ones. Edges that do not lie on a cycle are left out.
+    """
+    edge = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    state = links.select(by, "u", "v", "ju", "jv", F.col("u").alias("lu"), F.col("v").alias("lv"), F.lit(0).cast("long").alias("steps"), F.lit(False).alias("done"))
+    state = materialize(state, "cycles")
+    # no cycle is longer than all edges together
+    bound, width, found, before = 2 * state.count(), 1, None, []
+    while True:
+        ahead = state.select(by, F.col("u").alias("ju"), F.col("v").alias("jv"), F.col("ju").alias("ku"), F.col("jv").alias("kv"), F.col("lu").alias("mu"), F.col("lv").alias("mv"), F.col("steps").alias("more"))
+        met = state.filter("NOT done").join(ahead, [by, "ju", "jv"])
+        less = edge("mu", "mv") < edge("lu", "lv")
+        after = met.select(
+            by, "u", "v", F.col("ku").alias("ju"), F.col("kv").alias("jv"),
+            F.when(less, F.col("mu")).otherwise(F.col("lu")).alias("lu"), F.when(less, F.col("mv")).otherwise(F.col("lv")).alias("lv"),
+            F.when(less, F.col("more") + width).otherwise(F.col("steps")).alias("steps"), (edge("mu", "mv") == edge("lu", "lv")).alias("done"),
+        )
+        state = materialize(after, "cycles")
+        for old in before:
+            forget(old)
+        counts = state.agg(F.count_if("done"), F.count_if(~F.col("done"))).first()
+        if counts[0] or found is None:
+            out = state.filter("done").select(by, "u", "v", "lu", "lv", "steps")
+            found, before = out if found is None else found.unionByName(out), []
+        else:  # without a finished edge, only the next round reads it
+            before = [state]
+        width *= 2
+        if not counts[1] or width > bound:
+            return materialize(found, "found")

@@ -2,7 +2,7 @@
 
 Node keys are coordinates rounded to a fixed grid (`GRID` units), packed into one
 BIGINT, so equality of nodes is equality of integers. Orbits of half-edges are
-labelled by pointer doubling: log2 of the longest orbit rounds of one self-join.
+labelled by pointer doubling, and leave the rounds once they are closed.
 Edges with the same orbit on both sides are dangles and bridges; they bound no
 face and go before the second labelling.
 """
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoweave.functions import geometry as g
+from geoweave.operators.graphs import cycles
 from geoweave.operators.spatial import range_join
 from geoweave.scratch import materialize
 
@@ -94,16 +95,8 @@ def orbits(edges: DataFrame) -> DataFrame:
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = half.withColumn("angle", angle).withColumn("p", F.coalesce(F.lag("v").over(w), F.last("v").over(whole)))
     # the half-edge v-u is followed by u-p
-    state = before.select("map_id", F.col("v").alias("u"), F.col("u").alias("v"), F.col("u").alias("ju"), F.col("p").alias("jv"))
-    state = materialize(state.withColumns({"fu": F.col("u"), "fv": F.col("v")}), "orbits")
-    while True:
-        ahead = state.select("map_id", F.col("u").alias("ju"), F.col("v").alias("jv"), F.col("ju").alias("ku"), F.col("jv").alias("kv"), F.struct("fu", "fv").alias("g"))
-        moved = state.join(ahead, ["map_id", "ju", "jv"])
-        f = F.least(F.struct("fu", "fv"), F.col("g"))
-        after = materialize(moved.select("map_id", "u", "v", F.col("ku").alias("ju"), F.col("kv").alias("jv"), f["fu"].alias("fu"), f["fv"].alias("fv"), (f != F.struct("fu", "fv")).alias("changed")), "orbits")
-        state = after
-        if after.filter("changed").limit(1).count() == 0:
-            return state.select("map_id", "u", "v", "fu", "fv")
+    found = cycles(before.select("map_id", F.col("v").alias("u"), F.col("u").alias("v"), F.col("u").alias("ju"), F.col("p").alias("jv")))
+    return found.select("map_id", "u", "v", F.col("lu").alias("fu"), F.col("lv").alias("fv"))
 
 
 def bounding_edges(edges: DataFrame) -> DataFrame:

@@ -320,3 +320,14 @@ q AS (SELECT job_id, seq, t0, unnest(range(1, CAST(floor((t1 - t0 - 1) / 86400)
     "variant_totals": f"""WITH {TRUTH}, t2 AS (SELECT map_id, text FROM lbl WHERE y < 480), s AS (SELECT count(*) * 0.25e0 AS seconds FROM t2)
 SELECT 'A' AS variant, round(seconds, 1) AS seconds, CASE WHEN (SELECT count(*) FROM oc WHERE outcome = 'fn') > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM s UNION ALL SELECT 'B', round(seconds, 1), 'PASS' FROM s""",
 }
+
+SNAPPED = "round_even({} * 1024, 0) / 1024"
+ORACLE |= {
+    # the route turns left: its right side has the point, its left one the inner corner
+    "buffer_frame": f"""WITH {RECT}, bend AS (SELECT face_id AS map_id, x0, y0, x1, y0 AS b0, CASE WHEN face_id % 2 = 1 THEN x1 ELSE x0 END AS cx, y1 AS cy FROM rect),
+leg AS (SELECT *, (cy - b0) / sqrt((cx - x1) ** 2 + (cy - b0) ** 2) AS nx, -(cx - x1) / sqrt((cx - x1) ** 2 + (cy - b0) ** 2) AS ny FROM bend),
+tip AS (SELECT *, 5 * nx / (1 - ny) AS mx, 5 * (ny - 1) / (1 - ny) AS my FROM leg),
+corners AS (SELECT map_id, [[x0, y0 - 5], [x1 + mx, b0 + my], [cx + 5 * nx, cy + 5 * ny], [cx - 5 * nx, cy - 5 * ny], [x1 - mx, b0 - my], [x0, y0 + 5]] AS c FROM tip),
+side AS (SELECT map_id, unnest(c) AS p, unnest(list_concat(c[2:], c[:1])) AS q FROM corners)
+SELECT map_id, {SNAPPED.format('p[1]')} AS x1, {SNAPPED.format('p[2]')} AS y1, {SNAPPED.format('q[1]')} AS x2, {SNAPPED.format('q[2]')} AS y2 FROM side""",
+}

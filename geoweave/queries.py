@@ -348,6 +348,22 @@ def route_end_lines(spark, d):
     return c.select("map_id", *[F.round(x, 3).alias(x) for x in ("x1", "y1", "x2", "y2")])
 
 
+def _bends(spark, d):
+    """A map for each customer: a route along its rectangle's first side, then up, or back across to the opposite corner."""
+    r = derived.rectangles(spark, d)
+    leg = lambda k, *p: F.struct(F.lit(k).cast("long").alias("seg_id"), *(F.col(c).alias(n) for c, n in zip(p, ("x1", "y1", "x2", "y2"))))
+    up, back = leg(1, "x1", "y0", "x1", "y1"), leg(1, "x1", "y0", "x0", "y1")
+    legs = F.array(leg(0, "x0", "y0", "x1", "y0"), F.when(F.col("face_id") % 2 == 1, up).otherwise(back))
+    return r.select(F.col("face_id").alias("map_id"), F.inline(legs))
+
+
+@query
+def buffer_frame(spark, d):
+    """Outlines of five points around routes with a right or an acute bend, mitred."""
+    out = closures.buffer_outline(_bends(spark, d), 5.0, tolerance=0.01, mitre=10.0)
+    return out.select("map_id", "x1", "y1", "x2", "y2")
+
+
 @query
 def gap_closures(spark, d):
     e = topology.noded_edges(derived.segments(spark, d).filter("layer = 'green'"))
