@@ -67,13 +67,13 @@ def strip_frame(s: str, px, py) -> tuple[Column, Column, Column]:
     return (dx * (x2 - x1) + dy * (y2 - y1)) / F.nullif(n, F.lit(0.0)), (dy * (x2 - x1) - dx * (y2 - y1)) / F.nullif(n, F.lit(0.0)), n
 
 
-def strip_distance(s: str, px, py, half: float) -> Column:
+def strip_distance(s: str, px, py, half: float | Column) -> Column:
     """Distance of a point from the flat-ended strip of ``half`` to both sides of the segment s."""
     u, v, n = strip_frame(s, px, py)
     return F.hypot(F.greatest(F.lit(0.0), -u, u - n), F.greatest(F.lit(0.0), F.abs(v) - half))
 
 
-def meets_strip(a: str, s: str, half: float) -> Column:
+def meets_strip(a: str, s: str, half: float | Column) -> Column:
     """Segment a has a point in the flat-ended strip of ``half`` to both sides of segment s."""
     u1, v1, n = strip_frame(s, f"{a}.x1", f"{a}.y1")
     u2, v2, _ = strip_frame(s, f"{a}.x2", f"{a}.y2")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoweave.operators.spatial import range_join
@@ -78,19 +78,20 @@ def greedy_match(pairs: DataFrame) -> DataFrame:
         left = materialize(left.join(used.withColumnRenamed("e", "a"), ["map_id", "a"], "left_anti").join(used.withColumnRenamed("e", "b"), ["map_id", "b"], "left_anti").select("map_id", "a", "b", "d2"), "pairs")
 
 
-def radius_clusters(points: DataFrame, radius: float, by: str = "map_id", order: str = "ord") -> DataFrame:
+def radius_clusters(points: DataFrame, radius: float | Column, by: str = "map_id", order: str = "ord") -> DataFrame:
     """(by, cluster, x, y, dx, dy, n): greedy clusters by order, their mean place and direction.
 
-    The first free point takes all free points within ``radius`` of itself; ``order``
-    is unique in a group. Directions are flipped to the side of the cluster's first one
+    The first free point takes all free points within ``radius`` of itself, which may be a
+    column that is the same for all points of a group; ``order`` is unique in a group. Directions are flipped to the side of the cluster's first one
     before the mean. Rounds of points with no free point before them in reach: the scan
     in order starts clusters there too. No group or neighbourhood is gathered; most
     points have nothing in reach and are in no round.
     """
-    dots = materialize(points.select(by, order, "x", "y", "dx", "dy"), "dots")
+    limit = radius if isinstance(radius, Column) else F.lit(float(radius))
+    dots = materialize(points.select(by, order, "x", "y", "dx", "dy", limit.alias("limit")), "dots")
     box = ("x", "y", "x", "y")
-    close = (F.col(f"l.{order}") < F.col(f"r.{order}")) & (F.hypot(F.col("l.x") - F.col("r.x"), F.col("l.y") - F.col("r.y")) <= radius)
-    pairs = range_join(dots, dots, max(4 * radius, 16.0), close, pad=radius, left_box=box, right_box=box, on=by)
+    close = (F.col(f"l.{order}") < F.col(f"r.{order}")) & (F.hypot(F.col("l.x") - F.col("r.x"), F.col("l.y") - F.col("r.y")) <= F.col("l.limit"))
+    pairs = range_join(dots, dots, F.greatest(4 * F.col("limit"), F.lit(16.0)), close, pad=F.col("limit"), left_box=box, right_box=box, on=by)
     near = materialize(pairs.select(f"l.{by}", F.col(f"l.{order}").alias("a"), F.col(f"r.{order}").alias("b")), "near")
     left, rounds = near, []
     while True:

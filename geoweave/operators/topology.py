@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from geoweave.functions import geometry as g
 from geoweave.operators.graphs import cycles
-from geoweave.operators.spatial import range_join
+from geoweave.operators.spatial import range_join, reaching
 from geoweave.scratch import materialize
 
 GRID = 1024.0
@@ -34,13 +34,15 @@ def node_y(key, grid: float = GRID) -> Column:
     return (g.col(key).bitwiseAND(F.lit((1 << 31) - 1)) - F.lit(_HALF >> 1)) / grid
 
 
-def snap_ends(segments: DataFrame, tolerance: float) -> DataFrame:
+def snap_ends(segments: DataFrame, tolerance: float, scales: DataFrame | None = None) -> DataFrame:
     """Segment ends within ``tolerance`` of others move to the least of those places."""
     if tolerance <= 0:
         return segments
     ends = segments.select("map_id", F.inline(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))))).distinct()
     box = ("x", "y", "x", "y")
-    near = range_join(ends, ends, max(4 * tolerance, 8.0), F.hypot(F.col("l.x") - F.col("r.x"), F.col("l.y") - F.col("r.y")) <= tolerance, pad=tolerance, left_box=box, right_box=box)
+    ends = reaching(ends, tolerance, scales)
+    apart = F.hypot(F.col("l.x") - F.col("r.x"), F.col("l.y") - F.col("r.y"))
+    near = range_join(ends, ends, F.greatest(4 * F.col("reach"), F.lit(8.0)), apart <= F.col("l.reach"), pad=F.col("reach"), left_box=box, right_box=box)
     to = near.groupBy("l.map_id", "l.x", "l.y").agg(F.min(F.struct("r.x", "r.y")).alias("to"))
     a = to.select("map_id", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("to.x").alias("ax"), F.col("to.y").alias("ay"))
     b = to.select("map_id", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("to.x").alias("bx"), F.col("to.y").alias("by"))
@@ -106,13 +108,13 @@ def bounding_edges(edges: DataFrame) -> DataFrame:
     return o.join(back, ["map_id", "u", "v"]).filter("u < v AND (fu <> gu OR fv <> gv)").select("map_id", "u", "v")
 
 
-def faces(segments: DataFrame, snap: float = 0.0, cell: float = 64.0) -> tuple[DataFrame, DataFrame]:
+def faces(segments: DataFrame, snap: float = 0.0, cell: float = 64.0, scales: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(faces, face_edges) of the subdivision.
 
     faces: map_id, face_id, area (holes taken off), perimeter, x_min..y_max, n_edges;
     face_edges: map_id, face_id, ring (shell or hole), x1, y1, x2, y2.
     """
-    edges = materialize(noded_edges(snap_ends(segments, snap), cell), "edges")
+    edges = materialize(noded_edges(snap_ends(segments, snap, scales), cell), "edges")
     ring = materialize(orbits(materialize(bounding_edges(edges), "edges")), "rings")
     lines = ring.select("map_id", F.concat_ws("-", "fu", "fv").alias("ring_id"), node_x("u").alias("x1"), node_y("u").alias("y1"), node_x("v").alias("x2"), node_y("v").alias("y2"))
     area = F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2

@@ -210,9 +210,9 @@ SELECT map_id, face_id, round(CASE WHEN abs(y0 - 202) <= 5 THEN w ELSE 0 END + C
 WHERE abs(y0 - 202) <= 5 OR abs(y1 - 202) <= 5 OR least(y1, 207) >= greatest(y0, 197)""",
     "face_length_inside": f"""WITH {RECT}, c AS (SELECT map_id, face_id, greatest(0, least(x1 - 0.5, 450) - greatest(x0 + 0.5, -10)) AS l FROM rect WHERE y0 + 0.5 < 215 AND y1 - 0.5 > 215)
 SELECT map_id, face_id, round(l, 6) AS inside FROM c WHERE l > 0""",
-    "nearest_label": f"""WITH {SEG}, {LBL}, d AS (SELECT l.map_id, l.x, l.y, r.x1, r.y1, CAST(r.x2 - r.x1 AS DOUBLE) AS dx, CAST(r.y2 - r.y1 AS DOUBLE) AS dy FROM lbl l JOIN route r ON l.map_id = r.map_id),
-t AS (SELECT *, greatest(0, least(1, ((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy))) AS t FROM d), q AS (SELECT map_id, min(sqrt((x - x1 - t * dx) ** 2 + (y - y1 - t * dy) ** 2)) AS dist FROM t GROUP BY map_id)
-SELECT map_id, round(dist, 6) AS dist FROM q WHERE dist < 200""",
+    "nearest_label": f"""WITH {SEG}, {LBL}, d AS (SELECT l.map_id, l.label_ord, l.x, l.y, r.x1, r.y1, CAST(r.x2 - r.x1 AS DOUBLE) AS dx, CAST(r.y2 - r.y1 AS DOUBLE) AS dy FROM lbl l JOIN route r ON l.map_id = r.map_id),
+t AS (SELECT *, greatest(0, least(1, ((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy))) AS t FROM d), q AS (SELECT map_id, label_ord, min(sqrt((x - x1 - t * dx) ** 2 + (y - y1 - t * dy) ** 2)) AS dist FROM t GROUP BY map_id, label_ord)
+SELECT map_id, label_ord, round(dist, 6) AS dist FROM q WHERE dist < 200 QUALIFY row_number() OVER (PARTITION BY map_id ORDER BY dist, label_ord) = 1""",
     "route_end_lines": f"""WITH {SEG}, p AS (SELECT map_id, x1 AS x, y1 AS y FROM route UNION ALL SELECT map_id, x2, y2 FROM route), e AS (SELECT map_id, min((x, y)) AS q FROM p GROUP BY map_id UNION ALL SELECT map_id, max((x, y)) FROM p GROUP BY map_id),
 m AS (SELECT map_id, CAST(x1 + x2 AS DOUBLE) / 2 AS x, CAST(y1 + y2 AS DOUBLE) / 2 AS y FROM route),
 f AS (SELECT e.map_id, CAST(q[1] AS DOUBLE) AS ex, CAST(q[2] AS DOUBLE) AS ey, m.x, m.y FROM e JOIN m ON e.map_id = m.map_id AND (q[1] - m.x) ** 2 + (q[2] - m.y) ** 2 <= 22500),
@@ -331,3 +331,12 @@ corners AS (SELECT map_id, [[x0, y0 - 5], [x1 + mx, b0 + my], [cx + 5 * nx, cy +
 side AS (SELECT map_id, unnest(c) AS p, unnest(list_concat(c[2:], c[:1])) AS q FROM corners)
 SELECT map_id, {SNAPPED.format('p[1]')} AS x1, {SNAPPED.format('p[2]')} AS y1, {SNAPPED.format('q[1]')} AS x2, {SNAPPED.format('q[2]')} AS y2 FROM side""",
 }
+
+ORACLE |= {
+    "map_scales": f"""WITH {SEG}, r AS (SELECT map_id, greatest(max(greatest(x1, x2)) - min(least(x1, x2)), max(greatest(y1, y2)) - min(least(y1, y2))) AS extent FROM route GROUP BY map_id),
+pg AS (SELECT map_id, greatest(max(x2) - min(x1), max(y2) - min(y1)) AS page FROM seg GROUP BY map_id)
+SELECT map_id, greatest(0.15e0, least(2e0, CAST(coalesce(extent, page) AS DOUBLE) / 500)) AS f FROM pg LEFT JOIN r USING (map_id)""",
+    "scaled_end_pairs": f"""WITH {SEG}, e AS (SELECT *, 12 * (1 + (map_id // 500) % 3)::DOUBLE / 2 AS reach FROM green)
+SELECT a.map_id, a.seg_id AS a, b.seg_id AS b, CAST((a.x2 - b.x2) ** 2 + (a.y2 - b.y2) ** 2 AS DOUBLE) AS d2
+FROM e a JOIN e b ON a.map_id = b.map_id AND a.seg_id < b.seg_id AND (a.x2 - b.x2) ** 2 + (a.y2 - b.y2) ** 2 <= a.reach ** 2""",
+}

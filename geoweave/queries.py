@@ -370,6 +370,21 @@ def gap_closures(spark, d):
     return closures.close_gaps(e, 5.0).select("map_id", *[F.round(x, 3).alias(x) for x in ("x1", "y1", "x2", "y2")])
 
 
+@query
+def map_scales(spark, d):
+    """How much each map's tolerances shrink or grow with the extent of its route."""
+    return strategies.scales(derived.segments(spark, d), _pages(spark, d), 500.0)
+
+
+@query
+def scaled_end_pairs(spark, d):
+    """Ends of green segments within 12 times the map's factor of each other."""
+    s = derived.segments(spark, d).filter("layer = 'green'")
+    e = s.select("map_id", F.col("seg_id").alias("ord"), F.col("x2").cast("double").alias("x"), F.col("y2").cast("double").alias("y"), (F.col("x2") - F.col("x1")).cast("double").alias("dx"), (F.col("y2") - F.col("y1")).cast("double").alias("dy"))
+    f = e.select("map_id").distinct().withColumn("f", (1 + F.col("map_id") / 500 % 3) / 2)
+    return closures.end_pairs(e, 12.0, f).select("map_id", "a", "b", "d2")
+
+
 @query
 def junction_extensions(spark, d):
     """A stub on the upper side of every customer rectangle, carried on through the side."""
@@ -413,7 +428,7 @@ def face_length_inside(spark, d):
 def nearest_label(spark, d):
     s = derived.segments(spark, d)
     n = strategies.nearest_labels(derived.labels(spark, d), s.filter("layer = 'route'"), 200.0)
-    return n.select("map_id", F.round("dist", 6).alias("dist"))
+    return n.select("map_id", "label_ord", F.round("dist", 6).alias("dist"))
 
 
 @query
