@@ -70,8 +70,8 @@ def greedy_match(pairs: DataFrame) -> DataFrame:
     while True:
         ends = left.select("map_id", F.inline(F.array(F.struct(F.col("a").alias("e"), "d2", "a", "b"), F.struct(F.col("b").alias("e"), "d2", "a", "b"))))
         first = ends.groupBy("map_id", "e").agg(F.min(F.struct("d2", "a", "b")).alias("m")).select("map_id", "e", "m.*")
-        mutual = materialize(first.groupBy("map_id", "d2", "a", "b").count().filter("count = 2").drop("count"), "matched")
-        if mutual.limit(1).count() == 0:
+        mutual = materialize(first.groupBy("map_id", "d2", "a", "b").count().filter("count = 2").drop("count"), "matched", rows=F.count(F.lit(1)))
+        if not mutual.seen["rows"]:
             return taken if taken is not None else mutual.select("map_id", "a", "b", "d2")
         taken = mutual.select("map_id", "a", "b", "d2") if taken is None else taken.unionByName(mutual.select("map_id", "a", "b", "d2"))
         used = mutual.select("map_id", F.explode(F.array("a", "b")).alias("e"))
@@ -96,8 +96,8 @@ def radius_clusters(points: DataFrame, radius: float | Column, by: str = "map_id
     left, rounds = near, []
     while True:
         first = left.select(by, "a").distinct().join(left.select(by, F.col("b").alias("a")), [by, "a"], "left_anti")
-        new = materialize(left.join(first, [by, "a"], "left_semi").select(by, F.col("b").alias("e")).distinct(), "taken")
-        if new.limit(1).count() == 0:
+        new = materialize(left.join(first, [by, "a"], "left_semi").select(by, F.col("b").alias("e")).distinct(), "taken", rows=F.count(F.lit(1)))
+        if not new.seen["rows"]:
             break
         rounds.append(new)
         if len(rounds) == 16:  # keeps the plan short

@@ -24,8 +24,9 @@ def components(links: DataFrame) -> DataFrame:
     of the nodes, and no component is gathered in one task, nor are the links of
     one node.
     """
-    edges = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    most = skew.limit_of(2 * edges.count())
+    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = materialize(edges, "links", rows=F.count(F.lit(1)))
+    most = skew.limit_of(2 * edges.seen["rows"])
     while True:
         # large star: every larger neighbour of u goes to u's least neighbour
         both = edges.union(edges.select("v", "u"))
@@ -55,9 +56,9 @@ def cycles(links: DataFrame, by: str = "map_id") -> DataFrame:
     """
     edge = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
     state = links.select(by, "u", "v", "ju", "jv", F.col("u").alias("lu"), F.col("v").alias("lv"), F.lit(0).cast("long").alias("steps"), F.lit(False).alias("done"))
-    state = materialize(state, "cycles")
+    state = materialize(state, "cycles", rows=F.count(F.lit(1)))
     # no cycle is longer than all edges together
-    bound, width, found, before = 2 * state.count(), 1, None, []
+    bound, width, found, before = 2 * state.seen["rows"], 1, None, []
     while True:
         ahead = state.select(by, F.col("u").alias("ju"), F.col("v").alias("jv"), F.col("ju").alias("ku"), F.col("jv").alias("kv"), F.col("lu").alias("mu"), F.col("lv").alias("mv"), F.col("steps").alias("more"))
         met = state.filter("NOT done").join(ahead, [by, "ju", "jv"])
@@ -67,15 +68,14 @@ def cycles(links: DataFrame, by: str = "map_id") -> DataFrame:
             F.when(less, F.col("mu")).otherwise(F.col("lu")).alias("lu"), F.when(less, F.col("mv")).otherwise(F.col("lv")).alias("lv"),
             F.when(less, F.col("more") + width).otherwise(F.col("steps")).alias("steps"), (edge("mu", "mv") == edge("lu", "lv")).alias("done"),
         )
-        state = materialize(after, "cycles")
+        state = materialize(after, "cycles", closed=F.count_if("done"), open=F.count_if(~F.col("done")))
         for old in before:
             forget(old)
-        counts = state.agg(F.count_if("done"), F.count_if(~F.col("done"))).first()
-        if counts[0] or found is None:
+        if state.seen["closed"] or found is None:
             out = state.filter("done").select(by, "u", "v", "lu", "lv", "steps")
             found, before = out if found is None else found.unionByName(out), []
         else:  # without a finished edge, only the next round reads it
             before = [state]
         width *= 2
-        if not counts[1] or width > bound:
+        if not state.seen["open"] or width > bound:
             return materialize(found, "found")

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Paths of the tables made in each open scope, innermost last.
 _scopes: list[list[str]] = []
@@ -44,21 +44,24 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, outside: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, outside: bool = False, **seen: Column) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
     This cuts the lineage: work that follows is recovered from the table when an
     executor is lost, and every later use reads only the columns that it needs.
-    ``outside``: the table outlives the innermost ``scope``.
+    ``outside``: the table outlives the innermost ``scope``. Aggregates given as ``seen`` are
+    observed while the rows are written, at no further pass, and are in the table's ``seen`` by name.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    watch = Observation() if seen else None
+    (df.observe(watch, *(c.alias(k) for k, c in seen.items())) if watch else df).write.parquet(path)
     holders = _scopes[:-1] if outside else _scopes
     if holders:
         holders[-1].append(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch_path = path
+    table.seen = watch.get if watch else {}
     return table
 
 

@@ -236,12 +236,13 @@ def test_closest_duplicate(spark):
 def test_intervals(spark):
     df = spark.createDataFrame([(0.0, 0.0, 10.0, 0.0, 5.0, 1.0, 5.0, 9.0), (0.0, 0.0, 10.0, 0.0, 2.0, 0.5, 6.0, 0.5), (0.0, 0.0, 10.0, 0.0, 0.0, 50.0, 9.0, 50.0)], "a double,b double,c double,d double,e double,f double,g double,h double")
     pair = lambda *n: F.struct(*[F.col(x).alias(y) for x, y in zip(n, ("x1", "y1", "x2", "y2"))])
-    got = [r["i"] for r in df.select(pair(*"abcd").alias("l"), pair(*"efgh").alias("r")).select(intervals.near_interval("l", "r", 2.0).alias("i")).collect()]
+    pairs = df.select("b", "f", pair(*"abcd").alias("l"), pair(*"efgh").alias("r"))
+    got = sorted(intervals.near_parts(pairs, [F.col("f")], "l", "r", 2.0).collect(), key=lambda r: {1.0: 0, 0.5: 1, 50.0: 2}[r["f"]])
     w = math.sqrt(3) / 10
     assert (got[0]["t0"], got[0]["t1"]) == pytest.approx((0.5 - w, 0.5 + w))
     w = math.sqrt(4 - 0.25) / 10
     assert (got[1]["t0"], got[1]["t1"]) == pytest.approx((0.2 - w, 0.6 + w))
-    assert got[2]["t0"] > got[2]["t1"]
+    assert (got[2]["t0"], got[2]["t1"]) == (-1, -1)
     parts = spark.createDataFrame([("a", 0.1, 0.3), ("a", 0.2, 0.4), ("a", 0.6, 0.7), ("a", 0.65, 0.66)], "k string, t0 double, t1 double")
     assert intervals.union_length(parts, ["k"]).first()["share"] == pytest.approx(0.4)
     assert [(r["t0"], r["t1"]) for r in intervals.gaps(parts, ["k"]).orderBy("t0").collect()] == [(0, 0.1), (0.4, 0.6), (0.7, 1)]
