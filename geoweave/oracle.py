@@ -340,3 +340,14 @@ SELECT map_id, greatest(0.15e0, least(2e0, CAST(coalesce(extent, page) AS DOUBLE
 SELECT a.map_id, a.seg_id AS a, b.seg_id AS b, CAST((a.x2 - b.x2) ** 2 + (a.y2 - b.y2) ** 2 AS DOUBLE) AS d2
 FROM e a JOIN e b ON a.map_id = b.map_id AND a.seg_id < b.seg_id AND (a.x2 - b.x2) ** 2 + (a.y2 - b.y2) ** 2 <= a.reach ** 2""",
 }
+
+ORACLE |= {
+    # every rectangle that the route meets is met inside; maps without a label there take their nearest
+    "hybrid_plots": f"""WITH {PLOTS}, held AS (SELECT p.map_id, p.label_ord, r.face_id FROM pl p JOIN rect r ON p.map_id = r.map_id AND p.x > r.x0 AND p.x < r.x1 AND p.y > r.y0 AND p.y < r.y1),
+inside AS (SELECT DISTINCT map_id, label_ord FROM held SEMI JOIN hit USING (map_id, face_id)),
+d AS (SELECT map_id, label_ord, sqrt((greatest(-10 - x, 0, x - 450)) ** 2 + (y - 215) ** 2) AS dist FROM pl ANTI JOIN inside USING (map_id)),
+near AS (SELECT map_id, label_ord FROM d WHERE dist < 200 QUALIFY row_number() OVER (PARTITION BY map_id ORDER BY dist, label_ord) = 1),
+v AS (SELECT map_id, label_ord, 'crossed' AS verdict, 'face' AS via FROM inside UNION ALL SELECT map_id, label_ord, 'crossed', 'nearest' FROM near
+ UNION ALL SELECT map_id, label_ord, 'borderline', 'no face' FROM pl ANTI JOIN held USING (map_id, label_ord) ANTI JOIN near USING (map_id, label_ord))
+SELECT map_id, CAST(label_ord AS VARCHAR) AS text, verdict, via, label_ord FROM v""",
+}

@@ -468,6 +468,15 @@ def face_verdicts(spark, d):
     return strategies.by_faces(*_plots(spark, d)).filter("verdict = 'crossed'")
 
 
+@query
+def hybrid_plots(spark, d):
+    """The hybrid rules on the customers' rectangles as they are: nothing snapped or closed, no road corridor."""
+    segments, labels_ = _plots(spark, d)
+    pages = segments.select("map_id").distinct().select("map_id", *[F.lit(v).alias(c) for v, c in ((0.0, "x0"), (0.0, "y0"), (1100.0, "x1"), (600.0, "y1"))])
+    p = strategies.Params(snap=0.0, close=False, road=False)
+    return strategies.hybrid(segments, labels_, pages, p=p).select("map_id", "text", "verdict", "via", "label_ord")
+
+
 @query
 def boundary_pixels(spark, d):
     return raster.rasterize(derived.segments(spark, d))
