@@ -351,3 +351,13 @@ v AS (SELECT map_id, label_ord, 'crossed' AS verdict, 'face' AS via FROM inside
  UNION ALL SELECT map_id, label_ord, 'borderline', 'no face' FROM pl ANTI JOIN held USING (map_id, label_ord) ANTI JOIN near USING (map_id, label_ord))
 SELECT map_id, CAST(label_ord AS VARCHAR) AS text, verdict, via, label_ord FROM v""",
 }
+
+ORACLE |= {
+    "job_messages": f"""WITH {PROGRESS}, asked AS (SELECT job_id, ts AS asked FROM pv WHERE job_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq) = 5),
+j AS (SELECT pv.*, CASE WHEN coalesce(ts > asked, false) THEN 'cancelled' WHEN seq % 50 = 0 THEN 'error' WHEN idx = 8 AND complete THEN 'done' END AS ending FROM pv LEFT JOIN asked USING (job_id)),
+live AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS n FROM (SELECT *, count(ending) OVER (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM j) WHERE ended = 0),
+plain AS (SELECT live.job_id, seq, complete, weight, step, CASE WHEN complete AND row_number() OVER (PARTITION BY job_id, step, complete ORDER BY seq) = 1 THEN weight ELSE 0 END AS fresh FROM live JOIN st USING (idx) WHERE coalesce(ending, 'done') = 'done'),
+share AS (SELECT *, CAST(least(round_even(sum(fresh) OVER (PARTITION BY job_id ORDER BY seq) + CASE WHEN complete THEN 0.0e0 ELSE 0.4e0 * weight END, 0), CASE WHEN complete THEN 100 ELSE 99 END) AS INT) AS percent FROM plain)
+SELECT job_id, seq, 0 AS ord, 'init' AS type, NULL AS step, NULL AS percent FROM live WHERE n = 1 UNION ALL SELECT job_id, seq, 1, 'step', step, NULL FROM share UNION ALL SELECT job_id, seq, 2, 'progress', NULL, percent FROM share
+UNION ALL SELECT job_id, seq, 3, ending, NULL, NULL FROM live WHERE ending IS NOT NULL UNION ALL SELECT job_id, seq, 4, 'close', NULL, NULL FROM live WHERE ending IS NOT NULL""",
+}

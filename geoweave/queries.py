@@ -14,6 +14,7 @@ from geoweave.operators import drawings as dr
 from geoweave.operators import labels as lb
 from geoweave.plans import strategies
 from geoweave.sources import derived, ingest
+from geoweave.streaming import jobs
 from geoweave.streaming import progress as pr
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -651,6 +652,16 @@ def cancelled_events(spark, d):
     return pr.until_cancelled(e, asked).select("job_id", "seq", "cancelled")
 
 
+@query
+def job_messages(spark, d):
+    """What clients are told: every fiftieth event is an error, every second job is asked to stop at its fifth event's time."""
+    kind = F.when(F.col("seq") % 50 == 0, "error").otherwise("step")
+    e = derived.progress(spark, d).withColumn("kind", kind)
+    w = Window.partitionBy("job_id").orderBy("seq")
+    asked = e.filter("job_id % 2 = 0").withColumn("n", F.row_number().over(w)).filter("n = 5").select("job_id", "ts")
+    return jobs.job_messages(e, asked)
+
+
 @query
 def keepalive_events(spark, d):
     """A keepalive for every day of silence between a job's events."""
