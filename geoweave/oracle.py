@@ -188,7 +188,7 @@ SELECT DISTINCT doc, map_name, text FROM e WHERE text <> ''""",
 t AS (SELECT map_id, seg_id, greatest(0, CASE WHEN dx = 0 THEN CASE WHEN x1 BETWEEN 100 AND 500 THEN 0 ELSE 2 END ELSE least((100 - x1) / dx, (500 - x1) / dx) END, CASE WHEN dy = 0 THEN CASE WHEN y1 BETWEEN 100 AND 400 THEN 0 ELSE 2 END ELSE least((100 - y1) / dy, (400 - y1) / dy) END) AS t0,
  least(1, CASE WHEN dx = 0 THEN CASE WHEN x1 BETWEEN 100 AND 500 THEN 1 ELSE -1 END ELSE greatest((100 - x1) / dx, (500 - x1) / dx) END, CASE WHEN dy = 0 THEN CASE WHEN y1 BETWEEN 100 AND 400 THEN 1 ELSE -1 END ELSE greatest((100 - y1) / dy, (400 - y1) / dy) END) AS t1 FROM c)
 SELECT map_id, seg_id, round(t0, 6) AS t0, round(t1, 6) AS t1 FROM t WHERE round(t0, 6) < round(t1, 6)""",
-    "step_ranges": f"WITH {PROGRESS} SELECT idx, step, round(100 * (sum(weight) OVER (ORDER BY idx) - weight) / sum(weight) OVER (), 6) AS from_pct, round(100 * sum(weight) OVER (ORDER BY idx) / sum(weight) OVER (), 6) AS to_pct FROM st",
+    "step_ranges": f"WITH {PROGRESS} SELECT idx, step, round(100 * (sum(weight) OVER (ORDER BY idx) - weight) / sum(weight) OVER (), 6) AS from_pct, round(100 * sum(weight) OVER (ORDER BY idx) / sum(weight) OVER (), 6) AS to_pct FROM st QUALIFY idx IN (SELECT idx FROM pv)",
     "progress_percent": f"""WITH {PROGRESS}, j AS (SELECT job_id, seq, complete, weight, CASE WHEN complete AND row_number() OVER (PARTITION BY job_id, step, complete ORDER BY seq) = 1 THEN weight ELSE 0 END AS fresh FROM pv JOIN st USING (idx)),
 d AS (SELECT *, sum(fresh) OVER (PARTITION BY job_id ORDER BY seq) AS done FROM j)
 SELECT job_id, seq, CAST(least(round_even(done + CASE WHEN complete THEN 0.0e0 ELSE 0.4e0 * weight END, 0), CASE WHEN complete THEN 100 ELSE 99 END) AS INT) AS percent FROM d""",

@@ -294,7 +294,9 @@ def clipped_segments(spark, d):
 
 @query
 def step_ranges(spark, d):
-    return pr.step_ranges(pr.steps_table(spark))
+    """Ranges of the steps that some job has reached."""
+    reached = derived.progress(spark, d).select("idx").distinct()
+    return pr.step_ranges(pr.steps_table(spark)).join(reached, "idx", "left_semi")
 
 
 @query
