@@ -22,12 +22,16 @@ parts: one part at least is within the limit itself. An item of fewer than
 ``SHORTEST`` words is too short for walks: cut into one piece more than edits are
 allowed, one piece must stand in the text word for word, and the same exact check follows.
 
-Items are indexed in blocks of bounded size, several blocks in one pass over the texts.
-
-Defined results: null and empty texts and items have no words and no leaks.
-Repeated rows are each reported; an item found more than once in a text is
-reported once, with its least distance and, of those, its first place. Items of one
-id, or without one, count as one item. Very long texts are looked at whole; a very long
+Items are indexed in blocks of bounded size, dealt by id and text, as many of them in one pass
+over the texts as ``PASS_BYTES`` of index hold. Where one pass does not do, what each finds is
+written and its broadcast is freed before the next begins.
+
+Defined results: null and empty texts and items have no words and no leaks, and an empty
+table of either leaves no leaks and all rows clean. Repeated rows are each reported; an item
+found more than once in a text is reported once, with its least distance and, of those, its
+first place: the least word at which an alignment with so few edits may begin. Items of one
+id, or without one, count as one item, of which the text nearest to the document is
+reported; repeated items count once. Very long texts are looked at whole; a very long
 item costs about twice its words squared for each place it may stand at. Columns other
 than id and text are not looked at, whatever their names; ``clean`` keeps them.
 """
@@ -37,22 +41,29 @@ from __future__ import annotations
 import pickle
 import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoweave.llm import text as tx
+from geoweave.scratch import forget, materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PERCENT = 20
 SHORTEST, LONGEST = 8, 256
 WALKS, SAMPLES, STEPS = 6, 6, 4
-#: Bytes of items that one index is built of, and indexes that one pass over the texts looks at.
-BLOCK_BYTES, PASS_BLOCKS = 2 << 20, 4
+#: Bytes of items that one index is built of, and of the indexes that one pass over the texts looks at.
+BLOCK_BYTES, PASS_BYTES = 2 << 20, 256 << 20
+#: An edit outweighs any place in a window: costs carry the place where their alignment begins.
+EDIT = np.int64(1) << np.int64(32)
+#: Equal findings of repeated rows that are written out as one array.
+COPIES = 1 << 16
 TABLE_BITS, PAIR_BITS = 22, 20
 
 
@@ -224,13 +235,12 @@ class Index:
         for some in (self.short_candidates(w), self.candidates(w, hashes)):
             for k, start, d in some:
                 places.setdefault(k, set()).add((d, start))
-        found: dict[tuple[int, object], tuple[int, int, int]] = {}
+        found: dict[tuple[int, object], tuple[int, int, int, int]] = {}
         for k, at in places.items():
             for d, dist, place in self.check(k, sorted(at), w, hashes):
-                key = (d, self.ids[k])
-                if key not in found or (dist, place) < found[key][:2]:
-                    found[key] = (dist, place, k)
-        return [(d, k, dist, place) for (d, _), (dist, place, k) in sorted(found.items(), key=lambda x: (x[0][0], x[1][2]))]
+                key, new = (d, self.ids[k]), (dist, place, len(self.words[k]), k)
+                found[key] = min(new, found.get(key, new))
+        return [(d, k, dist, place) for (d, _), (dist, place, _, k) in sorted(found.items(), key=lambda x: (x[0][0], x[1][3]))]
 
     def check(self, k: int, at: list[tuple[int, int]], w: tx.Words, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(row, edits, first word) where item k is within the limit of the text around one of the places (row, start)."""
@@ -254,73 +264,113 @@ class Index:
             if not len(near):
                 continue
             d, where, window = d[near], where[near], window[near]
-            row = np.zeros((len(near), wide + 1), np.int32)  # the item may begin anywhere
-            step = np.arange(wide + 1, dtype=np.int32)
+            row = np.tile(np.arange(wide + 1, dtype=np.int64), (len(near), 1))  # the item may begin anywhere
+            step = np.arange(wide + 1) * EDIT
             for word in item:
-                best = row + 1
-                np.minimum(best[:, 1:], row[:, :-1] + (window != word), out=best[:, 1:])
+                best = row + EDIT
+                np.minimum(best[:, 1:], row[:, :-1] + (window != word) * EDIT, out=best[:, 1:])
                 row = np.minimum.accumulate(best - step, axis=1) + step
-            dist = row.min(axis=1)
+            best = row.min(axis=1)
+            dist, begins = best // EDIT, best % EDIT
             for j in np.flatnonzero(dist <= limit):
-                stop = int(where[j, 0]) + int(row[j].argmin())
-                yield int(d[j]), int(dist[j]), max(0, stop - n - int(w.first[d[j]]))
+                yield int(d[j]), int(dist[j]), max(0, int(where[j, 0] + begins[j] - w.first[d[j]]))
 
 
-def passes(benchmark: DataFrame, percent: int, block_bytes: int = BLOCK_BYTES) -> Iterator[bytes]:
-    """Pickled lists of indexes, for one pass each; the items of one index take about ``block_bytes``.
+def passes(benchmark: DataFrame, percent: int, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES) -> Iterator[list[bytes]]:
+    """Pickled indexes, for one pass each; the items of one index take about ``block_bytes``, whatever their ids.
 
-    They are pickled by value: executors need numpy and pyarrow, not this repository.
+    A pass takes indexes up to ``pass_bytes``, and one at least. They are pickled by value:
+    executors need numpy and pyarrow, not this repository.
     """
-    items = benchmark.select("item_id", "text").filter("text IS NOT NULL")
+    items = benchmark.select("item_id", "text").filter("text IS NOT NULL").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = -(-total // block_bytes)
-    key = F.xxhash64("item_id", F.when(F.col("item_id").isNull(), F.col("text")))
-    indexes: list[Index] = []
+    blocks = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(count)))
+    if count > 1:  # a block is read from its own part of the table
+        blocks = materialize(blocks.repartitionByRange("block").sortWithinPartitions("block"), "items")
+    taken: list[bytes] = []
     for k in range(count):
-        part = items.filter(F.pmod(key, F.lit(count)) == k)
-        rows = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda x: (str(x[0]), x[1]))
-        indexes += [Index(rows, percent)] if rows else []
-        if indexes and (len(indexes) == PASS_BLOCKS or k == count - 1):
-            yield cloudpickle.dumps(indexes)
-            indexes = []
-    if indexes:
-        yield cloudpickle.dumps(indexes)
-
-
-def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+        part = blocks.filter(F.col("block") == k).collect()
+        if not part:
+            continue
+        index = cloudpickle.dumps(Index(sorted(((r["item_id"], r["text"]) for r in part), key=lambda x: (str(x[0]), x[1])), percent))
+        if taken and sum(map(len, taken)) + len(index) > pass_bytes:
+            yield taken
+            taken = []
+        taken.append(index)
+    if taken:
+        yield taken
+    if count > 1:
+        forget(blocks)
+
+
+def nearest(indexes: list[Index], data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(row, number of the item among all, its words, edits, first word) of a slice, one for each row and id."""
+    best: dict[tuple[int, object], tuple[int, int, int, int]] = {}
+    base = 0
+    for index in indexes:
+        for d, k, dist, place in index.find(data, offsets):
+            new = (dist, place, len(index.words[k]), base + k)
+            key = (d, index.ids[k])
+            best[key] = min(new, best.get(key, new))
+        base += len(index.ids)
+    return [(d, k, n, dist, place) for (d, _), (dist, place, n, k) in best.items()]
+
+
+def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """(doc_id, item_id, n_item_words, edits, first_word): the items found in each text, and how far from the item."""
     kind, item_kind = dict(documents.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
-    schema = f"doc_id {kind}, item_id {item_kind}, n_item_words long, edits long, first_word long"
-    names = ["doc_id", "item_id", "n_item_words", "edits", "first_word"]
-    out = documents.sparkSession.createDataFrame([], schema)
-    for payload in passes(benchmark, percent, block_bytes):
-        shared = documents.sparkSession.sparkContext.broadcast(payload)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            indexes = pickle.loads(shared.value)
+    schema = f"doc_id {kind}, item_id {item_kind}, n_item_words long, edits long, first_word long, text_key long"
+    names = ["doc_id", "item_id", "n_item_words", "edits", "first_word", "text_key"]
+    spark = documents.sparkSession
+    texts = documents.select("text", "doc_id", F.xxhash64("text").alias("text_key"))
+
+    def search(shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            indexes = [pickle.loads(x) for x in shared.value]
             ids = pa.array([x for index in indexes for x in index.ids])
             for b in batches:
                 for i, _, data, offsets in tx.slices(b.column(0)):
-                    base, got = 0, []
-                    for index in indexes:
-                        got += [(i + d, base + k, len(index.words[k]), dist, place) for d, k, dist, place in index.find(data, offsets)]
-                        base += len(index.ids)
+                    got = nearest(indexes, data, offsets)
                     if got:
                         row, item, *rest = (pa.array(x, pa.int64()) for x in zip(*got))
-                        yield pa.RecordBatch.from_arrays([b.column(1).take(row), ids.take(item), *rest], names)
-
-        out = out.unionByName(documents.select("text", "doc_id").mapInArrow(run, schema))
-    return out
-
-
-def clean(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                        row = pc.add(row, i)
+                        yield pa.RecordBatch.from_arrays([b.column(1).take(row), ids.take(item), *rest, b.column(2).take(row)], names)
+
+        return texts.mapInArrow(run, schema)
+
+    payloads = passes(benchmark, percent, block_bytes, pass_bytes)
+    payload, done = next(payloads, None), []
+    while payload is not None:
+        following = next(payloads, None)
+        shared = spark.sparkContext.broadcast(payload)
+        if following is None and not done:
+            return search(shared).drop("text_key")
+        done.append(materialize(search(shared).withColumn("pass", F.lit(len(done))), "leaks"))
+        shared.destroy()
+        payload = following
+    if not done:
+        return spark.createDataFrame([], schema).drop("text_key")
+    return merged(reduce(DataFrame.unionByName, done))
+
+
+def merged(found: DataFrame) -> DataFrame:
+    """The nearest finding of all passes for each row and id; repeated rows of one text found the same in each pass."""
+    row = ["doc_id", "text_key", "item_id"]
+    each = found.groupBy(*row, "pass").agg(F.min(F.struct("edits", "first_word", "n_item_words")).alias("best"), F.count("*").alias("n"))
+    best = each.groupBy(*row).agg(F.min("best").alias("best"), F.max("n").alias("n"))
+    parts = best.select(*row, "best", F.explode(F.expr(f"transform(sequence(0, (n - 1) div {COPIES}), k -> least({COPIES}, n - k * {COPIES}))")).alias("n"))
+    copies = parts.select(*row, "best", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    return copies.select("doc_id", "item_id", "best.n_item_words", "best.edits", "best.first_word")
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The rows of ``documents`` in whose text no item is found; all columns stay as they are."""
     column = documents.columns.index("text")
-    for payload in passes(benchmark, percent, block_bytes):
-        shared = documents.sparkSession.sparkContext.broadcast(payload)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            indexes = pickle.loads(shared.value)
+    def without(rows: DataFrame, shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            indexes = [pickle.loads(x) for x in shared.value]
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
                 for i, _, data, offsets in tx.slices(b.column(column)):
@@ -329,5 +379,19 @@ def clean(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT, bl
                             keep[i + row] = False
                 yield b.filter(pa.array(keep))
 
-        documents = documents.mapInArrow(run, documents.schema)
-    return documents
+        return rows.mapInArrow(run, rows.schema)
+
+    payloads = passes(benchmark, percent, block_bytes, pass_bytes)
+    payload, rows = next(payloads, None), documents
+    while payload is not None:
+        following = next(payloads, None)
+        shared = documents.sparkSession.sparkContext.broadcast(payload)
+        left = without(rows, shared)
+        if following is None:
+            return left
+        left = materialize(left, "clean")
+        shared.destroy()
+        if rows is not documents:
+            forget(rows)
+        payload, rows = following, left
+    return rows

@@ -1,12 +1,14 @@
 """Quality rules, license scans, language ID and decontamination against plain Python."""
 
 import os
+import pickle
 import random
 import re
 import subprocess
 import sys
 import tempfile
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -314,13 +316,14 @@ def test_keep_identified_keeps_columns(spark):
     assert {r["doc_id"] for r in kept.collect()} >= {i for i in range(60)} - {i for i in range(60) if len(rows[i][1]) < 20} and 999 not in {r["doc_id"] for r in kept.collect()}
 
 
-def edits(a, b):
-    """Least edits of a against any part of b."""
-    row = [0] * (len(b) + 1)
+def nearest(a, b):
+    """Least edits of a against any part of b, and the first word at which such a part may begin."""
+    row = [(0, j) for j in range(len(b) + 1)]
     for x in a:
-        new = [row[0] + 1]
+        new = [(row[0][0] + 1, row[0][1])]
         for j, y in enumerate(b):
-            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
+            ways = ((row[j][0] + (x != y), row[j][1]), (row[j + 1][0] + 1, row[j + 1][1]), (new[-1][0] + 1, new[-1][1]))
+            new.append(min(ways))
         row = new
     return min(row)
 
@@ -331,12 +334,16 @@ def leaks_by_hand(rows, items, percent=20):
         w = ALNUM.findall((t or "").lower())
         for k, item in items:
             p = ALNUM.findall((item or "").lower())
-            e = edits(p, w) if p else 1
-            if p and e <= len(p) * percent // 100:
-                want[i, k] = e
+            e = nearest(p, w)
+            if p and e[0] <= len(p) * percent // 100:
+                want[i, k] = min((*e, len(p)), want.get((i, k), (*e, len(p))))
     return want
 
 
+def found(got):
+    return {(r["doc_id"], r["item_id"]): (r["edits"], r["first_word"], r["n_item_words"]) for r in got}
+
+
 def changed(rng, words, n, vocab):
     """The words after n edits."""
     w = list(words)
@@ -368,10 +375,8 @@ def test_leaks_equal_brute_force(spark):
     rows += [(500, None), (501, ""), (502, "so only FOUR words -- really! that"), (503, "only four words"), (1, rows[1][1]), (None, items[8][1]), (504, "x " * 20_000 + items[7][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontam.leaks(docs(spark, rows), bench, block_bytes=2000).collect()
-    words = {k: len(ALNUM.findall((t or "").lower())) for k, t in items}
-    assert all(r["n_item_words"] == words[r["item_id"]] for r in got)
     want = leaks_by_hand(rows, items)
-    assert {(r["doc_id"], r["item_id"]): r["edits"] for r in got} == want and (504, 7) in want
+    assert found(got) == want and (504, 7) in want
     assert sum(r["doc_id"] == 1 for r in got) == 2 * sum(i == 1 for i, _ in want)
     extra = docs(spark, [(i, t, 1, "x") for i, t in rows], "doc_id long, text string, item_id int, edits string")
     kept = decontam.clean(extra, bench)
@@ -381,6 +386,35 @@ def test_leaks_equal_brute_force(spark):
     assert decontam.leaks(docs(spark, rows), bench.limit(0)).count() == 0 and decontam.leaks(docs(spark, []), bench).count() == 0
 
 
+@pytest.mark.parametrize("edit,least", [("delete", 3), ("insert", 3), ("replace", 3)])
+def test_places_of_edited_items(spark, edit, least):
+    """The place is where the item begins, whatever was put in or left out inside it."""
+    item = [f"i{k}" for k in range(20)]
+    inside = {"delete": item[:5] + item[8:], "insert": item[:5] + ["x", "y", "z"] + item[5:], "replace": item[:5] + ["x", "y", "z"] + item[8:]}[edit]
+    text = " ".join(["a", "b", "c", *inside, "d", "e"])
+    (row,) = decontam.leaks(docs(spark, [(1, text)]), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert (row["edits"], row["first_word"]) == (3, least)
+
+
+def test_items_of_one_id_make_many_blocks(spark):
+    """All items have one id: blocks stay small, passes are many, and each row has one finding for the id."""
+    rng = random.Random(12)
+    items = [(7, " ".join(f"p{k}w{j}" for j in range(rng.randint(9, 30)))) for k in range(200)]
+    rows = [(i, " ".join(["z"] * (i % 5) + changed(rng, items[i][1].split(), i % 2, ["q"]))) for i in range(40)]
+    rows += [(100, f"{items[3][1]} and {items[4][1]}"), (101, "none of them"), (102, None)] + [rows[0]] * 3 + [(None, items[9][1])] * 2
+    bench = spark.createDataFrame(items + items[:50], "item_id long, text string")
+    payloads = list(decontam.passes(bench, 20, 4000, 1))
+    size = sum(len(t) for _, t in items)
+    assert len(payloads) >= size // 4000 and all(len(p) == 1 for p in payloads)
+    assert max(sum(len(w) for w in pickle.loads(p[0]).words) for p in payloads) < 2000
+    got = decontam.leaks(docs(spark, rows), bench, block_bytes=4000, pass_bytes=1).collect()
+    want = leaks_by_hand(rows, items)
+    assert found(got) == want
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows if (i, 7) in want)
+    kept = decontam.clean(docs(spark, rows), bench, block_bytes=4000, pass_bytes=1).collect()
+    assert sorted(r["doc_id"] for r in kept) == [101, 102]
+
+
 @pytest.mark.parametrize("percent", [0, 20, 35])
 def test_short_items_inside_texts(spark, percent):
     """Every item of under 8 words against every part of every text."""
@@ -390,14 +424,8 @@ def test_short_items_inside_texts(spark, percent):
     rows = [(i, " ".join(rng.choices(vocab + ["zz"] * 30, k=rng.randint(0, 25)))) for i in range(60)] + [(i + 60, " ".join(["zz", *rng.choice(items[:28])[1].split()[i % 2 :], "zz"][i % 3 :])) for i in range(60)]
     rows += [(200, "zz zz ZQ, yx zz"), (201, "zq"), (202, "yx zq"), (203, None), (200, "zz zz ZQ, yx zz")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontam.leaks(docs(spark, rows), bench, percent).collect()}
-    want = {}
-    for i, t in rows:
-        for k, item in items:
-            p = ALNUM.findall((item or "").lower())
-            e = edits(p, ALNUM.findall((t or "").lower()))
-            if p and e <= len(p) * percent // 100:
-                want[i, k] = e
+    got = found(decontam.leaks(docs(spark, rows), bench, percent).collect())
+    want = leaks_by_hand(rows, items, percent)
     assert got == want and (200, 50) in got and (202, 50) not in got
     kept = decontam.clean(docs(spark, rows), bench, percent).collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(i for i, _ in rows if i not in {i for i, _ in want})
