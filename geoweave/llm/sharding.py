@@ -5,9 +5,10 @@ on the curve; rows are ordered by cell and cut into runs whose counts differ by
 at most (law `rows`). Shards then hold compact boxes of the metadata space, so
 that a reader prunes files by their least and greatest values.
 
-Sizes are ranked by rows, in steps of a quarter of a power of two. Sources and languages
-are ranked among at most ``VALUES`` hash values: each has a bin of its own where there
-are no more of them than bins, and otherwise shares it with its neighbours.
+Sizes are ranked by rows, in steps of a quarter of a power of two. Sources and languages are
+ranked in their own order among all distinct values: each has a bin of its own where there
+are no more of them than bins, and otherwise shares it with its neighbours. Only the first
+value of each bin reaches the driver.
 
 No global sort is needed. Rows of each cell are counted first (a bounded number
 of cells), and a cell is split into buckets by a hash of the id, so many that a
@@ -17,7 +18,7 @@ a third of all rows is spread over as many tasks as its size asks for. Equal row
 are many are dealt to buckets by their place in the table.
 
 Defined results: a null text has 0 bytes (size 1, checksum of nothing); null
-sources and languages are a value of their own. Repeated rows and rows without
+sources and languages share the bin of the empty text. Repeated rows and rows without
 an id take places like others. Equal texts get no special place under this law. Very
 long texts are one row like any other. Columns are carried into the written shards
 whatever their names: where one is called `shard` or `slot`, ours gets an underscore
@@ -32,10 +33,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from geoweave.llm import ranks
 from geoweave.llm.names import free
 from geoweave.operators import skew
 from geoweave.scratch import materialize
@@ -45,7 +47,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BITS, DIMENSIONS = 4, 3
 SHARDS = 16
 BUCKET_ROWS, MAX_BUCKETS = 100, 4096
-VALUES = 4096
 
 
 def hilbert_index(coordinates: np.ndarray, bits: int) -> np.ndarray:
@@ -77,34 +78,53 @@ def hilbert_index(coordinates: np.ndarray, bits: int) -> np.ndarray:
     return place
 
 
-def steps(documents: DataFrame) -> tuple:
-    """What is ranked in each dimension: a step of the size, a hash value of the source, one of the language."""
-    value = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\0"))), F.lit(VALUES)).cast("int")
-    return F.floor(4 * F.log2(size_of())).cast("int"), value("source"), value("lang")
+def value_of(column: str) -> Column:
+    """A source or language as it is ordered in files: null comes first, with the empty text."""
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
 def size_of():
     return (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long")
 
 
-def bins(documents: DataFrame, bits: int = BITS) -> DataFrame:
-    """(dimension, step, bin), a few thousand rows at most: sizes by the rank of their rows, values by their own rank."""
-    seen = documents.select(F.posexplode(F.array(*steps(documents))).alias("dimension", "step")).groupBy("dimension", "step").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("dimension").orderBy("step")
-    whole = Window.partitionBy("dimension")
-    before = F.sum("n").over(w) - F.col("n")
-    by_rows = F.floor(before * (1 << bits) / F.sum("n").over(whole))
-    by_value = F.floor((F.row_number().over(w) - 1) * (1 << bits) / F.count("*").over(whole))
-    return seen.select("dimension", "step", F.when(F.col("dimension") == 0, by_rows).otherwise(by_value).cast("int").alias("bin"))
+def size_step() -> Column:
+    """Sizes in steps of a quarter of a power of two."""
+    return F.floor(4 * F.log2(size_of())).cast("int")
+
+
+def size_bins(documents: DataFrame, bits: int = BITS) -> DataFrame:
+    """(step, bin), some hundred rows at most: steps of the size by the rank of their rows."""
+    seen = documents.groupBy(size_step().alias("step")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("step")) - F.col("n")
+    return seen.select("step", F.floor(before * (1 << bits) / F.sum("n").over(Window.partitionBy())).cast("int").alias("bin"))
+
+
+def first_values(documents: DataFrame, column: str, bits: int = BITS) -> list[str]:
+    """The first value of each bin, in order: all distinct values cut into 2^bits runs of their order at most."""
+    distinct = materialize(documents.select(F.lit(0).alias("all"), value_of(column).alias("value")).distinct(), "values")
+    ranked = ranks.places(distinct, "all", F.col("value"))
+    bin_of = F.expr(f"place * {1 << bits} div total")
+    return [r["first"] for r in ranked.groupBy(bin_of.alias("bin")).agg(F.min("value").alias("first")).orderBy("bin").collect()]
+
+
+def bin_of_value(column: str, firsts: list[str], bits: int = BITS) -> Column:
+    """The last run that begins at or before the value; fewer runs than bins are spread over all bins."""
+    begun = F.size(F.filter(F.array(*map(F.lit, firsts)).cast("array<string>"), lambda first: first <= value_of(column)))
+    return F.floor((begun - 1) * (1 << bits) / max(1, len(firsts))).cast("int")
 
 
 def cells(documents: DataFrame, bits: int = BITS, carry: bool = False) -> DataFrame:
     """doc_id, size, text_crc32, source, lang and the cell of every row; with ``carry`` also all its columns as ``row``."""
     text = F.coalesce("text", F.lit(""))
-    found = materialize(bins(documents, bits), "bins")
-    rows = documents.select("doc_id", size_of().alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), *([F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")] if carry else []), *(s.alias(f"step{k}") for k, s in enumerate(steps(documents))))
-    for k in range(DIMENSIONS):
-        rows = rows.join(F.broadcast(found.filter(F.col("dimension") == k).select(F.col("step").alias(f"step{k}"), F.col("bin").alias(f"bin{k}"))), f"step{k}")
+    found = materialize(size_bins(documents, bits), "bins")
+    by_value = [bin_of_value(c, first_values(documents, c, bits), bits).alias(f"bin{k}") for k, c in enumerate(("source", "lang"), 1)]
+    row = [F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")] if carry else []
+    rows = documents.select(
+        "doc_id", size_of().alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
+        *row, size_step().alias("step"), *by_value,
+    )
+    rows = rows.join(F.broadcast(found.withColumnRenamed("bin", "bin0")), "step")
     whole = ["row"] if carry else []
     rows = rows.select("doc_id", "size", "text_crc32", "source", "lang", *whole, *(f"bin{k}" for k in range(DIMENSIONS)))
     schema = StructType([*rows.schema.fields[:5], StructField("cell", LongType()), *rows.schema.fields[5:-DIMENSIONS]])

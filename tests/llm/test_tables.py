@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -312,15 +313,36 @@ def test_equal_rows_are_dealt_to_buckets(spark):
     assert len({(r["shard"], r["slot"]) for r in got if r["doc_id"] == 1 and r["size"] == 5}) == 4000
 
 
-def test_shards_prune(spark):
-    """A filter on one dimension reads few of the shards: sizes, sources and languages each narrow them down."""
+def test_shards_prune(spark, tmp_path):
+    """A filter on sources or languages reads few of the shards, by what the footers of their files say."""
     rng = random.Random(3)
     rows = [(i, "x" * int(10 ** rng.uniform(0, 5)), rng.choice(["de", "en", "es", "fr"]), f"s{rng.randrange(12)}", 0) for i in range(6000)]
-    s = sharding.shard(docs(spark, rows, CORPUS))
-    by = {r["shard"]: r for r in s.groupBy("shard").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.collect_set("source").alias("sources"), F.collect_set("lang").alias("langs")).collect()}
-    read = lambda test: sum(map(test, by.values())) / len(by)
-    share = [np.mean([read(lambda r: r["lo"] <= v <= r["hi"]) for v in (3, 100, 5000, 60_000)]), np.mean([read(lambda r: f"s{k}" in r["sources"]) for k in range(12)]), np.mean([read(lambda r: x in r["langs"]) for x in ("de", "en", "es", "fr")])]
-    assert all(x <= 0.7 for x in share), share
+    sharding.write_shards(docs(spark, rows, CORPUS), str(tmp_path / "s"))
+    by = defaultdict(list)  # least and greatest values of each file's footer, by shard
+    for f in (tmp_path / "s").glob("shard=*/*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        at = {meta.schema.column(k).name: k for k in range(meta.num_columns)}
+        for g in range(meta.num_row_groups):
+            by[f.parent.name].append({c: meta.row_group(g).column(at[c]).statistics for c in ("source", "lang")})
+    assert len(by) == sharding.SHARDS
+    read = lambda c, v: np.mean([any(g[c].min <= v <= g[c].max for g in groups) for groups in by.values()])
+    share = [np.mean([read("source", f"s{k}") for k in range(12)]), np.mean([read("lang", x) for x in ("de", "en", "es", "fr")])]
+    assert share[0] <= 0.55 and share[1] <= 0.7, share
+    sizes = sharding.shard(docs(spark, rows, CORPUS)).groupBy("shard").agg(F.min("size").alias("lo"), F.max("size").alias("hi")).collect()
+    assert np.mean([np.mean([r["lo"] <= v <= r["hi"] for r in sizes]) for v in (3, 100, 5000, 60_000)]) <= 0.7
+
+
+def test_bins_follow_the_order_of_values(spark):
+    """Bins against ranks in plain Python: fewer values than bins, more, nulls and empty texts, hot values, none."""
+    for n in (0, 1, 5, 16, 40, 100):
+        values = [f"v{k:03d}" for k in range(n)] + ([None, ""] if n > 5 else [])
+        rows = [(i, "t", "en", v, 0) for i, v in enumerate(values + values[:1] * 30)]
+        df = docs(spark, rows, CORPUS)
+        firsts = sharding.first_values(df, "source")
+        order = sorted({v or "" for v in values})
+        want = {v: k * 16 // len(order) for k, v in enumerate(order)}
+        got = {r["source"] or "": r["bin"] for r in df.select("source", sharding.bin_of_value("source", firsts).alias("bin")).collect()}
+        assert got == want
 
 
 def test_mixing(spark):
