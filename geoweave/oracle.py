@@ -361,3 +361,7 @@ share AS (SELECT *, CAST(least(round_even(sum(fresh) OVER (PARTITION BY job_id O
 SELECT job_id, seq, 0 AS ord, 'init' AS type, NULL AS step, NULL AS percent FROM live WHERE n = 1 UNION ALL SELECT job_id, seq, 1, 'step', step, NULL FROM share UNION ALL SELECT job_id, seq, 2, 'progress', NULL, percent FROM share
 UNION ALL SELECT job_id, seq, 3, ending, NULL, NULL FROM live WHERE ending IS NOT NULL UNION ALL SELECT job_id, seq, 4, 'close', NULL, NULL FROM live WHERE ending IS NOT NULL""",
 }
+
+ORACLE |= {
+    "inbox_pages": f"SELECT DISTINCT substr(sha256(text), 1, 24) AS key, CAST(strlen(text) AS BIGINT) AS length FROM documents WHERE strlen(text) <= {25 << 20}",
+}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +15,8 @@ from geoweave.operators import drawings as dr
 from geoweave.operators import labels as lb
 from geoweave.plans import strategies
 from geoweave.sources import derived, ingest
-from geoweave.streaming import jobs
+from geoweave.scratch import shared_folder
+from geoweave.streaming import inbox, jobs
 from geoweave.streaming import progress as pr
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -664,6 +666,17 @@ def job_messages(spark, d):
     return jobs.job_messages(e, asked)
 
 
+@query
+def inbox_pages(spark, d):
+    """The documents' texts as pages that arrive in a stream: each content once, written by batch."""
+    base = f"{shared_folder(spark)}/inbox-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{d}/documents.parquet").schema
+    texts = spark.readStream.schema(schema).parquet(f"{d}/[d]ocuments.parquet")  # a pattern, as the table may be one file
+    pages = texts.select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
+    inbox.deliver(inbox.new_pages(pages), f"{base}/pages", f"{base}/checkpoint", availableNow=True).awaitTermination()
+    return inbox.delivered(spark, f"{base}/pages", "path string, key string, length long").select("key", "length")
+
+
 @query
 def keepalive_events(spark, d):
     """A keepalive for every day of silence between a job's events."""
