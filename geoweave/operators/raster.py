@@ -1,20 +1,33 @@
 """The raster track: boundaries as pixels, background regions as runs of pixels.
 
-A map is never held as an image. Boundary pixels are rows; in each line of a map the
-background between them falls into runs, runs of neighbouring lines that touch
-are linked, and regions are the components of those links. Distances from the boundary are
-exact and kept as parts of lines, not as pixels.
+A map is never held as an image. In each line of a map the background between boundary pixels
+falls into runs, runs of neighbouring lines that touch are linked, and regions are the components of those links.
+Distances from the boundary are exact and kept as parts of lines, not as pixels.
+
+A boundary is a table of pixels (map_id, px, py) or of segments (map_id, x1..y2). Maps are swept by bands of
+lines; regions are found in each band first, and only the parts that touch another band are linked.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoweave.functions import geometry as g
+from geoweave.operators import tiles
 from geoweave.operators.graphs import components
+from geoweave.operators.spatial import range_join
 from geoweave.scratch import materialize
 
 
+#: What a run of pixels is.
+LINE = "py long, lo long, hi long"
+
+
 def rasterize(segments: DataFrame, scale: float = 1.0) -> DataFrame:
     """(map_id, seg_id, px, py): the pixels of each segment, one for each step along its longer axis."""
     p = [F.bround(F.col(c) * scale).cast("long") for c in ("x1", "y1", "x2", "y2")]
@@ -44,9 +57,20 @@ def thinned(pixels: DataFrame, radius: int) -> DataFrame:
     return held.filter(F.col("n") == len(offsets)).select("map_id", "px", "py")
 
 
-def closed(pixels: DataFrame, radius: int = 2) -> DataFrame:
+def strokes(boundary: DataFrame, scale: float = 1.0) -> DataFrame:
+    """(map_id, a, b, c, d): pixels, or segments times ``scale``, from pixel a, b to pixel c, d."""
+    ends = ("px", "py", "px", "py") if "px" in boundary.columns else ("x1", "y1", "x2", "y2")
+    pixel = lambda c: F.col(c).cast("long") if c in ("px", "py") else F.bround(F.col(c) * scale).cast("long")
+    return boundary.select("map_id", *[pixel(c).alias(n) for c, n in zip(ends, "abcd")])
+
+
+def closed(boundary: DataFrame, radius: int = 2) -> DataFrame:
     """Morphological closing: thickened, then thinned again, which joins what lies within twice the radius."""
-    return thinned(thicken(pixels, radius), radius)
+
+    def run(runs, top, bottom, width, height):
+        return tiles.closed(runs, radius, top, bottom)
+
+    return tiles.swept(strokes(boundary), None, 2 * radius, run, "px long, py long")
 
 
 def kept_regions(sizes: DataFrame, least: int, most: int, held: DataFrame | None = None) -> DataFrame:
@@ -60,16 +84,11 @@ def kept_regions(sizes: DataFrame, least: int, most: int, held: DataFrame | None
 
 def background_runs(boundary: DataFrame, pages: DataFrame) -> DataFrame:
     """(map_id, run, py, lo, hi): maximal runs of pixels that are no boundary; pages has map_id, width and height in pixels."""
-    edge = page_rows(pages)
-    marks = in_pages(boundary, pages).unionByName(edge.select("map_id", "py", F.lit(-1).cast("long").alias("px"))).unionByName(edge.select("map_id", "py", F.col("width").alias("px")))
-    w = Window.partitionBy("map_id", "py").orderBy("px")
-    runs = marks.withColumn("next", F.lead("px").over(w)).filter("next > px + 1").select("map_id", "py", (F.col("px") + 1).alias("lo"), (F.col("next") - 1).alias("hi"))
-    return runs.withColumn("run", run_id())
 
+    def run(runs, top, bottom, width, height):
+        return tiles.free(runs, top, bottom, width)[1:]
 
-def page_rows(pages: DataFrame) -> DataFrame:
-    """(map_id, width, py): every line of every page."""
-    return pages.select("map_id", "width", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height") - 1)).alias("py"))
+    return tiles.swept(strokes(boundary), pages, 0, run, LINE).withColumn("run", run_id())
 
 
 def in_pages(boundary: DataFrame, pages: DataFrame) -> DataFrame:
@@ -78,17 +97,6 @@ def in_pages(boundary: DataFrame, pages: DataFrame) -> DataFrame:
     return on_page.select("map_id", "px", "py").distinct()
 
 
-def complement(intervals: DataFrame, pages: DataFrame) -> DataFrame:
-    """(map_id, py, lo, hi): what the union of the intervals (map_id, py, lo, hi) leaves of each line of the pages."""
-    lines = page_rows(pages)
-    minus, width = F.lit(-1).cast("long"), F.col("width")
-    before = lines.select("map_id", "py", minus.alias("lo"), minus.alias("hi"))
-    behind = lines.select("map_id", "py", width.alias("lo"), width.alias("hi"))
-    w = Window.partitionBy("map_id", "py").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
-    marked = intervals.select("map_id", "py", "lo", "hi").unionByName(before).unionByName(behind).withColumn("reached", F.max("hi").over(w))
-    return marked.filter("lo > reached + 1").select("map_id", "py", (F.col("reached") + 1).alias("lo"), (F.col("lo") - 1).alias("hi"))
-
-
 def nearest_in_columns(boundary: DataFrame, pages: DataFrame, reach: float) -> DataFrame:
     """(map_id, at, x_lo, x_hi, y_lo, y_hi): boxes of pixels whose column has its nearest boundary pixel in line ``at``.
 
@@ -126,7 +134,34 @@ def near_intervals(boundary: DataFrame, pages: DataFrame, reach: float) -> DataF
 
 def far_runs(boundary: DataFrame, pages: DataFrame, most: float) -> DataFrame:
     """(map_id, py, lo, hi): runs of pixels that lie farther than ``most`` from every boundary pixel of their page."""
-    return complement(near_intervals(boundary, pages, most), pages)
+
+    def run(runs, top, bottom, width, height):
+        return tiles.free(tiles.widened(tiles.on_page(runs, width, height), most), top, bottom, width)[1:]
+
+    return tiles.swept(strokes(boundary), pages, int(most), run, LINE)
+
+
+def clearances(points: DataFrame, segments: DataFrame, pages: DataFrame, point_id: str, reach: float, cell: int = 64) -> DataFrame:
+    """``distances_at`` of the segments' pixels: only those near a point are drawn, and no pixel is shuffled.
+
+    Points meet the segments within reach first; each such segment is drawn on the lines within ``reach`` of the point.
+    """
+    lines = strokes(segments).join(pages.select("map_id", "width", "height"), "map_id")
+    # pixels lie within half a pixel of their segment
+    near = g.point_segment_distance("l.px", "l.py", "r.a", "r.b", "r.c", "r.d") <= reach + 1
+    pairs = range_join(points.select("map_id", point_id, "px", "py"), lines, cell, near, pad=reach + 1, left_box=("px", "py", "px", "py"), right_box=("a", "b", "c", "d"))
+    whole = [F.col(c).cast("long").alias(c[2:]) for c in ("l.px", "l.py", "r.a", "r.b", "r.c", "r.d", "r.width", "r.height")]
+    pairs = pairs.select("l.map_id", f"l.{point_id}", *whole)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d2 = tiles.nearest(*(c.to_numpy() for c in batch.columns[2:]), reach)
+            some = np.flatnonzero(d2 <= reach * reach)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), batch.column(1).take(pa.array(some)), pa.array(d2[some])], ["map_id", point_id, "d2"])
+
+    kinds = dict(points.dtypes)
+    found = pairs.mapInArrow(run, f"map_id {kinds['map_id']}, {point_id} {kinds[point_id]}, d2 long")
+    return found.groupBy("map_id", point_id).agg(F.min("d2").alias("d2"))
 
 
 def distances_at(points: DataFrame, boundary: DataFrame, pages: DataFrame, point_id: str, reach: float, cell: int = 64) -> DataFrame:
@@ -144,35 +179,70 @@ def filled_runs(boundary: DataFrame, pages: DataFrame, most: float) -> DataFrame
 
     Leaks between parcels then part from the open background around them.
     """
-    drawn = in_pages(boundary, pages).select("map_id", "py", F.col("px").alias("lo"), F.col("px").alias("hi"))
-    return complement(drawn.unionByName(far_runs(boundary, pages, most)), pages).withColumn("run", run_id())
 
+    def run(runs, top, bottom, width, height):
+        return tiles.filled(tiles.on_page(runs, width, height), top, bottom, width, most)[1:]
+
+    return tiles.swept(strokes(boundary), pages, int(most), run, LINE).withColumn("run", run_id())
 
-def run_id():
-    return F.concat_ws(":", "map_id", F.lpad(F.col("py").cast("string"), 9, "0"), F.lpad(F.col("lo").cast("string"), 9, "0"))
 
+def run_id(py: str = "py", lo: str = "lo"):
+    return F.concat_ws(":", "map_id", F.lpad(F.col(py).cast("string"), 9, "0"), F.lpad(F.col(lo).cast("string"), 9, "0"))
+
+
+def parts(boundary: DataFrame, pages: DataFrame, fill: float | None = None, scale: float = 1.0, thickness: int = 0) -> DataFrame:
+    """(map_id, part, py, lo, hi): background runs with the part of their band that they belong to, named by its first run.
+
+    The boundary may be thickened first. With ``fill`` the runs are those of ``filled_runs``.
+    """
+    around = thickness + int(fill or 0)
 
-def regions(boundary: DataFrame, pages: DataFrame, fill: float | None = None) -> DataFrame:
+    def run(runs, top, bottom, width, height):
+        drawn = tiles.on_page(tiles.widened(runs, thickness), width, height)
+        _, py, lo, hi = tiles.free(drawn, top, bottom, width) if fill is None else tiles.filled(drawn, top, bottom, width, fill)
+        root = tiles.parts(py, lo, hi)
+        return py, lo, hi, py[root], lo[root]
+
+    found = tiles.swept(strokes(boundary, scale), pages, around, run, f"{LINE}, first_py long, first_lo long")
+    return materialize(found.select("map_id", run_id("first_py", "first_lo").alias("part"), "py", "lo", "hi"), "parts")
+
+
+def part_regions(parts_: DataFrame) -> DataFrame:
+    """(map_id, part, region) of the parts that touch another band's; of all others the part is the region."""
+    last = parts_.filter(F.col("py") % tiles.BAND == tiles.BAND - 1).select("map_id", (F.col("py") + 1).alias("py"), F.col("part").alias("a"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    first = parts_.filter(F.col("py") % tiles.BAND == 0)
+    links = last.join(first.hint("merge"), ["map_id", "py"]).filter("lo <= hi2 + 1 AND lo2 <= hi + 1").select("a", F.col("part").alias("b")).distinct()
+    return components(links).select(F.col("node").alias("part"), F.col("component").alias("region"))
+
+
+def regions(boundary: DataFrame, pages: DataFrame, fill: float | None = None, scale: float = 1.0, thickness: int = 0) -> DataFrame:
     """(map_id, region, run, py, lo, hi): background runs with their 8-connected region; with ``fill``, of ``filled_runs``."""
-    runs = materialize(background_runs(boundary, pages) if fill is None else filled_runs(boundary, pages, fill), "runs")
-    below = runs.select("map_id", (F.col("py") - 1).alias("py"), F.col("run").alias("b"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    links = runs.join(below, ["map_id", "py"]).filter("lo <= hi2 + 1 AND lo2 <= hi + 1").select(F.col("run").alias("a"), "b")
-    found = components(links).withColumnRenamed("node", "run")
-    return materialize(runs.join(found, "run", "left").select("map_id", F.coalesce("component", "run").alias("region"), "run", "py", "lo", "hi"), "regions")
+    own = parts(boundary, pages, fill, scale, thickness)
+    named = own.join(part_regions(own).hint("merge"), "part", "left").select("map_id", F.coalesce("region", "part").alias("region"), run_id().alias("run"), "py", "lo", "hi")
+    return materialize(named, "regions")
+
+
+def sizes(boundary: DataFrame, pages: DataFrame, fill: float | None = None, scale: float = 1.0, thickness: int = 0) -> DataFrame:
+    """``region_sizes`` of the boundary's ``regions``; only one row for each band's part is joined with its region."""
+    own = parts(boundary, pages, fill, scale, thickness)
+    each = region_sizes(own.withColumnRenamed("part", "region"), pages).withColumnRenamed("region", "part")
+    named = each.join(part_regions(own).hint("merge"), "part", "left").withColumn("region", F.coalesce("region", "part"))
+    return named.groupBy("map_id", "region").agg(F.sum("n").alias("n"), F.bool_or("touches_edge").alias("touches_edge"))
 
 
 def region_sizes(regions_: DataFrame, pages: DataFrame) -> DataFrame:
     """(map_id, region, n, touches_edge)."""
-    r = regions_.join(pages, "map_id")
-    edge = (F.col("py") == 0) | (F.col("py") == F.col("height") - 1) | (F.col("lo") == 0) | (F.col("hi") == F.col("width") - 1)
-    return r.groupBy("map_id", "region").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("n"), F.bool_or(edge).alias("touches_edge"))
+    # the page is needed for the least and greatest places only
+    held = regions_.groupBy("map_id", "region").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("n"), F.min("py").alias("py0"), F.max("py").alias("py1"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    edge = (F.col("py0") == 0) | (F.col("py1") == F.col("height") - 1) | (F.col("lo") == 0) | (F.col("hi") == F.col("width") - 1)
+    return held.join(pages, "map_id").select("map_id", "region", "n", edge.alias("touches_edge"))
 
 
 def regions_at(points: DataFrame, regions_: DataFrame, point_id: str, window: int = 0) -> DataFrame:
     """(map_id, point_id, region): the region of each pixel px, py, or the nearest within a square window; ties to the first."""
     near = points.select("map_id", point_id, "px", "py", F.explode(F.sequence(F.lit(-window), F.lit(window))).alias("dy"))
     near = near.withColumn("py", F.col("py") + F.col("dy"))
-    j = near.join(regions_, ["map_id", "py"]).filter(F.col("px").between(F.col("lo") - window, F.col("hi") + window))
+    j = near.join(regions_.hint("merge"), ["map_id", "py"]).filter(F.col("px").between(F.col("lo") - window, F.col("hi") + window))
     dx = F.greatest(F.lit(0), F.col("lo") - F.col("px"), F.col("px") - F.col("hi"))
     best = j.groupBy("map_id", point_id).agg(F.min(F.struct((dx * dx + F.col("dy") * F.col("dy")).alias("d"), "region")).alias("m"))
     return best.select("map_id", point_id, F.col("m.region").alias("region"))
@@ -181,5 +251,5 @@ def regions_at(points: DataFrame, regions_: DataFrame, point_id: str, window: in
 def touched_regions(route: DataFrame, regions_: DataFrame, scale: float = 1.0, least: int = 10) -> DataFrame:
     """(map_id, region, n): regions that hold at least ``least`` pixels of the route."""
     pixels = rasterize(route, scale).select("map_id", "px", "py").distinct()
-    hit = pixels.join(regions_, ["map_id", "py"]).filter("px BETWEEN lo AND hi")
+    hit = pixels.join(regions_.hint("merge"), ["map_id", "py"]).filter("px BETWEEN lo AND hi")
     return hit.groupBy("map_id", "region").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
