@@ -541,9 +541,9 @@ def filled_background(spark, d):
 @query
 def label_clearance(spark, d):
     """Squared distance of every label's pixel from the nearest green pixel, up to twelve."""
-    green = raster.rasterize(derived.segments(spark, d).filter("layer = 'green'"))
+    green = derived.segments(spark, d).filter("layer = 'green'")
     dots = derived.labels(spark, d).select("map_id", "label_ord", F.floor("x").alias("px"), F.floor("y").alias("py"))
-    return raster.distances_at(dots, green, _sheets(spark, d), "label_ord", 12.0)
+    return raster.clearances(dots, green, _sheets(spark, d), "label_ord", 12.0)
 
 
 @query
