@@ -497,7 +497,7 @@ def background_runs(spark, d):
     """Runs of background of the rectangles' maps, whose boundaries are the rectangles' sides."""
     sides = ring_edges(spark, d).withColumn("seg_id", F.col("face_id"))
     pages = derived.rectangles(spark, d).select("map_id").distinct().select("map_id", F.lit(1000).cast("long").alias("width"), F.lit(500).cast("long").alias("height"))
-    return raster.background_runs(raster.rasterize(sides), pages).select("map_id", "py", "lo", "hi")
+    return raster.background_runs(sides, pages).select("map_id", "py", "lo", "hi")
 
 
 @query
