@@ -1,6 +1,6 @@
 """Results that rounding alone would decide."""
 
-from geoweave.operators import directions
+from geoweave.operators import directions, topology
 from geoweave.plans import strategies
 
 
@@ -19,3 +19,12 @@ def test_an_upright_axis_has_one_sign(spark):
     assert {(r["map_id"], r["axis"]) for r in got} == {(m, 90.0) for m in range(6)}
     square = spark.createDataFrame([(0, x / 3, y / 3) for x in (1, 2) for y in (1, 2)], "map_id long, x double, y double")
     assert [r["axis"] for r in directions.principal_axis(square, ["map_id"]).collect()] == [0.0]
+
+
+def test_cuts_are_dealt_once(spark):
+    """Three segments through one place, twice: each is cut there once, and no cut is joined with its segment again."""
+    rows = [(0, i, *map(float, r)) for i, r in enumerate([(0, 0, 10, 10), (0, 10, 10, 0), (5, 0, 5, 10), (0, 5, 10, 5)])]
+    edges = topology.noded_edges(spark.createDataFrame(rows, "map_id long, seg_id long, x1 double, y1 double, x2 double, y2 double"))
+    assert edges.count() == 8
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("Aggregate") == 1
