@@ -235,7 +235,7 @@ def region_sizes(regions_: DataFrame, pages: DataFrame) -> DataFrame:
     # the page is needed for the least and greatest places only
     held = regions_.groupBy("map_id", "region").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("n"), F.min("py").alias("py0"), F.max("py").alias("py1"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     edge = (F.col("py0") == 0) | (F.col("py1") == F.col("height") - 1) | (F.col("lo") == 0) | (F.col("hi") == F.col("width") - 1)
-    return held.join(pages, "map_id").select("map_id", "region", "n", edge.alias("touches_edge"))
+    return held.join(pages.hint("merge"), "map_id").select("map_id", "region", "n", edge.alias("touches_edge"))
 
 
 def regions_at(points: DataFrame, regions_: DataFrame, point_id: str, window: int = 0) -> DataFrame:

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoweave.operators import raster, tiles
+from geoweave.plans import strategies
+from geoweave.scratch import materialize
 
 SEG = "map_id long, seg_id long, x1 double, y1 double, x2 double, y2 double"
 
@@ -80,3 +82,27 @@ def test_only_segments_are_shuffled(spark, drawn):
     for made in (raster.closed(segments, 2), raster.background_runs(segments, pages), raster.filled_runs(segments, pages, 4.0)):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Repartition") == 1 and "Window" not in plan and "Aggregate" not in plan
+
+
+def test_regions_and_labels_do_not_pass_through_the_driver(spark, monkeypatch):
+    """However few bytes the tables have, regions, pages and labels meet by a shuffle; verdicts stay as they were."""
+    plans = []
+
+    def kept(df, *args, **kwargs):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, *args, **kwargs)
+
+    for module in (raster, strategies):
+        monkeypatch.setattr(module, "materialize", kept)
+    sides = [(2, 2, 12, 2), (12, 2, 12, 12), (12, 12, 2, 12), (2, 12, 2, 2)]
+    rows = [(0, i, "green", *map(float, s)) for i, s in enumerate(sides)] + [(0, 9, "route", 3.0, 5.0, 25.0, 5.0)]
+    segments = spark.createDataFrame(rows, "map_id long, seg_id long, layer string, x1 double, y1 double, x2 double, y2 double")
+    labels = spark.createDataFrame([(0, 1, "7", 0.9, 7.0, 7.0), (0, 2, "8", 0.9, 20.0, 7.0)], "map_id long, label_ord long, text string, conf double, x double, y double")
+    pages = spark.createDataFrame([(0, 30, 20)], "map_id long, width long, height long")
+    found = strategies.by_regions(segments, labels, pages, thickness=0, least=5)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert [tuple(r) for r in found.select("map_id", "text", "verdict", "label_ord").collect()] == [(0, "7", "crossed", 1)]
+    assert "Join" in "".join(plans)
+    # ``components`` alone broadcasts nodes of which there are fewer than a thousand
+    for plan in plans[:1] + plans[2:]:
+        assert "BroadcastHashJoin" not in plan
