@@ -9,6 +9,10 @@ as the map's readings.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,14 +56,34 @@ def along_route(labels: DataFrame, route: DataFrame, reach: float = 200.0) -> Da
     """
     w = Window.partitionBy("map_id").orderBy("seg_id").rowsBetween(Window.unboundedPreceding, -1)
     run = route.withColumn("len", g.length()).withColumn("start", F.coalesce(F.sum("len").over(w), F.lit(0.0)))
-    d = g.point_segment_distance("l.x", "l.y", "r.x1", "r.y1", "r.x2", "r.y2")
-    near = range_join(labels.select("map_id", "label_ord", "x", "y"), run, reach, d <= reach, pad=reach, left_box=("x", "y", "x", "y"))
-    u, _, n = g.strip_frame("r", "l.x", "l.y")
-    at = F.col("r.start") + F.coalesce(F.greatest(F.lit(0.0), F.least(u, n)), F.lit(0.0))
-    best = near.groupBy("l.map_id", "l.label_ord").agg(F.min(F.struct(d.alias("d"), F.col("r.seg_id").alias("seg_id"), at.alias("s"))).alias("m")).select("map_id", "label_ord", F.col("m.s").alias("at"))
+    # a route's segments are dealt to all cells that they are near to, so a label's pairs lie in its own cell
+    d = g.point_segment_distance("r.x", "r.y", "l.x1", "l.y1", "l.x2", "l.y2")
+    near = range_join(run.select("map_id", "seg_id", "start", "x1", "y1", "x2", "y2"), labels.select("map_id", "label_ord", "x", "y"), reach, d <= reach, pad=reach, right_box=("x", "y", "x", "y"))
+    places = [F.col(c).cast("double").alias(c[2:]) for c in ("l.start", "r.x", "r.y", "l.x1", "l.y1", "l.x2", "l.y2")]
+    few = nearest_in_batches(near.select("r.map_id", "r.label_ord", "l.seg_id", d.alias("d"), *places)).withColumn("r", F.struct("x1", "y1", "x2", "y2"))
+    u, _, n = g.strip_frame("r", "x", "y")
+    at = F.col("start") + F.coalesce(F.greatest(F.lit(0.0), F.least(u, n)), F.lit(0.0))
+    best = few.groupBy("map_id", "label_ord").agg(F.min(F.struct("d", "seg_id", at.alias("s"))).alias("m")).select("map_id", "label_ord", F.col("m.s").alias("at"))
     return labels.join(best, ["map_id", "label_ord"], "left").withColumn("s", F.coalesce("at", F.col("x").cast("double"))).drop("at")
 
 
+def nearest_in_batches(pairs: DataFrame) -> DataFrame:
+    """Pairs (map_id, label_ord, seg_id, d, ...) without those that are not the nearest of their label in their batch, of equals the first.
+
+    The pairs of a cell follow each other, so little more than a row for each label is left to be sorted and grouped.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            map_id, label = (batch.column(k).dictionary_encode().indices.to_numpy() for k in (0, 1))
+            order = np.lexsort((batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(), label, map_id))
+            map_id, label = map_id[order], label[order]
+            new = np.r_[True, (map_id[1:] != map_id[:-1]) | (label[1:] != label[:-1])][: len(order)]
+            yield batch.take(pa.array(order[new]))
+
+    return pairs.mapInArrow(run, pairs.schema)
+
+
 def best_per_text(labels: DataFrame) -> DataFrame:
     """One label for each map and text: the most confident, the first of equals."""
     top = F.max_by(F.struct("label_ord", "conf", "x", "y"), F.struct(F.col("conf"), -F.col("label_ord")))

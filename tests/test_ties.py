@@ -1,6 +1,7 @@
 """Results that rounding alone would decide."""
 
 from geoweave.operators import directions, topology
+from geoweave.operators import labels as lb
 from geoweave.plans import strategies
 
 
@@ -28,3 +29,15 @@ def test_cuts_are_dealt_once(spark):
     assert edges.count() == 8
     plan = edges._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and plan.count("Aggregate") == 1
+
+
+def test_few_pairs_are_left_to_group_along_a_route(spark):
+    """A label in reach of many segments leaves one pair of each batch; of equally near ones the first counts."""
+    rows = [(0, i, 10.0 * i, 0.0, 10.0 * i + 10, 0.0) for i in range(60)] + [(0, 100, 300.0, 0.0, 310.0, 0.0)]
+    route = spark.createDataFrame(rows, "map_id long, seg_id long, x1 double, y1 double, x2 double, y2 double")
+    labels = spark.createDataFrame([(0, 1, 305.0, 7.0), (0, 2, 310.0, 7.0), (0, 3, 305.0, 900.0)], "map_id long, label_ord long, x double, y double")
+    assert {(r["label_ord"], r["s"]) for r in lb.along_route(labels, route).collect()} == {(1, 305.0), (2, 310.0), (3, 305.0)}
+    pairs = spark.createDataFrame([(0, k % 3, s, float(abs(s - 40) // 2)) for s in range(80) for k in range(3)], "map_id long, label_ord long, seg_id long, d double")
+    assert sorted(tuple(r) for r in lb.nearest_in_batches(pairs.coalesce(1)).collect()) == [(0, k, 39, 0.0) for k in range(3)]
+    plan = lb.along_route(labels, route)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
