@@ -96,6 +96,12 @@ def to_pixels(v, scale) -> Column:
     return F.bround(col(v) * col(scale)).cast("long")
 
 
+def rounded(v, digits: int) -> Column:
+    """As ROUND in SQL engines: what is rounded to zero keeps its sign, which ``F.round`` takes from it."""
+    r = F.round(col(v), digits)
+    return F.when(r == 0, col(v) * 0.0).otherwise(r)
+
+
 def clamp(v, lo, hi) -> Column:
     return F.greatest(F.lit(lo) if isinstance(lo, (int, float)) else col(lo), F.least(F.lit(hi) if isinstance(hi, (int, float)) else col(hi), col(v)))
 

@@ -98,13 +98,13 @@ def angle_bucket_best(spark, d):
 @query
 def pca_direction(spark, d):
     a = directions.principal_axis(_points(spark, d), ["map_id"])
-    return a.select("map_id", "n", F.round("axis", 5).alias("axis"))
+    return a.select("map_id", "n", g.rounded("axis", 5).alias("axis"))
 
 
 @query
 def oriented_direction(spark, d):
     a = directions.oriented_sum(derived.segments(spark, d).filter("layer = 'route'"), ["map_id"])
-    return a.select("map_id", F.round("ux", 6).alias("ux"), F.round("uy", 6).alias("uy"))
+    return a.select("map_id", g.rounded("ux", 6).alias("ux"), g.rounded("uy", 6).alias("uy"))
 
 
 @query
@@ -350,7 +350,7 @@ def greedy_match(spark, d):
 @query
 def route_end_lines(spark, d):
     c = closures.route_end_lines(derived.segments(spark, d).filter("layer = 'route'"), radius=150.0)
-    return c.select("map_id", *[F.round(x, 3).alias(x) for x in ("x1", "y1", "x2", "y2")])
+    return c.select("map_id", *[g.rounded(x, 3).alias(x) for x in ("x1", "y1", "x2", "y2")])
 
 
 def _bends(spark, d):
@@ -592,7 +592,7 @@ def tangent_crosslines(spark, d):
     route = derived.segments(spark, d).filter("layer = 'route'")
     at = route.select("map_id", F.col("seg_id").alias("ord"), F.col("x1").cast("double").alias("x"), F.col("y1").cast("double").alias("y"))
     t = closures.tangents(at, route, 150.0)
-    return t.select("map_id", "ord", F.round(F.col("x") + 25 * F.sin(F.radians("axis")), 3).alias("x1"), F.round(F.col("y") - 25 * F.cos(F.radians("axis")), 3).alias("y1"))
+    return t.select("map_id", "ord", g.rounded(F.col("x") + 25 * F.sin(F.radians("axis")), 3).alias("x1"), g.rounded(F.col("y") - 25 * F.cos(F.radians("axis")), 3).alias("y1"))
 
 
 @query

@@ -1,8 +1,12 @@
 """Results that rounding alone would decide."""
 
+import duckdb
+
+from geoweave import oracle
 from geoweave.operators import directions, topology
 from geoweave.operators import labels as lb
 from geoweave.plans import strategies
+from geoweave.queries import QUERIES
 
 
 def test_equal_distances_go_to_the_first_label(spark):
@@ -41,3 +45,15 @@ def test_few_pairs_are_left_to_group_along_a_route(spark):
     assert sorted(tuple(r) for r in lb.nearest_in_batches(pairs.coalesce(1)).collect()) == [(0, k, 39, 0.0) for k in range(3)]
     plan = lb.along_route(labels, route)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_a_place_just_under_zero_keeps_its_sign(spark, tmp_path):
+    """One line's end lies at y = -0.00048, which the SQL rounds to -0.0."""
+    keys = [2083000 + k for k in (7, 56, 80, 107, 118, 129, 242, 255, 304, 366, 390, 428)]
+    spark.createDataFrame([(k, "1-URGENT") for k in keys], "o_orderkey long, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    tables = duckdb.connect()
+    tables.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = sorted(tables.execute(oracle.ORACLE["tangent_crosslines"]).fetchall())
+    assert "-0.0" in {str(r[3]) for r in want}
+    got = sorted(tuple(r) for r in QUERIES["tangent_crosslines"](spark, str(tmp_path)).collect())
+    assert [str(r) for r in got] == [str(r) for r in want]
