@@ -56,3 +56,29 @@ def test_a_route_is_tried_in_the_faces_whose_box_it_passes(spark, monkeypatch):
     route = spark.createDataFrame([(0, 1, 28, 22, 62, -12)], "map_id long, seg_id long, x1 long, y1 long, x2 long, y2 long")
     inside = faces.length_inside(made, edges, route).collect()
     assert {r["face_id"] for r in inside} == {2, 4} and {r["face_id"] for r in seen["pieces"].collect()} == {2, 4}
+
+
+def test_short_cycles_take_no_rounds(spark, monkeypatch):
+    """Cycles that lie in one part are found at one shuffle, with their steps; longer ones go on in rounds, to the same result."""
+    rng = random.Random(11)
+    rows, want = [], set()
+    for m in range(6):
+        edges = list({(rng.randrange(1 << 40), rng.randrange(1 << 40)) for _ in range(200)})
+        while edges:
+            k = rng.choice((1, 2, 3, 7, 60))
+            one, edges = edges[:k], edges[k:]
+            rows += [(m, *e, *n) for e, n in zip(one, one[1:] + one[:1])]
+            least = one.index(min(one))
+            want |= {(m, *e, *min(one), (least - i) % len(one)) for i, e in enumerate(one)}
+    rows += [(9, 1, 2, 2, 3), (9, 2, 3, 3, 4)]  # on no cycle
+    links = spark.createDataFrame(rows, "map_id long, u long, v long, ju long, jv long")
+    made, plain = [], graphs.materialize
+    monkeypatch.setattr(graphs, "materialize", lambda df, name, **seen: made.append(name) or plain(df, name, **seen))
+    assert set(map(tuple, graphs.cycles(links.filter("map_id < 9")).collect())) == want and made == ["cycles"]
+    monkeypatch.setattr(graphs, "FOLLOWED", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 150)
+    try:
+        made.clear()
+        assert set(map(tuple, graphs.cycles(links).collect())) == want and len(made) > 2
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
