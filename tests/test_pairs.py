@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoweave.functions import geometry as g
-from geoweave.operators import closures, crossing, faces, pairs, topology
+from geoweave.operators import closures, corridor, crossing, faces, pairs, topology
 
 SEG = "map_id long, seg_id long, x1 double, y1 double, x2 double, y2 double"
 
@@ -75,3 +75,11 @@ def test_holes_are_found_once(spark, monkeypatch):
     stub = spark.createDataFrame([(0, 1, 0.0, 0.0, 10.0, 0.0), (0, 2, 20.0, -5.0, 20.0, 5.0)], SEG)
     got = closures.extend_ends(topology.noded_edges(stub), stub).collect()
     assert [(r["x1"], r["x2"]) for r in got] == [(10.0, 20.0)] and made.count("ends") == 1
+
+
+def test_without_a_corridor_none_is_measured(spark, monkeypatch):
+    """No map has lines along its route: the route's share of a corridor is not worked out, over no rows."""
+    monkeypatch.setattr(corridor, "route_share", None)
+    s = spark.createDataFrame([(0, 1, 0.0, 0.0, 3.0, 0.0)], SEG)
+    route = spark.createDataFrame([(0, 2, 0.0, 1.0, 3.0, 1.0)], SEG)
+    assert corridor.used_corridors(s, route).count() == 0
